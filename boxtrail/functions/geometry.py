@@ -6,6 +6,8 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, functions as F
 
+from boxtrail.functions.binding import bind
+
 # ---- Fixed values -----------------------------------------------------------
 PATCH = 32
 IOU_THRESHOLD = 0.3
@@ -101,16 +103,21 @@ def resize_plan(w: Column, h: Column, target: Column, max_pixels: int | None) ->
 
 def scale_boxes(boxes: Column, w: Column, h: Column, new_w: Column, new_h: Column) -> Column:
     """Integer boxes of the resized image, truncated and clipped per axis."""
-    sx = new_w.cast("double") / w.cast("double")
-    sy = new_h.cast("double") / h.cast("double")
+    size = F.struct(
+        (new_w.cast("double") / w.cast("double")).alias("sx"), (new_h.cast("double") / h.cast("double")).alias("sy"),
+        new_w.cast("int").alias("w"), new_h.cast("int").alias("h"),
+    )
 
     def fit(v: Column, s: Column, upper: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(upper.cast("int"), (v.cast("int") * s).cast("int")))
-
-    return F.transform(
-        boxes,
-        lambda b: F.array(
-            fit(F.get(b, 0), sx, new_w), fit(F.get(b, 1), sy, new_h),
-            fit(F.get(b, 2), sx, new_w), fit(F.get(b, 3), sy, new_h),
+        return F.greatest(F.lit(0), F.least(upper, (v.cast("int") * s).cast("int")))
+
+    return bind(
+        size,
+        lambda z: F.transform(
+            boxes,
+            lambda b: F.array(
+                fit(F.get(b, 0), z["sx"], z["w"]), fit(F.get(b, 1), z["sy"], z["h"]),
+                fit(F.get(b, 2), z["sx"], z["w"]), fit(F.get(b, 3), z["sy"], z["h"]),
+            ),
         ),
     )

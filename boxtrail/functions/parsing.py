@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from boxtrail.functions.binding import bind
 from boxtrail.functions.text import strip_ws
 
 CHAIN_TYPE = "array<struct<hop:int,image_id:string,bboxes:array<array<double>>>>"
@@ -80,7 +81,10 @@ def _text_or_empty(v: Column) -> Column:
 
 def box_list(v: Column) -> Column:
     """Boxes from ``[x1,y1,x2,y2]`` (numbers only) or ``[[...], ...]``; bad items are skipped."""
-    items = _items(v)
+    return F.when(_is_array(v), bind(_items(v), _boxes_of)).otherwise(F.array().cast(NO_BOXES))
+
+
+def _boxes_of(items: Column) -> Column:
     is_number = lambda x: ~F.coalesce(_kind(x).rlike("^(STRING|VOID|ARRAY|OBJECT)"), F.lit(True))
     flat = (F.size(items) == 4) & F.forall(items, is_number)
     one = F.array(F.transform(items, lambda x: F.try_variant_get(x, "$", "double")))
@@ -88,7 +92,7 @@ def box_list(v: Column) -> Column:
     four = F.filter(items, lambda b: _is_array(b) & (F.size(_items(b)) == 4))
     read = F.transform(four, lambda b: F.transform(_items(b), lambda x: F.try_variant_get(x, "$", "double")))
     good = F.filter(read, lambda b: F.forall(b, lambda x: x.isNotNull()))
-    return F.when(~_is_array(v), F.array().cast(NO_BOXES)).when(flat, one).otherwise(good)
+    return F.when(flat, one).otherwise(good)
 
 
 def predicted_chain(parsed: Column) -> Column:

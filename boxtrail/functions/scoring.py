@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from boxtrail.functions.binding import bind
 from boxtrail.functions.geometry import IOU_THRESHOLD, center_inside, iou, relaxed_match
 
 # Field order of the per-sample metrics record.
@@ -68,11 +69,13 @@ def greedy_localization(preds: Column, golds: Column, threshold: float = IOU_THR
                 F.struct(iou(p, gold).alias("iou"), j.alias("j")),
             ),
         )
-        best = F.array_max(options)
-        return F.struct(
-            F.when(best.isNotNull(), F.array_append(acc["used"], best["j"])).otherwise(acc["used"]).alias("used"),
-            (acc["hits"] + best.isNotNull().cast("int")).alias("hits"),
-            F.array_append(acc["ious"], F.coalesce(best["iou"], F.lit(0.0))).alias("ious"),
+        return bind(
+            F.array_max(options),
+            lambda best: F.struct(
+                F.when(best.isNotNull(), F.array_append(acc["used"], best["j"])).otherwise(acc["used"]).alias("used"),
+                (acc["hits"] + best.isNotNull().cast("int")).alias("hits"),
+                F.array_append(acc["ious"], F.coalesce(best["iou"], F.lit(0.0))).alias("ious"),
+            ),
         )
 
     def finish(acc: Column) -> Column:
@@ -95,12 +98,13 @@ def chain_hops(pred_chain: Column, gold_chain: Column, threshold: float = IOU_TH
         pred = F.get(pred_chain, i)
         gold_id, pred_id = F.coalesce(gold["image_id"], F.lit("")), F.coalesce(pred["image_id"], F.lit(""))
         same = (gold_id == "") | (pred_id == "") | (gold_id == pred_id)
-        loc = greedy_localization(
-            F.coalesce(pred["bboxes"].cast("array<array<double>>"), none),
-            F.coalesce(gold["bboxes"].cast("array<array<double>>"), none),
-            threshold,
+        boxes = F.struct(
+            F.coalesce(pred["bboxes"].cast("array<array<double>>"), none).alias("p"),
+            F.coalesce(gold["bboxes"].cast("array<array<double>>"), none).alias("g"),
         )
-        acc = F.when(same, loc["accuracy"]).otherwise(F.lit(0.0))
+        acc = F.when(
+            same, bind(boxes, lambda b: greedy_localization(b["p"], b["g"], threshold)["accuracy"])
+        ).otherwise(F.lit(0.0))
         return F.struct((i + 1).alias("hop"), same.alias("image_correct"), acc.alias("accuracy"))
 
     return F.transform(gold_chain, hop)
@@ -128,8 +132,9 @@ def image_chain_stats(pred_chain: Column, gold_chain: Column, threshold: float =
         right = (ident(gold) != "") & (ident(gold) == F.coalesce(pred["image_id"], F.lit("")))
         gold_boxes = F.filter(F.coalesce(gold["bboxes"].cast("array<array<double>>"), none), lambda b: F.size(b) == 4)
         pred_boxes = F.coalesce(pred["bboxes"].cast("array<array<double>>"), none)
-        boxed = F.when(F.size(gold_boxes) == 0, F.size(pred_boxes) == 0).otherwise(
-            any_match(pred_boxes, gold_boxes, threshold)
+        boxed = bind(
+            F.struct(pred_boxes.alias("p"), gold_boxes.alias("g")),
+            lambda b: F.when(F.size(b["g"]) == 0, F.size(b["p"]) == 0).otherwise(any_match(b["p"], b["g"], threshold)),
         )
         return F.struct(right.alias("right"), (right & boxed).alias("joint"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from boxtrail.functions.binding import bind
+
 # ---- Fixed values -----------------------------------------------------------
 # Whitespace as Unicode defines it, including the separator control characters.
 WS = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
@@ -81,10 +83,15 @@ def content_tokens(text: Column) -> Column:
 
 def char_grams(text: Column, n: int = 4) -> Column:
     """Distinct character windows of length ``n`` of the lower-cased text."""
-    low = F.lower(text)
-    last = F.length(low) - (n - 1)
-    windows = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
-    return F.when(last >= 1, F.array_distinct(windows)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def windows(low: Column) -> Column:
+        last = F.length(low) - (n - 1)
+        starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
+        return F.when(last >= 1, F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(n))))).otherwise(none)
+
+    # Bound, so that the text is not rebuilt for every window.
+    return bind(F.lower(text), windows)
 
 
 def spaced_tokens(tokens: Column) -> Column:
@@ -101,6 +108,11 @@ def _occurrences(spaced: Column, token: Column) -> Column:
     return ((F.length(spaced) - F.length(F.replace(spaced, padded, F.lit("")))) / F.length(padded)).cast("int")
 
 
+def spaced_count(spaced: Column) -> Column:
+    """Number of tokens in a ``spaced_tokens`` string."""
+    return F.regexp_count(spaced, F.lit("[a-z0-9]+"))
+
+
 def multiset_overlap(a_tokens: Column, a_spaced: Column, b_spaced: Column) -> Column:
     """Size of the multiset intersection; ``a`` should be the shorter side.
 
@@ -143,6 +155,15 @@ def coverage(target_tokens: Column, para_tokens: Column) -> Column:
     return F.when(both, shared / F.size(target_tokens)).otherwise(F.lit(0.0))
 
 
+def coverage_within(target_tokens: Column, para_words: Column) -> Column:
+    """``coverage`` against the ``plain_words`` text of a paragraph."""
+    padded = F.concat(F.lit(" "), para_words, F.lit(" "))
+    hits = bind(
+        padded, lambda p: F.size(F.filter(target_tokens, lambda t: F.contains(p, F.concat(F.lit(" "), t, F.lit(" ")))))
+    )
+    return F.when(F.size(target_tokens) > 0, hits / F.size(target_tokens)).otherwise(F.lit(0.0))
+
+
 def plain_words(text: Column) -> Column:
     """Lower-case text with every non-alphanumeric run turned into one blank."""
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
@@ -257,9 +278,16 @@ def answer_contains(pred: Column, gold: Column) -> Column:
 
 def answer_f1(pred: Column, gold: Column) -> Column:
     """Token F1 of normalized answers; equality when either side is empty."""
-    p, g = normalize_paper(pred), normalize_paper(gold)
-    pt, gt = F.split(p, " "), F.split(g, " ")
-    common = multiset_overlap(pt, spaced_tokens(pt), spaced_tokens(gt))
-    return F.when((p == "") | (g == ""), (p == g).cast("double")).otherwise(
-        f1_from_counts(common, F.size(pt), F.size(gt))
-    )
+    def score(x: Column) -> Column:
+        p, g = x["p"], x["g"]
+        n = lambda side: F.size(F.split(side, " "))
+        common = bind(
+            F.struct(
+                F.split(p, " ").alias("t"), spaced_tokens(F.split(p, " ")).alias("p"), spaced_tokens(F.split(g, " ")).alias("g")
+            ),
+            lambda y: multiset_overlap(y["t"], y["p"], y["g"]),
+        )
+        f1 = bind(common, lambda c: f1_from_counts(c, n(p), n(g)))
+        return F.when((p == "") | (g == ""), (p == g).cast("double")).otherwise(f1)
+
+    return bind(F.struct(normalize_paper(pred).alias("p"), normalize_paper(gold).alias("g")), score)

@@ -179,14 +179,15 @@ def reconcile_chain(samples: DataFrame, resolved: DataFrame) -> DataFrame:
     hop = F.struct("hop_pos", "entity", "bbox", "question")
     per_sample = resolved.groupBy("sample_id").agg(F.sort_array(F.collect_list(hop)).alias("hops"))
     joined = samples.join(per_sample, "sample_id", "left")
-    chain, hops = F.col("evidence_chain"), F.filter("hops", lambda h: h["bbox"].isNotNull() & (h["entity"] != ""))
+    chain, hops = F.col("evidence_chain"), F.col("placed")
+    placed = F.filter("hops", lambda h: h["bbox"].isNotNull() & (h["entity"] != ""))
 
     def partner(e: Column, i: Column) -> Column:
         earlier = F.slice(chain, F.lit(1), i)
         nth = F.size(F.filter(earlier, lambda x: x["entity"] == e["entity"]))
         return F.get(F.filter(hops, lambda h: h["entity"] == e["entity"]), nth)
 
-    matched = joined.withColumn("partners", F.transform(chain, partner))
+    matched = joined.withColumn("placed", placed).withColumn("partners", F.transform(chain, partner))
     status = (
         F.when(F.coalesce(F.size("hops"), F.lit(0)) <= 0, "no_resolved")
         .when(F.exists("partners", lambda p: p.isNull()), "missing_hop")
@@ -204,7 +205,7 @@ def reconcile_chain(samples: DataFrame, resolved: DataFrame) -> DataFrame:
     out = matched.withColumn("status", status)
     return out.withColumn(
         "evidence_chain", F.when(F.col("status").isin("changed", "same"), rebuilt).otherwise(chain)
-    ).drop("hops", "partners")
+    ).drop("hops", "placed", "partners")
 
 
 def reconcile_report(reconciled: DataFrame) -> DataFrame:

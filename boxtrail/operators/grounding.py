@@ -129,50 +129,79 @@ def candidate_pairs(
     targets: DataFrame,
     paragraphs: DataFrame,
     families: tuple[tuple[Callable[[Column], Column], float], ...],
+    target_features: dict[str, Column],
+    para_features: dict[str, Column],
     long: DataFrame,
 ) -> DataFrame:
-    """Targets joined with every paragraph of their page that can qualify.
+    """Target features next to those of every paragraph of the page that can qualify.
 
-    ``targets`` carries (page_id, target_id, text, ...); pages listed in
-    ``long`` take the inverted index.
+    Both sides carry ``text``; features replace it before the join, so each text
+    is analysed once and not once per pair. Pages listed in ``long`` take the
+    inverted index.
     """
-    # A shuffle join even for small inputs: scoring is the costly part, so its
+    def target_side(df: DataFrame) -> DataFrame:
+        return df.select("page_id", "target_id", *[c.alias(n) for n, c in target_features.items()])
+
+    def para_side(df: DataFrame) -> DataFrame:
+        return df.select("page_id", "para_ord", "x1", "y1", "x2", "y2", *[c.alias(n) for n, c in para_features.items()])
+
+    # Shuffle joins even for small inputs: scoring is the costly part, so its
     # parallelism must come from the page key and AQE's skew splits, not from
     # however few files one side happens to have.
-    direct = targets.join(long, "page_id", "left_anti").join(
-        paragraphs.withColumnRenamed("text", "para").hint("merge"), "page_id"
-    )
+    short_targets = targets.join(long, "page_id", "left_anti")
+    direct = target_side(short_targets).join(para_side(paragraphs).hint("merge"), "page_id")
     long_targets = targets.join(long, "page_id", "left_semi")
     long_paras = paragraphs.join(long, "page_id", "left_semi")
     pairs = indexed_candidates(long_targets, long_paras, families)
-    indexed = pairs.join(long_targets.hint("merge"), ["page_id", "target_id"]).join(
-        long_paras.withColumnRenamed("text", "para").hint("merge"), ["page_id", "para_ord"]
+    indexed = pairs.join(target_side(long_targets).hint("merge"), ["page_id", "target_id"]).join(
+        para_side(long_paras).hint("merge"), ["page_id", "para_ord"]
     )
     return direct.unionByName(indexed.select(*direct.columns))
 
 
 # ---- sentence grounding -----------------------------------------------------
 
-def with_similarity(pairs: DataFrame, sent: str, para: str, keep: list[str]) -> DataFrame:
-    """Adds ``similarity`` of a sentence and a paragraph column; both stay unshuffled."""
-    prepared = pairs.withColumns(
-        {
-            "_st": T.word_tokens(F.col(sent)), "_sg": T.char_grams(F.col(sent)),
-            "_pt": T.word_tokens(F.col(para)), "_pl": F.lower(para),
-        }
-    ).withColumns({"_ss": T.spaced_tokens(F.col("_st")), "_ps": T.spaced_tokens(F.col("_pt"))})
-    counted = prepared.withColumn("_common", T.multiset_overlap(F.col("_st"), F.col("_ss"), F.col("_ps")))
+SENTENCE_FEATURES = {
+    "st": T.word_tokens, "ss": lambda c: T.spaced_tokens(T.word_tokens(c)), "sg": T.char_grams,
+}
+PARAGRAPH_FEATURES = {
+    "ps": lambda c: T.spaced_tokens(T.word_tokens(c)), "pl": F.lower,
+}
+
+
+def _made(features: dict[str, Callable[[Column], Column]], column: str = "text") -> dict[str, Column]:
+    return {name: make(F.col(column)) for name, make in features.items()}
+
+
+def with_similarity(pairs: DataFrame, keep: list[str]) -> DataFrame:
+    """Adds token F1, gram recall and ``similarity`` to pairs of prepared features."""
+    counted = pairs.withColumn("common", T.multiset_overlap(F.col("st"), F.col("ss"), F.col("ps")))
     return counted.withColumns(
         {
-            "token_f1": T.f1_from_counts(F.col("_common"), F.size("_pt"), F.size("_st")),
+            "token_f1": T.f1_from_counts(F.col("common"), T.spaced_count(F.col("ps")), F.size("st")),
             # The gram scan is the expensive part; without a common token it is not needed.
-            "gram_recall": F.when(F.col("_common") > 0, T.gram_recall(F.col("_sg"), F.col("_pl"))).otherwise(0.0),
+            "gram_recall": F.when(F.col("common") > 0, T.gram_recall(F.col("sg"), F.col("pl"))).otherwise(0.0),
         }
     ).withColumn(
-        "similarity", T.blend_similarity(F.col("_common"), F.col("token_f1"), F.col("gram_recall"))
+        "similarity", T.blend_similarity(F.col("common"), F.col("token_f1"), F.col("gram_recall"))
     ).select(*keep, "token_f1", "gram_recall", "similarity")
 
 
+def page_similarities(sentences: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Similarity parts of every sentence and sized paragraph of a page (for inspection)."""
+    known = sentences.select("page_id", "sid", T.strip_ws(F.col("sent")).alias("text")).where(F.length("text") > 0)
+    sized = _sized(paragraphs)
+    left = known.select("page_id", "sid", *[c.alias(n) for n, c in _made(SENTENCE_FEATURES).items()])
+    right = sized.select("page_id", "para_ord", *[c.alias(n) for n, c in _made(PARAGRAPH_FEATURES).items()])
+    return with_similarity(left.join(right.hint("merge"), "page_id"), ["page_id", "sid", "para_ord"])
+
+
+def _sized(paragraphs: DataFrame) -> DataFrame:
+    return paragraphs.where((height() >= MIN_GROUND_HEIGHT) & (width() >= MIN_GROUND_WIDTH)).select(
+        "page_id", "para_ord", "text", "x1", "y1", "x2", "y2"
+    )
+
+
 def fallback_boxes(paragraphs: DataFrame) -> DataFrame:
     """First wide paragraph with some text per page, for sentences of unknown text."""
     wide = paragraphs.where((width() >= FALLBACK_WIDTH) & (F.length("text") > FALLBACK_CHARS))
@@ -192,12 +221,13 @@ def ground_sentences(
     known = sentences.where(F.length(trimmed) > 0).select(
         "page_id", F.col("sid").alias("target_id"), trimmed.alias("text")
     )
-    sized = paragraphs.where((height() >= MIN_GROUND_HEIGHT) & (width() >= MIN_GROUND_WIDTH)).select(
-        "page_id", "para_ord", "text", "x1", "y1", "x2", "y2"
+    sized = _sized(paragraphs)
+    pairs = candidate_pairs(
+        known, sized, SIMILARITY_FEATURES, _made(SENTENCE_FEATURES), _made(PARAGRAPH_FEATURES),
+        long_pages(sized, direct_limit),
     )
-    pairs = candidate_pairs(known, sized, SIMILARITY_FEATURES, long_pages(sized, direct_limit))
     keep = ["page_id", "target_id", "para_ord", "x1", "y1", "x2", "y2"]
-    scored = with_similarity(pairs, "text", "para", keep)
+    scored = with_similarity(pairs, keep)
     # Partial aggregation keeps one candidate per target and task before the shuffle.
     # The threshold is applied to the winner: a filter on the raw scores would be
     # pushed into the scoring projection and evaluate it again.
@@ -281,14 +311,16 @@ def pick_paragraphs(
     asked = targets.where(F.length("text") > 0)
     pairs = candidate_pairs(
         asked.select("page_id", "target_id", "text", "value"), usable, COVERAGE_FEATURES,
+        {"tokens": T.content_tokens(F.col("text")), "words": T.plain_words(F.col("value"))},
+        {"para_words": T.plain_words(F.col("text"))},
         stats.where(F.col("n_usable") > direct_limit).select("page_id"),
     )
+    # A content word is in the paragraph exactly if its word text holds it, so
+    # one string serves both the coverage and the value check.
     prepared = pairs.withColumns(
-        {"_t": T.content_tokens(F.col("text")), "_p": T.content_tokens(F.col("para"))}
-    ).withColumns(
         {
-            "coverage": T.coverage(F.col("_t"), F.col("_p")),
-            "has_value": T.value_in_text(F.col("value"), F.col("para")),
+            "coverage": T.coverage_within(F.col("tokens"), F.col("para_words")),
+            "has_value": T.words_within(F.col("words"), F.col("para_words")),
         }
     )
     scored = prepared.select(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from boxtrail.functions.binding import bind
+
 # ---- Fixed values -----------------------------------------------------------
 BLANK_STD = 5.0
 TRIM_MARGIN = 20
@@ -101,7 +103,8 @@ def row_deviation(gray: Column) -> Column:
     n = F.size(gray)
     values = gray.cast("array<double>")
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
+    spread = lambda m: F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
+    return F.sqrt(bind(mean, spread) / n)
 
 
 def trim_extent(rows: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boxtrail.functions import geometry as G, prompts as P, records as R, text as T
+from boxtrail.functions.binding import bind
 from boxtrail.operators.sampling import hash_key, hash_order, hash_unit
 
 # ---- Fixed values -----------------------------------------------------------
@@ -133,10 +134,11 @@ def build_training_records(
 
     def placed(e: Column, i: Column) -> Column:
         at = F.array_position("shots", e["screenshot"]).cast("int") - 1 if candidate_mode else i
-        plan = F.get("plans", at)
         image_id = F.when(at >= 0, F.concat(F.lit("img_"), at.cast("string"))).otherwise(F.lit(""))
         boxes = F.coalesce(e["bboxes"].cast("array<array<int>>"), F.array().cast("array<array<int>>"))
-        scaled = G.scale_boxes(boxes, plan["w"], plan["h"], plan["nw"], plan["nh"])
+        scaled = bind(
+            F.get("plans", at), lambda plan: G.scale_boxes(boxes, plan["w"], plan["h"], plan["nw"], plan["nh"])
+        )
         return e.withField("image_id", image_id).withField("bboxes", F.when(at >= 0, scaled).otherwise(boxes))
 
     rows = rows.withColumn("evidence_chain", F.transform("evidence_chain", placed))

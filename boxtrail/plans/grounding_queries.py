@@ -161,9 +161,7 @@ def safe_filename(t):
 
 @query("similarity_parts", with_ctes("pair_sim", "SELECT page_id, sid, para_ord, round(f1, 6) AS token_f1, round(CASE WHEN c > 0 THEN gr ELSE 0 END, 6) AS gram_recall FROM pair_sim"))
 def similarity_parts(t):
-    known = _targets(t).where("sent IS NOT NULL").select("page_id", "sid", T.strip_ws(F.col("sent")).alias("sent")).where("length(sent) > 0")
-    sized = t.paragraphs.where("x2 - x1 >= 50 AND y2 - y1 >= 5").withColumnRenamed("text", "para").select("page_id", "para_ord", "para")
-    scored = G.with_similarity(known.join(sized, "page_id"), "sent", "para", ["page_id", "sid", "para_ord"])
+    scored = G.page_similarities(_targets(t).where("sent IS NOT NULL"), t.paragraphs)
     return scored.select("page_id", "sid", "para_ord", F.round("token_f1", 6).alias("token_f1"), F.round("gram_recall", 6).alias("gram_recall"))
 
 
