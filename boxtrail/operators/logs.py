@@ -35,7 +35,8 @@ def metric_asof(log: DataFrame, saves: DataFrame) -> DataFrame:
         .unionByName(saves.select("run", "step", F.lit(None).cast("long").alias("pos"),
                                   F.lit(None).cast("double").alias("value"), F.lit(1).alias("is_save")))
     )
-    per_bucket = rows.groupBy("run", "_sb").agg(F.max_by("value", F.struct("step", "pos")).alias("last_value"))
+    logged = F.when(F.col("is_save") == 0, F.struct("step", "pos"))  # save rows carry no value
+    per_bucket = rows.groupBy("run", "_sb").agg(F.max_by("value", logged).alias("last_value"))
     earlier = W.partitionBy("run").orderBy("_sb").rowsBetween(W.unboundedPreceding, -1)
     carried = per_bucket.select("run", "_sb", F.last("last_value", ignorenulls=True).over(earlier).alias("carried"))
     inside = W.partitionBy("run", "_sb").orderBy("step", "is_save", "pos").rowsBetween(W.unboundedPreceding, 0)

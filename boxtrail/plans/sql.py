@@ -132,7 +132,7 @@ CTES = {
         p_type AS deck, CASE WHEN p_partkey % 50 <> 7 THEN p_partkey // 3 END AS page, 800 + p_size * 20 AS width, 600 + p_retailprice::INT AS height FROM part""",
     "cited": """SELECT l_orderkey AS sample_id, l_linenumber AS pos, min(l_partkey) AS p_partkey FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2""",
     "deck_gold": """SELECT sample_id, list(path ORDER BY pos) AS gold, list(page ORDER BY pos) FILTER (page IS NOT NULL) AS pages, arg_min(deck, pos) AS deck
-        FROM cited JOIN deck_image USING (p_partkey) GROUP BY sample_id""",
+        FROM (SELECT sample_id, min(pos) AS pos, p_partkey FROM cited GROUP BY 1, 3) JOIN deck_image USING (p_partkey) GROUP BY sample_id""",
     # ---- predictions --------------------------------------------------------
     "chain_raw": """SELECT o_orderkey AS idx, o_orderkey AS k, o_custkey AS c, o_orderstatus AS type, 'The ' || o_orderpriority || ' order' AS answer,
         CASE o_custkey % 4 WHEN 0 THEN 'other thing' WHEN 1 THEN 'a ' || o_orderpriority || ' order!' WHEN 2 THEN 'It is the ' || o_orderpriority || ' order.'
