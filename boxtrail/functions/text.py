@@ -82,16 +82,12 @@ def content_tokens(text: Column) -> Column:
 
 
 def char_grams(text: Column, n: int = 4) -> Column:
-    """Distinct character windows of length ``n`` of the lower-cased text."""
-    none = F.array().cast("array<string>")
+    """Distinct character windows of length ``n`` of the lower-cased text.
 
-    def windows(low: Column) -> Column:
-        last = F.length(low) - (n - 1)
-        starts = F.sequence(F.lit(1), F.greatest(last, F.lit(1)))
-        return F.when(last >= 1, F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(n))))).otherwise(none)
-
-    # Bound, so that the text is not rebuilt for every window.
-    return bind(F.lower(text), windows)
+    One regex pass: each match looks ahead for a window and then consumes a
+    single character, so long texts cost linear time.
+    """
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)))
 
 
 def spaced_tokens(tokens: Column) -> Column:
