@@ -29,7 +29,7 @@ def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("boxtrail-bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g").config("spark.log.level", "ERROR").getOrCreate()
+        .config("spark.driver.memory", "16g").config("spark.log.level", "ERROR").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     names = sys.argv[1:] or HEADLINE
     QUERIES["hop_distribution"](spark, sf_dir).collect()

@@ -35,19 +35,26 @@ def json_whole(text: Column) -> Column:
     brackets makes trailing text visible: it turns into a syntax error or into
     a second element.
     """
-    items = _items(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
     closed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
-    return F.when(closed & (F.size(items) == 1), F.get(items, 0))
+    listed = _items(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    return F.when(closed, bind(listed, lambda items: F.when(F.size(items) == 1, F.get(items, 0))))
 
 
 def parse_lenient(text: Column) -> Column:
     """Variant found in model output: whole text, else the first ``{...}`` value."""
     blob = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
-    return F.coalesce(json_whole(text), F.try_parse_json(blob))
+    # A text that opens with an object needs one parse: its first complete value
+    # is the answer, whether or not other text follows.
+    opens = F.startswith(F.ltrim(text), F.lit("{"))
+    return F.when(opens, F.try_parse_json(text)).otherwise(F.coalesce(json_whole(text), F.try_parse_json(blob)))
 
 
 def is_truthy(v: Column) -> Column:
     """Whether a parsed value counts as output: not null, empty, zero or false."""
+    return bind(v, _is_truthy)
+
+
+def _is_truthy(v: Column) -> Column:
     shown = v.cast("string")
     is_text = F.coalesce(_kind(v) == "STRING", F.lit(False))
     zero = F.coalesce(F.try_variant_get(v, "$", "double") == 0, F.lit(False))
@@ -61,6 +68,10 @@ def scalar_text(v: Column) -> Column:
     Booleans read ``True``/``False`` and nested nulls ``None``, the spelling
     answers are compared in.
     """
+    return bind(v, _scalar_text)
+
+
+def _scalar_text(v: Column) -> Column:
     def shown(x: Column) -> Column:
         return (
             F.when(x.isNull() | F.is_variant_null(x), F.lit("None"))
@@ -76,12 +87,13 @@ def scalar_text(v: Column) -> Column:
 
 def _text_or_empty(v: Column) -> Column:
     """Text of a truthy scalar, empty otherwise."""
-    return F.when(is_truthy(v), scalar_text(v)).otherwise(F.lit(""))
+    return bind(v, lambda x: F.when(_is_truthy(x), _scalar_text(x)).otherwise(F.lit("")))
 
 
 def box_list(v: Column) -> Column:
     """Boxes from ``[x1,y1,x2,y2]`` (numbers only) or ``[[...], ...]``; bad items are skipped."""
-    return F.when(_is_array(v), bind(_items(v), _boxes_of)).otherwise(F.array().cast(NO_BOXES))
+    none = F.array().cast(NO_BOXES)
+    return bind(v, lambda x: F.when(_is_array(x), bind(_items(x), _boxes_of)).otherwise(none))
 
 
 def _boxes_of(items: Column) -> Column:
@@ -103,11 +115,16 @@ def predicted_chain(parsed: Column) -> Column:
     non-numeric hop number is the item's position.
     """
     at = lambda v, key, kind="variant": F.try_variant_get(v, f"$.{key}", kind)
-    single = F.coalesce(
-        *[F.when(F.size(box_list(at(parsed, key))) > 0, box_list(at(parsed, key))) for key in ("bbox", "bboxes")]
-    )
-    one_hop = F.array(
-        F.struct(F.lit(1).alias("hop"), _text_or_empty(at(parsed, "image_id")).alias("image_id"), single.alias("bboxes"))
+    filled = lambda key: bind(box_list(at(parsed, key)), lambda b: F.when(F.size(b) > 0, b))
+    single = F.coalesce(filled("bbox"), filled("bboxes"))
+    one_hop = bind(
+        single,
+        lambda b: F.when(
+            b.isNotNull(),
+            F.array(
+                F.struct(F.lit(1).alias("hop"), _text_or_empty(at(parsed, "image_id")).alias("image_id"), b.alias("bboxes"))
+            ),
+        ),
     )
 
     steps = F.transform(
@@ -122,8 +139,8 @@ def predicted_chain(parsed: Column) -> Column:
         ),
     )
     hops = F.filter(steps, lambda s: s.isNotNull())
-    found = F.when(single.isNotNull(), one_hop).when(_is_array(at(parsed, "evidence_chain")), hops)
-    return F.coalesce(F.when(is_object(parsed), found), F.array()).cast(CHAIN_TYPE)
+    found = F.coalesce(one_hop.cast(CHAIN_TYPE), hops.cast(CHAIN_TYPE), F.array().cast(CHAIN_TYPE))
+    return F.when(is_object(parsed), found).otherwise(F.array().cast(CHAIN_TYPE))
 
 
 def hop_boxes(chain: Column) -> Column:
@@ -140,7 +157,7 @@ def flatten_boxes(chain: Column) -> Column:
 # ---- strict reading ---------------------------------------------------------
 
 def _with_answer(v: Column) -> Column:
-    return F.when(F.try_variant_get(v, "$.answer", "variant").isNotNull(), v)
+    return bind(v, lambda x: F.when(F.try_variant_get(x, "$.answer", "variant").isNotNull(), x))
 
 
 def parse_strict(text: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from boxtrail.functions import prompts as P
+from boxtrail.functions.binding import bind
 
 IGNORED_LABEL = -100
 
@@ -12,7 +13,7 @@ IGNORED_LABEL = -100
 def json_text(value: Column) -> Column:
     """A string as a JSON string literal; non-ASCII characters stay."""
     wrapped = F.to_json(F.struct(F.coalesce(value, F.lit("")).alias("v")))
-    return F.substring(wrapped, F.lit(6), F.length(wrapped) - 6)
+    return bind(wrapped, lambda w: F.substring(w, F.lit(6), F.length(w) - 6))
 
 
 def boxes_text(boxes: Column) -> Column:

@@ -11,7 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boxtrail.runtime import configure
+from boxtrail.runtime import configure, spread
 
 BLOCK = "<(p|li|td|h1|div|b|span)([^>]*)>([^<]*)"
 
@@ -24,12 +24,16 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def wide(self, name: str) -> DataFrame:
+        """A driver table for row-local work that is heavy per row."""
+        return spread(self.raw(name))
+
     # ---- pages and text -----------------------------------------------------
 
     @cached_property
     def paragraphs(self) -> DataFrame:
         """Lines of a document as paragraphs with a box from their order and length."""
-        lines = self.raw("documents").select(
+        lines = self.wide("documents").select(
             F.col("doc_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("para_ord", "text")
         ).where(F.length(F.trim("text")) > 0)
         return lines.selectExpr(
@@ -41,7 +45,7 @@ class Tables:
     @cached_property
     def context_entries(self) -> DataFrame:
         """Each document as one context entry of the question with its number."""
-        return self.raw("documents").select(
+        return self.wide("documents").select(
             F.col("doc_id").alias("sample_id"), F.lit(0).alias("ctx_pos"),
             F.concat(F.lit("Entity_"), F.col("doc_id").cast("string")).alias("entity"),
             F.split(F.replace("text", F.lit("\n"), F.lit(" ")), r"\. ").alias("sents"),
@@ -68,7 +72,7 @@ class Tables:
     def layout(self) -> DataFrame:
         """Block elements of the raw pages with boxes from their order and text length."""
         part = lambda g: F.regexp_extract_all("html", F.lit(BLOCK), F.lit(g))
-        zipped = self.raw("pages").select("page_id", F.arrays_zip(part(1).alias("t"), part(3).alias("s")).alias("z"))
+        zipped = self.wide("pages").select("page_id", F.arrays_zip(part(1).alias("t"), part(3).alias("s")).alias("z"))
 
         def element(z, i):
             text, n = z["s"], F.length(z["s"])
@@ -136,7 +140,7 @@ class Tables:
                 WHEN 5 THEN 'Nobody' ELSE concat('Entity_', o_custkey + 37 * i) END,
             'relation', element_at(array('date_of_birth', 'place_of_death', 'director'), i + 1),
             'value', element_at(array('the on', 'of', 'la', 'und', 'that and', CAST(NULL AS STRING)), CAST(o_custkey % 6 AS INT) + 1)))"""
-        return self.raw("orders").selectExpr("*", "CAST(1 + o_orderkey % 3 AS INT) AS n").selectExpr(
+        return self.wide("orders").selectExpr("*", "CAST(1 + o_orderkey % 3 AS INT) AS n").selectExpr(
             "o_orderkey AS sample_id", "concat('Question ', o_orderkey) AS question", "o_orderpriority AS answer",
             "CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS type", "n AS num_hops",
             f"{chain} AS evidence_chain",
@@ -165,7 +169,7 @@ class Tables:
             'slide_idx', CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey % 40 + 40 * ((o_orderkey + i) % 5) AS INT) END,
             'page', CAST(o_custkey % 40 + 40 * ((o_orderkey + i) % 5) AS INT),
             'bboxes', {boxes}))"""
-        return self.raw("orders").selectExpr(
+        return self.wide("orders").selectExpr(
             "o_orderkey AS sample_id", "concat('Question ', o_orderkey) AS question", "o_totalprice AS answer",
             "CASE WHEN o_orderkey % 3 <> 1 THEN concat('deck', o_custkey % 40) END AS deck_name",
             "concat('deck', o_custkey % 40) AS deck_id",
@@ -216,7 +220,7 @@ class Tables:
 
         gold_id = "CASE WHEN (o_orderkey + i) % 11 = 0 THEN '' ELSE concat('img_', (o_orderkey + i) % 5) END"
         pred_id = f"CASE WHEN (o_custkey + i) % 6 = 0 THEN 'img_9' ELSE {gold_id} END"
-        return self.raw("orders").selectExpr(
+        return self.wide("orders").selectExpr(
             "*", "1 + o_orderkey % 3 AS n", "1 + o_orderkey % 3 - CASE WHEN o_custkey % 7 = 0 THEN 1 ELSE 0 END AS m"
         ).selectExpr(
             "o_orderkey AS idx", "o_custkey", "o_orderstatus AS type",

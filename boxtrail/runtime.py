@@ -28,6 +28,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The table over at least as many partitions as there are cores.
+
+    A file with a single row group is one task, whatever is computed from it.
+    Only inputs with fewer splits than cores are redistributed; larger ones, and
+    so every table at scale, pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder visible to every executor, as the cluster names it.
 

@@ -63,7 +63,7 @@ def main(argv):
 
     spark = (
         SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "12g").getOrCreate()
+        .config("spark.driver.memory", "12g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(argv[0])
