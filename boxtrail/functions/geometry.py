@@ -55,6 +55,11 @@ def is_sane(box: Column) -> Column:
     return width(box).between(1, MAX_BOX_SIDE) & height(box).between(1, MAX_BOX_SIDE)
 
 
+def capped_height(h: Column) -> Column:
+    """Page height as captured: very long pages are cut."""
+    return F.least(h, F.lit(PAGE_HEIGHT_CAP))
+
+
 def within_bounds(box: Column, w: Column, h: Column) -> Column:
     return (F.get(box, 0) >= 0) & (F.get(box, 1) >= 0) & (F.get(box, 2) <= w) & (F.get(box, 3) <= h)
 

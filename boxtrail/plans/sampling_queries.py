@@ -8,6 +8,7 @@ from boxtrail.functions import geometry as G, records as R, text as T
 from boxtrail.operators import records as RO, sampling as S, slides
 from boxtrail.plans.registry import query
 from boxtrail.plans.sql import with_ctes
+from boxtrail.sources.readers import screenshots_large_enough
 
 K, SEED = 5, 42
 join_text = lambda arr: F.array_join(arr.cast("array<string>"), " ")
@@ -141,6 +142,13 @@ def scale_boxes(t):
     return planned.select("l_orderkey", "l_linenumber", "l_partkey", boxes_text(scaled).alias("box"))
 
 
+@query("captured_pages", "SELECT doc_id, least(n_chars, 15000) AS height FROM documents WHERE least(n_chars, 15000) >= 100")
+def captured_pages(t):
+    """Pages of usable size, their height cut at the capture limit."""
+    pages = t.raw("documents").select("doc_id", F.lit(1024).alias("width"), G.capped_height(F.col("n_chars")).alias("height"))
+    return screenshots_large_enough(pages).select("doc_id", "height")
+
+
 # ---- records ----------------------------------------------------------------
 
 @query("image_id_resolve", """SELECT l_orderkey, l_linenumber, l_partkey, coalesce(nullif(CASE l_partkey % 4 WHEN 0 THEN 'own_' || l_partkey WHEN 1 THEN '' END, ''),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as Ty
 
 from boxtrail import schemas as S
+from boxtrail.functions.geometry import MIN_SCREENSHOT_SIDE
 
 # ---- Fixed values -----------------------------------------------------------
 LAYOUT_SUFFIX, BOXES_SUFFIX = "_layout.json", "_bboxes.json"
@@ -136,6 +137,6 @@ def _relative(files: DataFrame, folder: str) -> DataFrame:
     return files.withColumn("path", F.coalesce(below, "path"))
 
 
-def screenshots_large_enough(images: DataFrame, side: int) -> DataFrame:
+def screenshots_large_enough(images: DataFrame, side: int = MIN_SCREENSHOT_SIDE) -> DataFrame:
     """Images whose width and height reach ``side`` pixels."""
     return images.where((F.col("width") >= side) & (F.col("height") >= side))
