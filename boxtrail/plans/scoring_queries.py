@@ -8,7 +8,7 @@ from boxtrail.functions import geometry as G, parsing as J, scoring as S, text a
 from boxtrail.operators import evaluation as E, logs as L
 from boxtrail.plans.registry import query
 from boxtrail.plans.sql import center, iou, match, norm_paper, norm_train, with_ctes
-from boxtrail.runtime import new_shared_path, shared_folder
+from boxtrail.runtime import new_shared_path
 from boxtrail.streaming import scorer
 
 R6 = lambda c: F.round(c, 6)
@@ -367,7 +367,6 @@ def stream_summary(t):
     Half of the rows arrive twice; the result equals the batch summary.
     """
     spark = t.spark
-    shared_folder(spark)
     inbox, scored, summary = (new_shared_path(spark, n) for n in ("inbox", "scored", "summary"))
     rows = t.predictions
     rows.unionByName(rows.where("idx % 2 = 0")).write.parquet(inbox)
