@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from boxtrail.llm import packing, sharding, token_counts
+from boxtrail.llm import packing, pii, secrets, sharding, token_counts
 
-QUERIES = {f.__name__: f for f in (token_counts.op1_token_histogram, packing.op5_packing, sharding.op8_virtual_slots)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        token_counts.op1_token_histogram,
+        secrets.op2_secret_scan,
+        pii.op4_personal_data,
+        packing.op5_packing,
+        sharding.op8_virtual_slots,
+    )
+}
 ORACLE: dict[str, str] = {}
