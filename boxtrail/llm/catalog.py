@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxtrail.llm import packing, pii, secrets, sharding, token_counts
+from boxtrail.llm import decontam, langid, packing, pii, quality, secrets, sharding, token_counts
 
 QUERIES = {
     f.__name__: f
@@ -11,7 +11,10 @@ QUERIES = {
         secrets.op2_secret_scan,
         pii.op4_personal_data,
         packing.op5_packing,
+        quality.op6_quality_rules,
+        langid.op7_language_id,
         sharding.op8_virtual_slots,
+        decontam.op10_benchmark_overlaps,
     )
 }
 ORACLE: dict[str, str] = {}
