@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from boxtrail.llm import decontam, langid, packing, pii, quality, secrets, sharding, token_counts
+from boxtrail.llm import bagminhash, decontam, langid, packing, pii, quality, secrets, sharding, token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
         token_counts.op1_token_histogram,
         secrets.op2_secret_scan,
+        bagminhash.op3_near_duplicates,
         pii.op4_personal_data,
         packing.op5_packing,
         quality.op6_quality_rules,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k"
+WORD = re.compile(r"[^\W_]+")
 END_OF_TEXT = "<|endoftext|>"
 
 
@@ -89,3 +91,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(33))
     h = h * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(33))
+
+
+def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in a row, and each text's number of words."""
+    import xxhash
+
+    words, sizes = [], np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        found = WORD.findall(text.lower()) if text else ()
+        sizes[i] = len(found)
+        words.extend(found)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), sizes

@@ -15,7 +15,6 @@ texts are searched one by one. An empty corpus or benchmark gives an empty resul
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxtrail.llm.common import columns_of, documents, mix, slices, text_key
+from boxtrail.llm.common import columns_of, documents, mix, slices, text_key, word_hashes
 from boxtrail.runtime import materialize
 
 # Eight of twelve words each; together they keep a hit on most ways to replace a word in five.
@@ -36,19 +35,6 @@ COVERED = 0.5
 FILTER_BITS = 26
 PROBES = 4
 CHUNK = 1 << 21
-WORD = re.compile(r"[^\W_]+")
-
-
-def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in a row, and each text's number of words."""
-    import xxhash
-
-    words, sizes = [], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        found = WORD.findall(text.lower()) if text else ()
-        sizes[i] = len(found)
-        words.extend(found)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), sizes
 
 
 def masks_for(short: list[int]) -> list[tuple[int, ...]]:
