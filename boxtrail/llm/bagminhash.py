@@ -224,9 +224,10 @@ def class_links(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, cid, class_id, class_docs, n_links: one row per input row.
+    """doc_id, cid, class_id, class_docs, n_links, keep: one row per input row.
 
-    ``class_id`` is the least doc_id of the class; ``n_links`` counts the verified links of the row's own text.
+    ``class_id`` is the least doc_id of the class; ``n_links`` counts the verified links of the row's own text; ``keep``
+    marks the document (equal rows: each of them) that stands for its class, the one of the least doc_id.
     """
     links = class_links(docs)
     labels = components(links)
@@ -235,9 +236,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     named = texts.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")).join(ends, "cid", "left")
     named = materialize(named, "labelled_texts")
-    classes = named.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_docs"))
-    full = named.join(classes, "label").select("cid", "class_id", "class_docs", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.join(full, "cid").select("doc_id", "cid", "class_id", "class_docs", "n_links")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cid"))
+    classes = named.groupBy("label").agg(first.alias("first"), F.sum("copies").alias("class_docs"))
+    full = named.join(classes, "label").select("cid", "first", "class_docs", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    keep = (F.col("cid") == F.col("first.cid")) & F.col("doc_id").eqNullSafe(F.col("first.least"))
+    return rows.join(full, "cid").select("doc_id", "cid", F.col("first.least").alias("class_id"), "class_docs", "n_links", keep.alias("keep"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each class, with all its columns as they are."""
+    kept = near_duplicates(docs).where("keep").select("doc_id", "cid").distinct()
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), class_key().alias("key"))
+    found = whole.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("cid")))
+    return found.dropDuplicates(["id", "key"]).select("row.*")
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:

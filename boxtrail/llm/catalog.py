@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxtrail.llm import bagminhash, decontam, langid, packing, pii, quality, secrets, sharding, token_counts
+from boxtrail.llm import bagminhash, decontam, langid, packing, pii, quality, repeats, secrets, sharding, token_counts
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         quality.op6_quality_rules,
         langid.op7_language_id,
         sharding.op8_virtual_slots,
+        repeats.op9_repeated_strings,
         decontam.op10_benchmark_overlaps,
     )
 }

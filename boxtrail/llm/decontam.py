@@ -196,6 +196,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out.where((F.col("matched") > 0) & (F.col("covered") >= F.lit(COVERED) * F.col("item_words")))
 
 
+def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows that hold no benchmark item, with all their columns as they are."""
+    hit = overlaps(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct()
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key().alias("key"))
+    return whole.join(hit, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left_anti").select("row.*")
+
+
 def op10_benchmark_overlaps(spark, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items, with the items."""
     return overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")).drop("text_key")

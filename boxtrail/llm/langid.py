@@ -335,6 +335,18 @@ def predict(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
     return rows.mapInArrow(classify, schema)
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows whose text is not rejected, with all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for b in batches:
+            (texts,) = columns_of(b, "text")
+            yield b.filter(pa.array([not rejected for _, _, rejected, _ in shared.value.predict(texts)], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
     """Language of every document, learned from four of five folds."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")

@@ -114,6 +114,20 @@ def redact(text: Column, found: Column, mask: str = "[secret]") -> Column:
     return F.when(F.size(found) > 0, state).otherwise(text)
 
 
+def without_secrets(docs: DataFrame, ledger_path: str) -> DataFrame:
+    """All rows, with every secret in the text masked; ``n_chars``, where there is such a column, follows the text."""
+    ledger = update_ledger(docs.select("doc_id", "text"), ledger_path)
+    found = ledger.where((F.col("rules") == RULES_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
+    whole = docs.select(F.struct("*").alias("row"), blob_of().alias("key")).join(found, F.col("key") == F.col("blob"), "left")
+    text = F.when(F.col("spans").isNotNull(), redact(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
+    masked = whole.select("row", "spans", text.alias("masked"))
+    changed = {"text": F.col("masked")}
+    if "n_chars" in docs.columns:
+        size = F.length("masked").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("spans").isNotNull(), size).otherwise(F.col("row.n_chars"))
+    return masked.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Secrets in every document, scanned once per distinct text against a fresh ledger."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

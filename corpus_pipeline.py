@@ -1,10 +1,37 @@
-"""Corpus cleaning pipeline: language ID, near-duplicates, benchmark passages, secrets, packing."""
+"""Corpus cleaning: language ID, near-duplicates, benchmark passages, secrets, packing.
+
+Each stage takes the documents that the one before it kept, as a table, and works on whole texts. The first three drop
+rows, the fourth masks secrets inside texts, the last packs what is left into sequences. Rows that share a doc_id are
+told apart by their text; a null text has no letter, so the first stage rejects it. Columns beside doc_id and text are
+passed on as they are. An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxtrail.llm import packing
+from boxtrail.llm import bagminhash, decontam, langid, packing, secrets
+from boxtrail.runtime import materialize, new_shared_path
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the models, trained on the labelled ones, do not reject."""
+    return langid.accepted(docs, langid.fit(docs.select("doc_id", "text", "lang")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    return bagminhash.without_near_duplicates(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark items."""
+    return decontam.without_benchmark(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets masked."""
+    return secrets.without_secrets(docs, new_shared_path(spark, "secret_ledger"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,12 +39,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("secrets", mask_secrets), ("packing", pack)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
