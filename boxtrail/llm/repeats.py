@@ -49,7 +49,7 @@ def _bytes(text) -> bytes:
 def keyed(docs: DataFrame) -> DataFrame:
     """doc, tag, text: ``tag`` tells apart rows that share a doc_id; it is 0 where no doc_id repeats."""
     repeated = not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    tag = F.xxhash64(F.coalesce("text", F.lit(""))).cast("int") if repeated else F.lit(0)
+    tag = F.hash(F.coalesce("text", F.lit(""))) if repeated else F.lit(0)
     return docs.select(F.col("doc_id").alias("doc"), tag.alias("tag"), "text")
 
 
