@@ -11,8 +11,6 @@ from boxtrail.functions.binding import bind
 # ---- Fixed values -----------------------------------------------------------
 PATCH = 32
 IOU_THRESHOLD = 0.3
-MAX_BOX_SIDE = 2000
-PAGE_HEIGHT_CAP = 15000
 MIN_SCREENSHOT_SIDE = 100
 DEFAULT_IMAGE_SIZE = (1024, 768)
 # -----------------------------------------------------------------------------
@@ -50,14 +48,15 @@ def relaxed_match(pred: Column, gold: Column, threshold: float = IOU_THRESHOLD)
     return (iou(pred, gold) >= threshold) | center_inside(pred, gold)
 
 
-def is_sane(box: Column) -> Column:
-    """Positive sides of at most ``MAX_BOX_SIDE`` pixels."""
-    return width(box).between(1, MAX_BOX_SIDE) & height(box).between(1, MAX_BOX_SIDE)
+def is_sane(box: Column, max_side: int | None = None) -> Column:
+    """Positive sides; with ``max_side`` (2000 in the published data) none longer than that."""
+    sane = (width(box) >= 1) & (height(box) >= 1)
+    return sane if max_side is None else sane & (width(box) <= max_side) & (height(box) <= max_side)
 
 
-def capped_height(h: Column) -> Column:
-    """Page height as captured: very long pages are cut."""
-    return F.least(h, F.lit(PAGE_HEIGHT_CAP))
+def captured_height(h: Column, cap: int | None = None) -> Column:
+    """Page height as captured: whole, or cut at ``cap`` pixels (15000 in the published data)."""
+    return h if cap is None else F.least(h, F.lit(cap))
 
 
 def within_bounds(box: Column, w: Column, h: Column) -> Column:

@@ -7,6 +7,15 @@ from pyspark.sql import Column, functions as F
 from boxtrail.functions.binding import bind
 from boxtrail.functions.text import strip_ws
 
+# ---- Fixed values -----------------------------------------------------------
+FENCED_OBJECT = r"(?s)```(?:json)?\s*(\{.*?\})\s*```"
+ANSWER_PHRASES = (
+    r'(?i)"answer"\s*:\s*"([^"]*)"',
+    r"(?i)answer[:\s]+(.+?)(?:\n|$)",
+    r"(?i)The answer is[:\s]+(.+?)(?:\.|$)",
+)
+# -----------------------------------------------------------------------------
+
 CHAIN_TYPE = "array<struct<hop:int,image_id:string,bboxes:array<array<double>>>>"
 NO_BOXES = "array<array<double>>"
 
@@ -65,18 +74,49 @@ def _is_truthy(v: Column) -> Column:
 def scalar_text(v: Column) -> Column:
     """Text of a variant: strings as they are, lists joined by ``", "``, null as null.
 
-    Booleans read ``True``/``False`` and nested nulls ``None``, the spelling
-    answers are compared in.
+    Booleans read ``True``/``False``, nested nulls ``None``, numbers with a
+    fraction or exponent keep one (``1.0``), and objects show their entries,
+    the spelling answers are compared in. Entries are in key order.
     """
     return bind(v, _scalar_text)
 
 
+def _number_text(x: Column) -> Column:
+    """Whole values of non-integer literals end in ``.0``."""
+    plain = x.cast("string")
+    fraction = F.coalesce(_kind(x).rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.lit(False)) & ~plain.rlike("[.EeIN]")
+    return F.when(fraction, F.concat(plain, F.lit(".0"))).otherwise(plain)
+
+
+def _quoted(x: Column) -> Column:
+    """A value inside an object: texts in quotes, deeper values as JSON."""
+    text = x.cast("string")
+    escaped = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    double = F.contains(text, F.lit("'")) & ~F.contains(text, F.lit('"'))
+    as_text = F.when(double, F.concat(F.lit('"'), escaped, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    )
+    return (
+        F.when(x.isNull() | F.is_variant_null(x), F.lit("None"))
+        .when(_kind(x) == "BOOLEAN", F.initcap(text))
+        .when(_kind(x) == "STRING", as_text)
+        .otherwise(_number_text(x))
+    )
+
+
+def _object_text(v: Column) -> Column:
+    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    shown = F.transform(entries, lambda e: F.concat(F.lit("'"), e["key"], F.lit("': "), _quoted(e["value"])))
+    return F.concat(F.lit("{"), F.array_join(shown, ", "), F.lit("}"))
+
+
 def _scalar_text(v: Column) -> Column:
     def shown(x: Column) -> Column:
         return (
             F.when(x.isNull() | F.is_variant_null(x), F.lit("None"))
             .when(_kind(x) == "BOOLEAN", F.initcap(x.cast("string")))
-            .otherwise(x.cast("string"))
+            .when(is_object(x), _object_text(x))
+            .otherwise(_number_text(x))
         )
 
     joined = F.array_join(F.transform(_items(v), shown), ", ")
@@ -107,6 +147,15 @@ def _boxes_of(items: Column) -> Column:
     return F.when(flat, one).otherwise(good)
 
 
+def _hop_number(v: Column) -> Column:
+    """Whole number of a hop: numbers are cut, texts must be whole numbers, anything else is null."""
+    text = strip_ws(v.cast("string"))
+    number = F.when(_kind(v) == "STRING", F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))).otherwise(
+        F.try_variant_get(v, "$", "double").try_cast("int")
+    )
+    return F.when(_is_array(v) | is_object(v), F.lit(None).cast("int")).otherwise(number)
+
+
 def predicted_chain(parsed: Column) -> Column:
     """Evidence hops of a parsed output.
 
@@ -132,7 +181,7 @@ def predicted_chain(parsed: Column) -> Column:
         lambda ev, i: F.when(
             is_object(ev),
             F.struct(
-                F.coalesce(at(ev, "hop", "double").cast("int"), i + 1).alias("hop"),
+                F.coalesce(_hop_number(at(ev, "hop")), i + 1).alias("hop"),
                 _text_or_empty(at(ev, "image_id")).alias("image_id"),
                 F.coalesce(box_list(at(ev, "bboxes")), F.array().cast(NO_BOXES)).alias("bboxes"),
             ),
@@ -163,20 +212,15 @@ def _with_answer(v: Column) -> Column:
 def parse_strict(text: Column) -> Column:
     """Object with an ``answer`` key from the text, a fenced block, or the outer braces."""
     bare = strip_ws(text)
-    fenced = F.nullif(F.regexp_extract(bare, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1), F.lit(""))
+    fenced = F.nullif(F.regexp_extract(bare, FENCED_OBJECT, 1), F.lit(""))
     outer = F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))
     return F.coalesce(*[_with_answer(json_whole(c)) for c in (bare, fenced, outer)])
 
 
 def fallback_answer(text: Column) -> Column:
     """Answer phrase of free text, null when none is marked."""
-    patterns = (
-        r'(?i)"answer"\s*:\s*"([^"]*)"',
-        r"(?i)answer[:\s]+(.+?)(?:\n|$)",
-        r"(?i)The answer is[:\s]+(.+?)(?:\.|$)",
-    )
     bare = strip_ws(text)
-    return F.coalesce(*[F.when(bare.rlike(p), strip_ws(F.regexp_extract(bare, p, 1))) for p in patterns])
+    return F.coalesce(*[F.when(bare.rlike(p), strip_ws(F.regexp_extract(bare, p, 1))) for p in ANSWER_PHRASES])
 
 
 def strict_answer(parsed: Column, text: Column) -> Column:

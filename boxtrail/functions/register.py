@@ -4,6 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from boxtrail.functions.text import ARTICLES, WS
+
+
+def _literal(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+_SPACES, _ARTICLE = _literal(WS + "+"), _literal(ARTICLES)
+_LISTED = "try_variant_get(try_parse_json(concat('[', t, ']')), '$', 'array<variant>')"
 _PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\\\]^_`{|}~"
 _BOX_AREA = "greatest(0, {b}[2] - {b}[0]) * greatest(0, {b}[3] - {b}[1])"
 _OVERLAP = (
@@ -13,11 +22,11 @@ _OVERLAP = (
 FUNCTIONS = {
     "bt_normalize_train(s STRING) RETURNS STRING": (
         "trim(regexp_replace(regexp_replace(translate(lower(coalesce(s, '')), '" + _PUNCT + "', ''), "
-        "'(?U)\\\\b(a|an|the)\\\\b', ' '), '(?U)\\\\s+', ' '))"
+        f"{_ARTICLE}, ' '), {_SPACES}, ' '))"
     ),
     "bt_normalize_paper(s STRING) RETURNS STRING": (
-        "trim(regexp_replace(translate(regexp_replace(lower(s), '(?U)\\\\b(a|an|the)\\\\b', ' '), '" + _PUNCT
-        + "', ''), '(?U)\\\\s+', ' '))"
+        f"trim(regexp_replace(translate(regexp_replace(lower(s), {_ARTICLE}, ' '), '" + _PUNCT
+        + f"', ''), {_SPACES}, ' '))"
     ),
     "bt_answer_em(p STRING, g STRING) RETURNS INT": "int(bt_normalize_train(p) = bt_normalize_train(g))",
     "bt_iou(p ARRAY<DOUBLE>, g ARRAY<DOUBLE>) RETURNS DOUBLE": (
@@ -28,8 +37,9 @@ FUNCTIONS = {
     ),
     "bt_match(p ARRAY<DOUBLE>, g ARRAY<DOUBLE>) RETURNS BOOLEAN": "bt_iou(p, g) >= 0.3 OR bt_center_inside(p, g)",
     "bt_parse(t STRING) RETURNS VARIANT": (
-        "coalesce(try_parse_json(CASE WHEN t LIKE '{%' THEN t END), "
-        "try_parse_json(nullif(regexp_extract(t, '(?s)\\\\{.*\\\\}', 0), '')))"
+        "CASE WHEN startswith(ltrim(t), '{') THEN try_parse_json(t) ELSE coalesce("
+        f"CASE WHEN try_parse_json(concat('{{\"v\":', t, '}}')) IS NOT NULL AND size({_LISTED}) = 1 THEN get({_LISTED}, 0) END, "
+        "try_parse_json(nullif(regexp_extract(t, '(?s)\\\\{.*\\\\}', 0), ''))) END"
     ),
 }
 

@@ -204,9 +204,10 @@ def entity_url(entity: Column, base: str = WIKI_BASE) -> Column:
     return F.concat(F.lit(base), F.replace(entity, F.lit(" "), F.lit("_")))
 
 
-def safe_filename(entity: Column) -> Column:
-    """File-system safe stem: cleaned name cut at 80 plus an md5 tag."""
-    safe = F.substring(F.regexp_replace(entity, r"[^\p{L}\p{N}._-]", "_"), 1, 80)
+def safe_filename(entity: Column, chars: int | None = None) -> Column:
+    """File-system safe stem: cleaned name, cut at ``chars`` if given (80 in the published data), plus an md5 tag."""
+    safe = F.regexp_replace(entity, r"[^\p{L}\p{N}._-]", "_")
+    safe = safe if chars is None else F.substring(safe, 1, chars)
     return F.concat_ws("_", safe, F.substring(F.md5(entity), 1, 8))
 
 

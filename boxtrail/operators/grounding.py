@@ -269,12 +269,13 @@ def match_hops(samples: DataFrame) -> DataFrame:
     triples = samples.where(usable).select(
         "sample_id", "evidence_chain", F.posexplode("evidences").alias("hop_pos", "t")
     )
-    malformed = F.col("t.entity").isNull() | F.col("t.relation").isNull() | F.col("t.value").isNull()
+    # Lists of another length than three arrive without entity and relation; a null value is a value.
+    malformed = F.col("t.entity").isNull() | F.col("t.relation").isNull()
     return (
         triples.withColumn("matched", F.when(~malformed, matched))
         .withColumn("entry", last)
         .select(
-            "sample_id", "hop_pos", F.col("t.entity").alias("query_entity"), "t.relation", "t.value",
+            "sample_id", "hop_pos", F.col("t.entity").alias("query_entity"), "t.relation", F.when(~malformed, F.coalesce("t.value", F.lit("None"))).alias("value"),
             F.col("entry.entity").alias("entity"), F.col("entry.screenshot").alias("screenshot"),
             F.col("entry.sentence_ids").alias("sentence_ids"),
             F.when(malformed, "malformed_triple").when(F.col("entry").isNull(), "no_chain_entry").alias("early_status"),
@@ -362,11 +363,11 @@ def resolve_hops(
     Equal (page, value, sentence) questions are answered once and shared.
     """
     hops = match_hops(samples).withColumn("sid", F.get("sentence_ids", 0))
-    located = hops.join(page_of, "screenshot", "left").join(context, ["entity", "sid"], "left")
+    # Hops without a chain entry have no page: they go around the joins instead of meeting on a null key.
+    open_ = hops.where(F.col("early_status").isNull())
+    located = open_.join(page_of, "screenshot", "left").join(context, ["entity", "sid"], "left")
     side = F.coalesce("side_table", F.lit("missing"))
-    state = F.coalesce(
-        "early_status", F.when(side == "missing", "no_bboxes_file").when(side == "bad", "bad_bboxes_file")
-    )
+    state = F.when(side == "missing", "no_bboxes_file").when(side == "bad", "bad_bboxes_file")
     key = F.md5(F.concat_ws("\u0001", F.col("value"), F.coalesce("sent", F.lit(""))))
     keyed = located.withColumn("state", state).withColumn("target_id", F.when(F.col("state").isNull(), key))
     wanted = (
@@ -376,11 +377,17 @@ def resolve_hops(
     )
     pages = page_of.where("side_table = 'ok'").select("page_id", "image_height").dropDuplicates(["page_id"])
     picked = pick_paragraphs(wanted, paragraphs, pages, direct_limit)
-    return keyed.join(picked, ["page_id", "target_id"], "left").select(
+    asked = keyed.where(F.col("state").isNull()).join(picked, ["page_id", "target_id"], "left")
+    answered = asked.select(*hops.columns, "sent", F.col("status"), "para_ord", "x1", "y1", "x2", "y2", "coverage", "score")
+    none = {c: F.lit(None).cast(answered.schema[c].dataType) for c in ("para_ord", "x1", "y1", "x2", "y2", "coverage", "score")}
+    failed = keyed.where(F.col("state").isNotNull()).select(*hops.columns, "sent", F.col("state").alias("status")).withColumns(none)
+    early = hops.where(F.col("early_status").isNotNull()).withColumns({"sent": F.lit(None).cast("string"), "status": F.col("early_status"), **none})
+    every = answered.unionByName(failed).unionByName(early.select(*answered.columns))
+    return every.select(
         "sample_id", "hop_pos",
         T.relation_question(F.col("relation"), F.col("query_entity")).alias("question"),
         F.col("value").alias("answer"), "entity", "screenshot", "sentence_ids",
-        F.coalesce("state", "status").alias("status"), "para_ord",
+        "status", "para_ord",
         F.when(F.col("para_ord").isNotNull(), F.array("x1", "y1", "x2", "y2")).alias("bbox"),
         F.coalesce("sent", F.lit("")).alias("target_sentence"), "coverage", "score",
     )
@@ -443,11 +450,10 @@ def expand_single_hop(samples: DataFrame, hops: DataFrame) -> DataFrame:
     return by_triple.unionByName(by_entry)
 
 
-def is_single_hop(samples: DataFrame, probe: int = 32) -> DataFrame:
-    """Whether the first ``probe`` samples (by id) all have exactly one hop."""
+def is_single_hop(samples: DataFrame) -> DataFrame:
+    """Whether all samples have exactly one hop; false for an empty table."""
     one = (F.coalesce("num_hops", F.lit(0)) == 1) & (F.coalesce(F.size("evidence_chain"), F.lit(0)) == 1)
-    head = samples.orderBy("sample_id").limit(probe)
-    return head.agg(F.coalesce(F.bool_and(one), F.lit(False)).alias("pre_expanded"))
+    return samples.agg(F.coalesce(F.bool_and(one), F.lit(False)).alias("pre_expanded"))
 
 
 # ---- legacy value checks ----------------------------------------------------

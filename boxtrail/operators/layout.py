@@ -16,30 +16,30 @@ TEXT_TAGS = ("P", "TD", "TH", "LI", "DD", "DT", "CAPTION", "FIGCAPTION")
 ORDINAL_TAGS = ("P", "TD", "TH", "LI", "DD", "DT", "CAPTION")
 FLOAT_CLASSES = ("infobox", "vcard", "sidebar", "floatright")
 FLOAT_MIN_WIDTH, FLOAT_MIN_HEIGHT, FLOAT_GAP = 50, 20, 10
-MIN_WIDTH, MIN_HEIGHT, MAX_HEIGHT = 30, 5, 800
-TEXT_LIMIT, ELEMENT_TEXT_LIMIT, CLASS_LIMIT = 2000, 500, 200
+MIN_WIDTH, MIN_HEIGHT = 30, 5
 LINE_MIN_WIDTH, LINE_MIN_HEIGHT = 3, 2
-SEARCH_PREFIX, SEARCH_MIN_WIDTH = 150, 50
+SEARCH_MIN_WIDTH = 50
 # -----------------------------------------------------------------------------
 
 
-def visible_elements(elements: DataFrame) -> DataFrame:
-    """Rendered elements worth keeping in a snapshot, with bounded field sizes.
+def visible_elements(elements: DataFrame, text_chars: int | None = None, class_chars: int | None = None) -> DataFrame:
+    """Rendered elements worth keeping in a snapshot.
 
-    Drops zero-size elements and textless ones other than images and figures.
+    Drops zero-size elements and textless ones other than images and figures. Fields stay whole unless a number of
+    characters is given (500 and 200 in the published data).
     """
     shown = (G.width(F.col("bcr")) > 0) & (G.height(F.col("bcr")) > 0)
     texty = (F.length(T.strip_ws(F.coalesce("text", F.lit("")))) > 0) | F.col("tag").isin("IMG", "FIGURE")
     rects = F.filter("line_rects", lambda r: (G.width(r) > LINE_MIN_WIDTH) & (G.height(r) > LINE_MIN_HEIGHT))
     return elements.where(shown & texty).withColumns(
-        {
-            "cls": F.substring("cls", 1, CLASS_LIMIT),
-            "text": F.substring("text", 1, ELEMENT_TEXT_LIMIT),
-            "line_rects": rects,
-        }
+        {"cls": _cut("cls", class_chars), "text": _cut("text", text_chars), "line_rects": rects}
     )
 
 
+def _cut(name: str, chars: int | None) -> Column:
+    return F.col(name) if chars is None else F.substring(name, 1, chars)
+
+
 def _is_float(el: Column) -> Column:
     cls = F.lower(F.coalesce(el["cls"], F.lit("")))
     named = F.lit(False)
@@ -76,9 +76,12 @@ def _clip_right(rect: Column, floats: Column) -> Column:
     return F.array(F.get(rect, 0).cast("int"), F.get(rect, 1).cast("int"), right, F.get(rect, 3).cast("int"))
 
 
-def layout_to_paragraphs(layout: DataFrame) -> DataFrame:
+def layout_to_paragraphs(layout: DataFrame, text_chars: int | None = None, max_height: int | None = None) -> DataFrame:
     """Text elements of each page with their tight, float-free box.
 
+    Texts stay whole and boxes may have any height, unless limits are given (2000 characters, below 800 pixels in the
+    published data).
+
     Lines are clipped one by one and the survivors are united. Elements without
     line rectangles use their own rectangle; elements whose lines all vanish
     are dropped.
@@ -96,7 +99,7 @@ def layout_to_paragraphs(layout: DataFrame) -> DataFrame:
     sources = F.when(has_lines, F.col("line_rects")).otherwise(F.array("bcr"))
     clipped = F.transform(sources, lambda r: _clip_right(r, F.col("floats")))
     kept = texts.select(
-        "page_id", "el_ord", F.substring("text", 1, TEXT_LIMIT).alias("text"),
+        "page_id", "el_ord", _cut("text", text_chars).alias("text"),
         F.filter(clipped, lambda r: G.width(r) > 0).alias("rects"),
     )
 
@@ -108,7 +111,8 @@ def layout_to_paragraphs(layout: DataFrame) -> DataFrame:
 
     def fits(b: Column) -> Column:
         w, h = b["x2"] - b["x1"], b["y2"] - b["y1"]
-        return (w > MIN_WIDTH) & (h > MIN_HEIGHT) & (h < MAX_HEIGHT)
+        big = (w > MIN_WIDTH) & (h > MIN_HEIGHT)
+        return big if max_height is None else big & (h < max_height)
 
     # el_ord is the paragraph's order on its page: gaps do not matter, only the order does.
     return select_where(kept, ["page_id", F.col("el_ord").alias("para_ord"), "text"], box, fits)
@@ -128,16 +132,18 @@ def locatable_elements(layout: DataFrame) -> DataFrame:
     return layout.select("page_id", F.explode(both).alias("e")).select("page_id", "e.*")
 
 
-def locate_by_text(targets: DataFrame, layout: DataFrame) -> DataFrame:
-    """First fitting element of the page whose text contains the sentence's first characters.
+def locate_by_text(targets: DataFrame, layout: DataFrame, prefix: int | None = None, max_height: int | None = None) -> DataFrame:
+    """First fitting element of the page whose text contains the whole sentence, or its first ``prefix`` characters.
 
     ``targets`` is ``(page_id, sid, sent)``. Elements are filtered before the
     join and only the first hit per target leaves the aggregate.
     """
     w, h = G.width(F.col("box")), G.height(F.col("box"))
-    fit = (w > SEARCH_MIN_WIDTH) & (h > MIN_HEIGHT) & (h < MAX_HEIGHT)
+    fit = (w > SEARCH_MIN_WIDTH) & (h > MIN_HEIGHT)
+    fit = fit if max_height is None else fit & (h < max_height)
     elements = locatable_elements(layout).where((F.col("kind") == "text") & fit)
-    needle = F.replace(F.substring(F.trim("sent"), 1, SEARCH_PREFIX), F.lit("\n"), F.lit(" "))
+    start = F.trim("sent") if prefix is None else F.substring(F.trim("sent"), 1, prefix)
+    needle = F.replace(start, F.lit("\n"), F.lit(" "))
     wanted = targets.where(F.length(F.trim("sent")) > 0).select("page_id", "sid", needle.alias("needle"))
     hits = wanted.join(elements, "page_id").where(F.contains("text", "needle"))
     return hits.groupBy("page_id", "sid").agg(F.min_by("box", "ord").alias("text_box"))

@@ -9,7 +9,6 @@ from boxtrail.functions.binding import bind
 # ---- Fixed values -----------------------------------------------------------
 BLANK_STD = 5.0
 TRIM_MARGIN = 20
-FIRST_ERRORS = 20
 # -----------------------------------------------------------------------------
 
 STEP_BUCKET = 1024
@@ -17,6 +16,20 @@ STEP_BUCKET = 1024
 
 # ---- running values over a step log -----------------------------------------
 
+def before_bucket(per_bucket: DataFrame, keys: list[str], bucket: str, over, combine: Column, merge) -> DataFrame:
+    """(keys, bucket, carried): a running value over all earlier buckets of a key.
+
+    ``over`` applies the value to a window, ``combine`` sums up a run of buckets, ``merge`` joins the value inside such
+    a run with that of the runs before. Buckets are grouped by 1,024 once more, so a key of any length is many small
+    windows; only one row per million steps meets in one.
+    """
+    upper = per_bucket.withColumn("_ub", F.floor(F.col(bucket) / STEP_BUCKET))
+    earlier = lambda order, *parts: W.partitionBy(*parts).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    above = upper.groupBy(*keys, "_ub").agg(combine).select(*keys, "_ub", over(earlier("_ub", *keys)).alias("_above"))
+    inside = upper.withColumn("_inside", over(earlier(bucket, *keys, "_ub")))
+    return inside.join(above, [*keys, "_ub"]).select(*keys, bucket, merge(F.col("_inside"), F.col("_above")).alias("carried"))
+
+
 def _bucketed(log: DataFrame) -> DataFrame:
     return log.withColumn("_sb", F.floor(F.col("step") / STEP_BUCKET))
 
@@ -37,8 +50,10 @@ def metric_asof(log: DataFrame, saves: DataFrame) -> DataFrame:
     )
     logged = F.when(F.col("is_save") == 0, F.struct("step", "pos"))  # save rows carry no value
     per_bucket = rows.groupBy("run", "_sb").agg(F.max_by("value", logged).alias("last_value"))
-    earlier = W.partitionBy("run").orderBy("_sb").rowsBetween(W.unboundedPreceding, -1)
-    carried = per_bucket.select("run", "_sb", F.last("last_value", ignorenulls=True).over(earlier).alias("carried"))
+    carried = before_bucket(
+        per_bucket, ["run"], "_sb", lambda w: F.last("last_value", ignorenulls=True).over(w),
+        F.max_by("last_value", F.when(F.col("last_value").isNotNull(), F.col("_sb"))).alias("last_value"), F.coalesce,
+    )
     inside = W.partitionBy("run", "_sb").orderBy("step", "is_save", "pos").rowsBetween(W.unboundedPreceding, 0)
     seen = rows.withColumn("seen", F.last("value", ignorenulls=True).over(inside))
     return seen.where("is_save = 1").join(carried, ["run", "_sb"]).select(
@@ -56,10 +71,9 @@ def best_flags(log: DataFrame, greater_is_better: bool = True) -> DataFrame:
     beats = (lambda a, b: a > b) if greater_is_better else (lambda a, b: a < b)
     rows = _bucketed(log.where(F.col("value").isNotNull()))
     per_bucket = rows.groupBy("run", "_sb").agg(best("value").alias("top"))
-    earlier = W.partitionBy("run").orderBy("_sb").rowsBetween(W.unboundedPreceding, -1)
-    carried = per_bucket.select("run", "_sb", best("top").over(earlier).alias("carried"))
-    inside = W.partitionBy("run", "_sb").orderBy("step", "pos").rowsBetween(W.unboundedPreceding, -1)
     combine = F.greatest if greater_is_better else F.least
+    carried = before_bucket(per_bucket, ["run"], "_sb", lambda w: best("top").over(w), best("top").alias("top"), combine)
+    inside = W.partitionBy("run", "_sb").orderBy("step", "pos").rowsBetween(W.unboundedPreceding, -1)
     before = rows.withColumn("inside", best("value").over(inside)).join(carried, ["run", "_sb"])
     so_far = combine(F.col("inside"), F.col("carried"))
     return before.select(
@@ -146,6 +160,7 @@ def rebuild_outcome(pages: DataFrame) -> DataFrame:
     )
 
 
-def first_errors(pages: DataFrame, n: int = FIRST_ERRORS) -> DataFrame:
-    """The first ``n`` failed pages, for the report."""
-    return pages.where(F.col("error").isNotNull()).orderBy("page_id").limit(n)
+def first_errors(pages: DataFrame, n: int | None = None) -> DataFrame:
+    """Failed pages in page order: all of them, or the first ``n`` for a report."""
+    failed = pages.where(F.col("error").isNotNull()).orderBy("page_id")
+    return failed if n is None else failed.limit(n)

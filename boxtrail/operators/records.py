@@ -13,7 +13,6 @@ EVAL_RESOLUTION = 1024
 MAX_PIXELS = 1_048_576
 JITTER = (0.9, 1.1)
 OVERLAY_COLOURS = 8
-OVERLAY_LABEL_CHARS = 50
 # -----------------------------------------------------------------------------
 
 
@@ -218,7 +217,7 @@ def record_violations(records: DataFrame) -> DataFrame:
 
     def broken(e: Column, i: Column) -> Column:
         at = T.image_index(e["image_id"])
-        size = F.get("sizes", at)
+        size = F.when(at >= 0, F.get("sizes", at))
         outside = F.exists(
             e["bboxes"],
             lambda b: ~(
@@ -226,7 +225,7 @@ def record_violations(records: DataFrame) -> DataFrame:
                 & (F.get(b, 1) >= 0) & (F.get(b, 1) <= F.get(b, 3)) & (F.get(b, 3) <= size["height"])
             ),
         )
-        unknown = at.isNull() | (at >= F.size("sizes"))
+        unknown = at.isNull() | (at < 0) | (at >= F.size("sizes")) | size.isNull()
         return F.when(unknown, F.struct(F.lit("image_index").alias("rule"), i.alias("hop"))).when(
             outside, F.struct(F.lit("box_bounds").alias("rule"), i.alias("hop"))
         )
@@ -250,11 +249,12 @@ def mask_violations(masked: DataFrame) -> DataFrame:
 
 # ---- overlays ---------------------------------------------------------------
 
-def overlay_spec(predictions: DataFrame) -> DataFrame:
+def overlay_spec(predictions: DataFrame, label_chars: int | None = None) -> DataFrame:
     """Rows to draw: hop, image, colour slot, label and box; hops with unknown images are skipped.
 
-    ``predictions`` is (idx, chain, n_images).
+    ``predictions`` is (idx, chain, n_images). Labels hold the whole sub-query, or its first ``label_chars`` characters.
     """
+    shown = F.col("sub_query") if label_chars is None else F.substring("sub_query", 1, label_chars)
     hops = predictions.select("idx", "n_images", F.posexplode("chain").alias("pos", "e")).select(
         "idx", "pos", "n_images", F.coalesce("e.hop", F.col("pos") + 1).alias("hop"),
         "e.image_id", "e.bboxes", F.coalesce("e.sub_query", F.lit("")).alias("sub_query"),
@@ -264,7 +264,7 @@ def overlay_spec(predictions: DataFrame) -> DataFrame:
     ).where(F.col("image") < F.col("n_images"))
     label = F.concat(
         F.lit("Hop "), F.col("hop").cast("string"),
-        F.when(F.col("sub_query") != "", F.concat(F.lit(": "), F.substring("sub_query", 1, OVERLAY_LABEL_CHARS))).otherwise(""),
+        F.when(F.col("sub_query") != "", F.concat(F.lit(": "), shown)).otherwise(""),
     )
     return named.select(
         "idx", "pos", "hop", "image", F.pmod("hop", F.lit(OVERLAY_COLOURS)).alias("colour"), label.alias("label"),

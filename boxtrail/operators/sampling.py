@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from boxtrail.functions import text as T
+from boxtrail.operators.logs import before_bucket
 
 # ---- Fixed values -----------------------------------------------------------
-HEAD_CAP, HEAD_SHARE = 40_000, 0.8
+HEAD_SHARE = 0.8
 NO_PAGE = 10**9
 # -----------------------------------------------------------------------------
 
 BUCKET_DIGITS = 4  # hex digits: at most 65,536 buckets, whatever the input size
+KEY_RANGES = 1 << 16
 PAGE_BUCKET = 1024
 
 
@@ -72,16 +74,36 @@ def hash_split(df: DataFrame, fraction: float, seed: int, key: str = "sample_id"
     return clear.unionByName(edge).drop("_h", "_b")
 
 
-def head_split(df: DataFrame, key: str = "sample_id") -> DataFrame:
-    """Adds ``split``: the first min(40000, int(0.8 n)) rows in key order are ``train``.
+def nth_key(df: DataFrame, key: str, n: int) -> int | None:
+    """The ``n``-th smallest whole-number key, counted from 1, without a sort.
 
-    Only the 40,000 smallest keys are ever ranked, which is a bounded top-k per task.
+    A histogram over ``KEY_RANGES`` equal ranges of the keys finds the range that holds it; the range is split again
+    until it is one key. Each pass divides the range by 65,536, so 64-bit keys need at most four.
     """
-    n = df.agg(F.count(F.lit(1)).alias("n"))
-    head = df.select(key).orderBy(key).limit(HEAD_CAP).withColumn("_r", F.row_number().over(W.orderBy(key)))
-    size = F.least(F.lit(HEAD_CAP), (n.scalar() * F.lit(HEAD_SHARE)).cast("long"))
-    last = head.where(F.col("_r") <= size).agg(F.max(key)).scalar()
-    return df.withColumn("split", F.when(F.col(key) <= last, "train").otherwise("test"))
+    bounds = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    lo, hi = bounds["lo"], bounds["hi"]
+    if lo is None or n < 1:
+        return None
+    while lo < hi:
+        step = (hi - lo) // KEY_RANGES + 1
+        place = F.expr(f"(`{key}` - pmod(`{key}`, {step}L)) div {step}L")  # floor, in whole numbers
+        hist = _bucket_offsets(df.where(F.col(key).between(lo, hi)).select(place.alias("_b")), "_b")
+        cut = hist.where((F.col("before") < n) & (F.col("before") + F.col("n") >= n)).first()
+        if cut is None:
+            return hi
+        n -= cut["before"]
+        lo, hi = max(lo, cut["_b"] * step), min(hi, cut["_b"] * step + step - 1)
+    return lo
+
+
+def head_split(df: DataFrame, key: str = "sample_id", cap: int | None = None) -> DataFrame:
+    """Adds ``split``: the first int(0.8 n) rows in key order are ``train``, at most ``cap`` if given.
+
+    The published split caps them at 40,000. Rows that share the last key go together.
+    """
+    size = int(df.count() * HEAD_SHARE)
+    last = nth_key(df, key, size if cap is None else min(cap, size))
+    return df.withColumn("split", F.when(F.col(key) <= F.lit(last), "train").otherwise("test"))
 
 
 def shard_of(idx: Column, n_shards: int) -> Column:
@@ -148,8 +170,8 @@ def _page_ranks(pages: DataFrame) -> DataFrame:
     """
     bucketed = pages.withColumn("pb", F.floor(F.col("page") / PAGE_BUCKET))
     per_bucket = bucketed.groupBy("deck", "pb").agg(F.sum("is_real").alias("n"))
-    earlier = W.partitionBy("deck").orderBy("pb").rowsBetween(W.unboundedPreceding, -1)
-    offsets = per_bucket.select("deck", "pb", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    total = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+    offsets = before_bucket(per_bucket, ["deck"], "pb", lambda w: F.sum("n").over(w), F.sum("n").alias("n"), total).withColumnRenamed("carried", "before")
     running = W.partitionBy("deck", "pb").orderBy("page").rowsBetween(W.unboundedPreceding, 0)
     return (
         bucketed.withColumn("inside", F.sum("is_real").over(running))

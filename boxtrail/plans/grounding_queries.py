@@ -8,6 +8,7 @@ from boxtrail.functions import text as T
 from boxtrail.operators import assemble as A, grounding as G, layout as L
 from boxtrail.plans.registry import query
 from boxtrail.plans.sql import with_ctes
+from boxtrail.runtime import materialize
 
 JOIN_INTS = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
 
@@ -115,7 +116,7 @@ def layout_paragraphs(t):
     return L.layout_to_paragraphs(t.layout)
 
 
-@query("visible_elements", with_ctes("element", """SELECT page_id, el_ord, tag, substring(cls, 1, 200) AS cls, substring(text, 1, 500) AS text,
+@query("visible_elements", with_ctes("element", """SELECT page_id, el_ord, tag, cls, text,
     CASE WHEN el_ord % 6 = 0 THEN 0 ELSE len(list_filter(range(1 + length(text) // 120), lambda j: least(900, 5 * length(text)) - j * 15 > 3)) END::INT AS n_lines
     FROM element WHERE bx2 > bx1 AND by2 > by1 AND (length(regexp_replace(text, '[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+', '', 'g')) > 0 OR tag IN ('IMG', 'FIGURE'))"""))
 def visible_elements(t):
@@ -130,27 +131,25 @@ def clean_text(t):
     return t.layout_elements.select("page_id", "el_ord", T.clean_text(noisy).alias("clean"))
 
 
-@query("text_locate", with_ctes(["element", "known"], """, tgt AS (SELECT page_id, sid, sent FROM (
-        SELECT page_id, el_ord // 5 AS sid, trim(text) AS sent, row_number() OVER (PARTITION BY page_id, el_ord // 5 ORDER BY el_ord) AS r FROM element) WHERE r = 1),
+@query("text_locate", with_ctes(["element", "known"], """, tgt AS (SELECT page_id, el_ord AS sid, trim(text) AS sent FROM element),
     txt AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY el_ord) - 1 AS ord FROM element WHERE tag IN ('P', 'TD', 'TH', 'LI', 'DD', 'DT', 'CAPTION', 'FIGCAPTION')),
     num AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY el_ord) - 1 AS ord FROM element WHERE tag IN ('P', 'TD', 'TH', 'LI', 'DD', 'DT', 'CAPTION')
         AND length(regexp_replace(text, '[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+', '', 'g')) > 0),
     hit AS (SELECT g.page_id, g.sid, x.bx1, x.by1, x.bx2, x.by2 FROM tgt g JOIN txt x ON x.page_id = g.page_id AND length(g.sent) > 0
-        AND x.bx2 - x.bx1 > 50 AND x.by2 - x.by1 > 5 AND x.by2 - x.by1 < 800 AND contains(x.text, replace(substring(g.sent, 1, 150), chr(10), ' '))
+        AND x.bx2 - x.bx1 > 50 AND x.by2 - x.by1 > 5 AND contains(x.text, replace(g.sent, chr(10), ' '))
         QUALIFY row_number() OVER (PARTITION BY g.page_id, g.sid ORDER BY x.ord) = 1)
     SELECT page_id, sid, b1 || ' ' || b2 || ' ' || b3 || ' ' || b4 AS box, by_text FROM (
     SELECT g.page_id, g.sid::INT AS sid, coalesce(h.bx1, n.bx1) AS b1, coalesce(h.by1, n.by1) AS b2, coalesce(h.bx2, n.bx2) AS b3, coalesce(h.by2, n.by2) AS b4, h.page_id IS NOT NULL AS by_text
     FROM tgt g LEFT JOIN hit h ON h.page_id = g.page_id AND h.sid = g.sid LEFT JOIN num n ON n.page_id = g.page_id AND n.ord = g.sid)
-    WHERE b3 - b1 > 0 AND b4 - b2 > 0 AND b3 - b1 <= 2000 AND b4 - b2 <= 2000"""))
+    WHERE b3 - b1 > 0 AND b4 - b2 > 0"""))
 def text_locate(t):
-    first = t.layout_elements.groupBy("page_id", F.floor(F.col("el_ord") / 5).cast("int").alias("sid")).agg(
-        F.min_by(F.trim("text"), "el_ord").alias("sent")
-    )
-    return L.locate_sentences(first, t.layout).withColumn("box", box_text(F.col("box")))
+    """Every element of a page, looked up by its text."""
+    wanted = t.layout_elements.select("page_id", F.col("el_ord").alias("sid"), F.trim("text").alias("sent"))
+    return L.locate_sentences(wanted, t.layout).withColumn("box", box_text(F.col("box")))
 
 
 @query("safe_filename", r"""SELECT p_partkey, 'https://en.wikipedia.org/wiki/' || replace(nm, ' ', '_') AS url,
-    substring(regexp_replace(nm, '[^\p{L}\p{N}._-]', '_', 'g'), 1, 80) || '_' || substring(md5(nm), 1, 8) AS file
+    regexp_replace(nm, '[^\p{L}\p{N}._-]', '_', 'g') || '_' || substring(md5(nm), 1, 8) AS file
     FROM (SELECT p_partkey, p_name || ' é/' || p_brand || repeat('-x', (p_partkey % 50)::INT) AS nm FROM part)""")
 def safe_filename(t):
     parts = t.raw("part").selectExpr("p_partkey", "concat(p_name, ' é/', p_brand, repeat('-x', CAST(p_partkey % 50 AS INT))) AS nm")
@@ -222,7 +221,7 @@ def coverage_pick(t):
 
 @query("hop_status_histogram", with_ctes("outcome", """SELECT status, count(*) AS n FROM (SELECT status FROM resolved UNION ALL SELECT status FROM outcome) WHERE status IS NOT NULL GROUP BY status"""))
 def hop_status_histogram(t):
-    hops = _resolved(t)
+    hops = materialize(_resolved(t).select("sample_id", "bbox", "status"), "resolved_hops")  # read twice, resolved once
     return G.status_histogram(hops, G.sample_outcomes(t.hop_samples, hops))
 
 
@@ -250,21 +249,21 @@ def expand_single_hop(t):
     )
 
 
-@query("pre_expanded", "SELECT bool_and(1 + o_orderkey % 3 = 1) AS pre_expanded FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 32)")
+@query("pre_expanded", "SELECT bool_and(1 + o_orderkey % 3 = 1) AS pre_expanded FROM orders")
 def pre_expanded(t):
     return G.is_single_hop(t.hop_samples)
 
 
 @query("find_by_value", with_ctes(["sentence", "paragraph"], """, hit AS (SELECT s.page_id, s.sid, p.para_ord, p.x1, p.y1, p.x2, p.y2,
         regexp_extract_all(lower(s.sent), '[a-z0-9]+') AS a, regexp_extract_all(lower(p.text), '[a-z0-9]+') AS b
-        FROM sentence s JOIN paragraph p ON p.page_id = s.page_id AND p.x2 - p.x1 >= 100 AND p.y2 - p.y1 >= 5 AND contains(lower(p.text), lower(split_part(s.sent, ' ', 1))) WHERE s.sid < 3),
+        FROM sentence s JOIN paragraph p ON p.page_id = s.page_id AND p.x2 - p.x1 >= 100 AND p.y2 - p.y1 >= 5 AND contains(lower(p.text), lower(split_part(s.sent, ' ', 1)))),
     cnt AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(a), lambda t: least(len(list_filter(a, lambda u: u = t)), len(list_filter(b, lambda u: u = t))))), 0)::DOUBLE AS c FROM hit),
     f AS (SELECT *, CASE WHEN c > 0 THEN 2 * (c / len(b)) * (c / len(a)) / (c / len(b) + c / len(a)) ELSE 0::DOUBLE END AS f1 FROM cnt)
     SELECT page_id, sid AS target_id, para_ord, x1, y1, x2, y2, round(f1, 6) AS f1 FROM f
     QUALIFY row_number() OVER (PARTITION BY page_id, sid ORDER BY f1 DESC, x2 - x1 DESC, y1, para_ord) = 1"""))
 def find_by_value(t):
-    """Lead sentences of each page, looked up by their first word."""
-    targets = t.sentences.where("sid < 3").select(
+    """Every sentence of each page, looked up by its first word."""
+    targets = t.sentences.select(
         "page_id", F.col("sid").alias("target_id"), F.substring_index("sent", " ", 1).alias("value"), F.col("sent").alias("text")
     )
     return G.find_by_value(targets, t.paragraphs).withColumn("f1", F.round("f1", 6))
@@ -290,9 +289,10 @@ def _chain_text(df):
     return df.withColumn("chain", F.array_join(F.transform("evidence_chain", hop), "/"))
 
 
-@query("assemble_samples", with_ctes(["assembled", "question"], "SELECT a.sample_id, q.question, q.answer, q.type, a.num_hops, a.chain FROM assembled a JOIN question q ON q.sample_id = a.sample_id"))
+@query("assemble_samples", with_ctes(["assembled", "question"], "SELECT a.sample_id, q.question, q.answer, q.type, a.num_hops, a.chain FROM assembled a JOIN question q ON q.sample_id = a.sample_id WHERE a.valid"))
 def assemble_samples(t):
-    return _chain_text(_assembled(t)).select("sample_id", "question", "answer", "type", "num_hops", "chain")
+    """Only samples that pass validation leave the assembly."""
+    return _chain_text(A.valid_samples(_assembled(t), t.meta)).select("sample_id", "question", "answer", "type", "num_hops", "chain")
 
 
 @query("sample_qa", with_ctes("assembled", "SELECT sample_id, valid FROM assembled"))

@@ -48,7 +48,7 @@ def hash_split(t):
     return S.hash_split(t.questions.select("sample_id"), 0.05, SEED)
 
 
-@query("head_split", """SELECT o_orderkey AS sample_id, CASE WHEN row_number() OVER (ORDER BY o_orderkey) <= (SELECT least(40000, floor(count(*) * 0.8::DOUBLE)) FROM orders) THEN 'train' ELSE 'test' END AS split FROM orders""")
+@query("head_split", """SELECT o_orderkey AS sample_id, CASE WHEN row_number() OVER (ORDER BY o_orderkey) <= (SELECT floor(count(*) * 0.8::DOUBLE) FROM orders) THEN 'train' ELSE 'test' END AS split FROM orders""")
 def head_split(t):
     return S.head_split(t.questions.select("sample_id"))
 
@@ -142,10 +142,10 @@ def scale_boxes(t):
     return planned.select("l_orderkey", "l_linenumber", "l_partkey", boxes_text(scaled).alias("box"))
 
 
-@query("captured_pages", "SELECT doc_id, least(n_chars, 15000) AS height FROM documents WHERE least(n_chars, 15000) >= 100")
+@query("captured_pages", "SELECT doc_id, n_chars AS height FROM documents WHERE n_chars >= 100")
 def captured_pages(t):
     """Pages of usable size, their height cut at the capture limit."""
-    pages = t.raw("documents").select("doc_id", F.lit(1024).alias("width"), G.capped_height(F.col("n_chars")).alias("height"))
+    pages = t.raw("documents").select("doc_id", F.lit(1024).alias("width"), G.captured_height(F.col("n_chars")).alias("height"))
     return screenshots_large_enough(pages).select("doc_id", "height")
 
 
@@ -203,11 +203,13 @@ def target_json(t):
 
 
 @query("target_json_single_hop", with_ctes(["chain_entry", "triple"], RECORD + """ SELECT sample_id, chain_pos AS hop_pos, '{"bbox": [[' || b1 || ', ' || b2 || ', ' || b3 || ', ' || b4 || ']], "answer": "' || (SELECT o_orderpriority FROM orders WHERE o_orderkey = a.sample_id) || '"}' AS target_text
-    FROM ask a WHERE chain_pos = 0"""))
+    FROM ask a"""))
 def target_json_single_hop(t):
-    first = t.hop_samples.withColumn("evidence_chain", F.slice("evidence_chain", 1, 1))
-    made = RO.build_training_records(first, _record_images(t), mode="single_hop", split="val", include_reasoning=False)
-    return made.select("sample_id", F.lit(0).alias("hop_pos"), "target_text")
+    """Every hop of every sample as a sample of its own."""
+    chain = t.hop_samples.select("*", F.posexplode("evidence_chain").alias("hop_pos", "e"))
+    single = chain.withColumns({"sample_id": F.col("sample_id") * 4 + F.col("hop_pos"), "evidence_chain": F.array("e"), "num_hops": F.lit(1)}).drop("hop_pos", "e")
+    made = RO.build_training_records(single, _record_images(t), mode="single_hop", split="val", include_reasoning=False)
+    return made.select(F.floor(F.col("sample_id") / 4).alias("sample_id"), (F.col("sample_id") % 4).cast("int").alias("hop_pos"), "target_text")
 
 
 @query("prompt_messages", with_ctes("chain_entry", """, img AS (SELECT DISTINCT doc_id FROM documents)
@@ -227,7 +229,10 @@ def prompt_messages(t):
 
 @query("drop_assistant_turns", "SELECT conv_id, turn, role FROM conversations WHERE role <> 'assistant'")
 def drop_assistant_turns(t):
-    return t.raw("conversations").where("role <> 'assistant'").select("conv_id", "turn", "role")
+    """Conversations as message lists, without the turns a prompt must not hold."""
+    turn = F.struct("turn", "role")
+    lists = t.raw("conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("messages"))
+    return lists.select("conv_id", F.inline(R.prompt_only(F.col("messages"))))
 
 
 @query("eval_records", with_ctes(["chain_entry"], f""", img AS (SELECT doc_id AS doc, (700 + doc_id % 2000)::DOUBLE AS w, (500 + n_chars % 8000)::DOUBLE AS h FROM documents),
@@ -299,7 +304,7 @@ def dq_violations(t):
 
 
 @query("overlay_spec", with_ctes("chains", """, h AS (SELECT idx, unnest(range(len(pred))) AS pos, unnest(pred) AS e FROM chains), b AS (SELECT idx, pos, e.hop AS hop, e.image_id AS image_id, unnest(range(len(e.bboxes))) AS box_ord, unnest(e.bboxes) AS box FROM h)
-    SELECT idx, pos::INT AS pos, hop::INT AS hop, substring(image_id, 5)::INT AS image, (hop % 8)::INT AS colour, 'Hop ' || hop || ': ' || substring('looking for ' || repeat('evidence ', (idx % 7)::INT), 1, 50) AS label, box_ord::INT AS box_ord, box[1]::INT AS x1, box[4]::INT AS y2
+    SELECT idx, pos::INT AS pos, hop::INT AS hop, substring(image_id, 5)::INT AS image, (hop % 8)::INT AS colour, 'Hop ' || hop || ': ' || 'looking for ' || repeat('evidence ', (idx % 7)::INT) AS label, box_ord::INT AS box_ord, box[1]::INT AS x1, box[4]::INT AS y2
     FROM b WHERE starts_with(image_id, 'img_') AND substring(image_id, 5)::INT < 4"""))
 def overlay_spec(t):
     chain = F.transform(

@@ -271,14 +271,14 @@ def first_per_index(t):
 
 # ---- ranked lists -----------------------------------------------------------
 
-LISTS = """SELECT vec_id, list_transform(list_slice(embedding, 1, 10), lambda v: 'e' || (floor(abs(v::DOUBLE) * 100)::BIGINT % 15)) AS r, list_transform(list_slice(embedding, 11, 11 + (vec_id % 4)::INT - 1), lambda v: 'e' || (floor(abs(v::DOUBLE) * 100)::BIGINT % 15)) AS g FROM embeddings"""
+LISTS = """SELECT vec_id, list_transform(list_slice(embedding, 1, 48), lambda v: 'e' || (floor(abs(v::DOUBLE) * 10000)::BIGINT % 150)) AS r, list_transform(list_slice(embedding, 49, 49 + (vec_id % 17)::INT - 1), lambda v: 'e' || (floor(abs(v::DOUBLE) * 10000)::BIGINT % 150)) AS g FROM embeddings"""
 
 
 def _lists(t):
-    name = lambda v: F.concat(F.lit("e"), (F.floor(F.abs(v.cast("double")) * 100) % 15).cast("string"))
+    name = lambda v: F.concat(F.lit("e"), (F.floor(F.abs(v.cast("double")) * 10_000) % 150).cast("string"))
     return t.raw("embeddings").select(
-        "vec_id", F.transform(F.slice("embedding", 1, 10), name).alias("r"),
-        F.transform(F.slice("embedding", F.lit(11), (F.col("vec_id") % 4).cast("int")), name).alias("g"),
+        "vec_id", F.transform(F.slice("embedding", 1, 48), name).alias("r"),
+        F.transform(F.slice("embedding", F.lit(49), (F.col("vec_id") % 17).cast("int")), name).alias("g"),
     )
 
 
@@ -347,7 +347,7 @@ def rebuild_outcome(t):
     return L.rebuild_outcome(_rebuilt(t))
 
 
-@query("first_errors", "SELECT doc_id AS page_id FROM documents WHERE lang = 'de' ORDER BY doc_id LIMIT 20")
+@query("first_errors", "SELECT doc_id AS page_id FROM documents WHERE lang = 'de'")
 def first_errors(t):
     return L.first_errors(_rebuilt(t)).select("page_id")
 
@@ -364,14 +364,16 @@ def _rebuilt(t):
 def stream_summary(t):
     """Predictions written as files, scored by a stream, summarized by a second one.
 
-    Half of the rows arrive twice; the result equals the batch summary.
+    Half of the rows arrive twice; the result equals the batch summary. The state that drops repeats is bounded by the
+    time at which files arrive.
     """
     spark = t.spark
     inbox, scored, summary = (new_shared_path(spark, n) for n in ("inbox", "scored", "summary"))
     rows = t.predictions
     rows.unionByName(rows.where("idx % 2 = 0")).write.parquet(inbox)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(inbox)
-    scorer.score_stream(stream, scored, scored + ".checkpoint").awaitTermination()
+    arrived = stream.withColumn("arrived", F.col("_metadata.file_modification_time"))
+    scorer.score_stream(arrived, scored, scored + ".checkpoint", event_time="arrived").awaitTermination()
     done = spark.readStream.schema(spark.read.parquet(scored).schema).parquet(scored)
     scorer.summary_stream(done, summary, summary + ".checkpoint").awaitTermination()
     return _rounded(spark.read.parquet(summary), S.BASE_METRICS + S.IMAGE_METRICS)

@@ -74,9 +74,9 @@ CTES = {
     "clipped": """SELECT n.page_id, n.el_ord, any_value(clean) AS clean, n.x1, n.y1, n.y2, least(n.x2, coalesce(min(f.l), n.x2)) AS x2
         FROM line n LEFT JOIN float_area f ON n.page_id = f.page_id AND n.y2 > f.t AND n.y1 < f.b
         GROUP BY n.page_id, n.el_ord, n.j, n.x1, n.y1, n.x2, n.y2""",
-    "layout_box": """SELECT * FROM (SELECT page_id, el_ord AS para_ord, substring(any_value(clean), 1, 2000) AS text,
+    "layout_box": """SELECT * FROM (SELECT page_id, el_ord AS para_ord, any_value(clean) AS text,
         min(x1)::INT AS x1, min(y1)::INT AS y1, max(x2)::INT AS x2, max(y2)::INT AS y2 FROM clipped WHERE x2 > x1 GROUP BY page_id, el_ord)
-        WHERE x2 - x1 > 30 AND y2 - y1 > 5 AND y2 - y1 < 800""",
+        WHERE x2 - x1 > 30 AND y2 - y1 > 5""",
     # ---- hop samples --------------------------------------------------------
     "hop_index": "SELECT *, unnest(range(1 + o_orderkey % 3)) AS i FROM orders",
     "chain_entry": """SELECT o_orderkey AS sample_id, i::INT AS chain_pos, 'Entity_' || (o_custkey + 37 * i) AS entity, o_custkey + 37 * i AS doc,
@@ -84,8 +84,8 @@ CTES = {
         CASE (o_orderkey + i) % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'given' END AS sub_query FROM hop_index""",
     "triple": """SELECT o_orderkey AS sample_id, i::INT AS hop_pos,
         CASE (o_orderkey + i) % 7 WHEN 3 THEN 'Entity_' || (o_custkey + 37 * i) || ' (page)' WHEN 5 THEN 'Nobody' ELSE 'Entity_' || (o_custkey + 37 * i) END AS entity,
-        (['date_of_birth', 'place_of_death', 'director'])[i + 1] AS relation,
-        (['the on', 'of', 'la', 'und', 'that and', NULL])[o_custkey % 6 + 1] AS value FROM hop_index WHERE o_orderkey % 13 <> 0""",
+        CASE WHEN (o_custkey + i) % 10 <> 7 THEN (['date_of_birth', 'place_of_death', 'director'])[i + 1] END AS relation,
+        CASE WHEN (o_custkey + i) % 10 <> 7 THEN coalesce((['the on', 'of', 'la', 'und', 'that and', NULL])[o_custkey % 6 + 1], 'None') END AS value FROM hop_index WHERE o_orderkey % 13 <> 0""",
     "page_of": """SELECT doc_id AS page_id, 'shot_' || doc_id || '.png' AS screenshot,
         CASE WHEN doc_id % 11 <> 0 THEN (300 + n_chars % 3000)::INT END AS image_height,
         CASE WHEN doc_id % 29 = 0 THEN 'bad' ELSE 'ok' END AS side_table FROM documents""",
@@ -130,8 +130,8 @@ CTES = {
     "deck_image": """SELECT p_partkey, 'img/' || p_type || CASE WHEN p_partkey % 2 = 0 THEN '__page_' ELSE '_page_' END ||
         CASE WHEN p_partkey % 50 = 7 THEN 'x' || p_partkey ELSE (p_partkey // 3)::VARCHAR END || '.' || p_partkey % 3 || '.png' AS path,
         p_type AS deck, CASE WHEN p_partkey % 50 <> 7 THEN p_partkey // 3 END AS page, 800 + p_size * 20 AS width, 600 + p_retailprice::INT AS height FROM part""",
-    "cited": """SELECT l_orderkey AS sample_id, l_linenumber AS pos, min(l_partkey) AS p_partkey FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2""",
-    "deck_gold": """SELECT sample_id, list(path ORDER BY pos) AS gold, list(page ORDER BY pos) FILTER (page IS NOT NULL) AS pages, arg_min(deck, pos) AS deck
+    "cited": """SELECT l_orderkey AS sample_id, l_linenumber AS pos, l_partkey AS p_partkey FROM lineitem""",
+    "deck_gold": """SELECT sample_id, list(path ORDER BY pos, path) AS gold, list(page ORDER BY pos, path) FILTER (page IS NOT NULL) AS pages, arg_min(deck, (pos, path)) AS deck
         FROM (SELECT sample_id, min(pos) AS pos, p_partkey FROM cited GROUP BY 1, 3) JOIN deck_image USING (p_partkey) GROUP BY sample_id""",
     # ---- predictions --------------------------------------------------------
     "chain_raw": """SELECT o_orderkey AS idx, o_orderkey AS k, o_custkey AS c, o_orderstatus AS type, 'The ' || o_orderpriority || ' order' AS answer,

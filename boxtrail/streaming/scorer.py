@@ -9,26 +9,24 @@ from boxtrail.functions import scoring as S
 from boxtrail.operators.evaluation import score_predictions, summarize
 
 
-def once_per_index(stream: DataFrame, event_time: str | None = None, delay: str = "1 hour") -> DataFrame:
+def once_per_index(stream: DataFrame, event_time: str, delay: str = "1 hour") -> DataFrame:
     """Drops repeated indices across batches and restarts.
 
-    With an event-time column the state is bounded by the watermark; without
-    one it holds every index seen, which is a single long per scored row.
+    State is kept for ``delay`` beyond the newest ``event_time``, for example the time a file arrived; indices that
+    may repeat later than that are dropped by an anti-join on what was scored (``evaluation.remaining``).
     """
-    if event_time:
-        return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["idx"])
-    return stream.dropDuplicates(["idx"])
+    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["idx"])
 
 
 def score_stream(
-    predictions: DataFrame, out: str, checkpoint: str, *, event_time: str | None = None, once: bool = True
+    predictions: DataFrame, out: str, checkpoint: str, *, event_time: str, delay: str = "1 hour", once: bool = True
 ) -> StreamingQuery:
     """Scores new predictions and appends them to parquet.
 
     Progress lives in ``checkpoint``: a restarted query continues after the
     last committed file and never scores an index twice.
     """
-    scored = score_predictions(once_per_index(predictions, event_time))
+    scored = score_predictions(once_per_index(predictions, event_time, delay))
     writer = scored.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
     return writer.outputMode("append").trigger(**_trigger(once)).start()
 

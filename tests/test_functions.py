@@ -118,6 +118,43 @@ def test_lenient_parse_shapes(spark):
         assert tuple(row)[1:] == (ok, ans, hops), text
 
 
+def test_sql_parse_equals_the_column_function(spark):
+    register.register(spark)
+    rows = [(i, p[0]) for i, p in enumerate(PARSE)] + [(99, '[{"a":1}]'), (98, ' {"a":1} x'), (97, "1 2")]
+    df = spark.createDataFrame(rows, "i int, t string").withColumn("v", J.parse_lenient(F.col("t")))
+    for r in df.select("t", F.to_json("v").alias("a"), F.to_json(F.expr("bt_parse(t)")).alias("b")).collect():
+        assert r.a == r.b, r.t
+
+
+def test_sql_normalizers_equal_the_column_functions(spark):
+    register.register(spark)
+    rows = [("The\u2003U.S.A.\x1f x",), ("a-b  THE end",), ("",), (None,), ("it's an \x0b apple\u00a0",)]
+    df = spark.createDataFrame(rows, "s string")
+    for r in df.select(T.normalize_train(F.col("s")), F.expr("bt_normalize_train(s)"), T.normalize_paper(F.col("s")), F.expr("bt_normalize_paper(s)")).collect():
+        assert r[0] == r[1] and r[2] == r[3]
+
+
+SCALARS = [
+    ("1.0", "1.0"), ("1", "1"), ("1.50", "1.5"), ("true", "True"), ("null", None), ('{"a": 1}', "{'a': 1}"), ('{"a": "x", "b": [1]}', "{'a': 'x', 'b': [1]}"),
+    ('{"k": null, "z": 2.0}', "{'k': None, 'z': 2.0}"), ("[1, 2.0, null, false]", "1, 2.0, None, False"), ('[{"a": "it\'s"}]', '{\'a\': "it\'s"}'), ('"1.0"', "1.0"),
+]
+
+
+def test_answer_texts(spark):
+    """Texts of answers as they are compared, by hand."""
+    df = spark.createDataFrame([(i, f'{{"answer": {a}}}') for i, (a, _) in enumerate(SCALARS)], "i int, t string")
+    v = F.try_variant_get(J.parse_lenient(F.col("t")), "$.answer", "variant")
+    got = [r[0] for r in df.orderBy("i").select(J.scalar_text(v)).collect()]
+    assert got == [want for _, want in SCALARS]
+
+
+def test_hop_numbers(spark):
+    hops = ['"3.0"', '"7"', '" -2 "', "2.9", "true", '"x"', "[4]", "null"]
+    t = '{"evidence_chain":[' + ",".join(f'{{"hop":{h}}}' for h in hops) + "]}"
+    (row,) = spark.createDataFrame([(t,)], "t string").select(J.predicted_chain(J.parse_lenient(F.col("t"))).alias("c")).collect()
+    assert [h["hop"] for h in row["c"]] == [1, 7, -2, 2, 1, 6, 7, 8]
+
+
 def test_chain_defaults(spark):
     t = '{"evidence_chain":[{"hop":"x","image_id":"img_1","bboxes":[[1,2,3,4]]},7,{"hop":5}]}'
     v = J.parse_lenient(F.col("t"))

@@ -8,7 +8,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from boxtrail.operators import assemble as A, evaluation as E, grounding as G, logs as L, sampling as S
+from boxtrail.functions import parsing as J
+from boxtrail.operators import assemble as A, evaluation as E, grounding as G, logs as L, records as RO, sampling as S
 from boxtrail.sources import readers, writers
 from boxtrail.streaming import scorer
 from tests.test_functions import reference_similarity
@@ -154,7 +155,8 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     rows = [(i, "yes", [("img_0", [[0, 0, 9, 9]])], json.dumps({"answer": "yes" if i % 2 else "no", "evidence_chain": [{"image_id": "img_0", "bboxes": [[0, 0, 9, 9]]}]})) for i in range(10)]
     inbox, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
     spark.createDataFrame(rows[:6], schema).write.mode("append").parquet(inbox)
-    run = lambda: scorer.score_stream(spark.readStream.schema(schema).parquet(inbox), out, ckpt).awaitTermination()
+    arrived = lambda: spark.readStream.schema(schema).parquet(inbox).withColumn("arrived", F.col("_metadata.file_modification_time"))
+    run = lambda: scorer.score_stream(arrived(), out, ckpt, event_time="arrived").awaitTermination()
     run()
     spark.createDataFrame(rows[4:], schema).write.mode("append").parquet(inbox)
     run()
@@ -163,3 +165,74 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     scorer.summary_stream(stream, str(tmp_path / "sum"), str(tmp_path / "ckpt2")).awaitTermination()
     batch, live = scorer.final_summary(spark, out).first().asDict(), spark.read.parquet(str(tmp_path / "sum")).first().asDict()
     assert live == pytest.approx(batch) and batch["answer_em"] == 0.5
+
+
+def test_bad_image_numbers_are_reported(spark):
+    box = [[1, 1, 5, 5]]
+    schema = "sample_id int, evidence_chain array<int>, target_chain array<struct<image_id:string,bboxes:array<array<int>>>>, sizes array<struct<width:int,height:int>>"
+    rows = [(1, [1], [("img_-1", box)], [(9, 9)]), (2, [1], [("img_1", box)], [(9, 9)]), (3, [1], [("img_0", box)], [None]), (4, [1], [("img_0", box)], [(9, 9)]), (5, [1], [("img_0", box)], [(4, 9)])]
+    got = {(r.sample_id, r.rule) for r in RO.record_violations(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(1, "image_index"), (2, "image_index"), (3, "image_index"), (5, "box_bounds")}
+
+
+def test_invalid_samples_leave(spark):
+    samples = spark.createDataFrame([(1, [("A", [[0, 0, 9, 9]])]), (2, [("A", [[0, 0, 11, 9]])]), (3, [("B", [[0, 0, 1, 1]])]), (4, [("A", [])])], "sample_id int, evidence_chain array<struct<entity:string,bboxes:array<array<int>>>>")
+    meta = spark.createDataFrame([("A", 10, 10)], "entity string, width int, height int")
+    assert [r.sample_id for r in A.valid_samples(samples, meta).collect()] == [1]
+
+
+@pytest.mark.parametrize("keys", [[], [5], list(range(10)), [2**62, -(2**62), 0, 1, 2, 3], [7] * 9 + [8], [i * i for i in range(300)]])
+def test_head_split_in_key_order(spark, keys):
+    df = spark.createDataFrame([(k,) for k in keys], "sample_id long")
+    got = sorted((r.sample_id, r.split) for r in S.head_split(df).collect())
+    n = int(len(keys) * 0.8)
+    last = sorted(keys)[n - 1] if n else None
+    assert got == sorted((k, "train" if n and k <= last else "test") for k in keys)
+    if len(set(keys)) == 10:
+        assert [r.split for r in S.head_split(df, cap=3).orderBy("sample_id").collect()] == ["train"] * 3 + ["test"] * 7
+
+
+def test_values_run_over_buckets_of_one_long_run(spark, monkeypatch):
+    """One run over many buckets, and buckets of buckets."""
+    monkeypatch.setattr(L, "STEP_BUCKET", 3)
+    log = [("r", s, s, float((s * 7919) % 101) if s % 4 else None) for s in range(100)]
+    df = spark.createDataFrame(log, "run string, step long, pos long, value double")
+    saves = spark.createDataFrame([("r", s) for s in range(0, 100, 5)], "run string, step long")
+    known = {}
+    for _, s, _, v in log:
+        known[s] = v if v is not None else known.get(s - 1)
+    assert {r.step: r.value for r in L.metric_asof(df, saves).collect()} == {s: known[s] for s in range(0, 100, 5)}
+    top, want = None, {}
+    for _, s, _, v in log:
+        if v is not None:
+            want[s] = top is None or v > top
+            top = v if want[s] else top
+    assert {r.step: r.is_best for r in L.best_flags(df).collect()} == want
+
+
+def test_first_rows_pairs_and_hops(spark):
+    """Small operators that no registered query reaches."""
+    rows = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "idx long, v string")
+    assert [r.idx for r in E.first_rows(rows, 2).collect()] == [1] and E.first_rows(rows, -1).count() == 3
+    pred = spark.createDataFrame([([(2, "img_0", [[1.0, 2.0, 3.0, 4.0]])],)], f"c {J.CHAIN_TYPE}")
+    assert [tuple(h) for h in pred.select(J.hop_boxes(F.col("c")).alias("h")).first()["h"]] == [(2, [[1.0, 2.0, 3.0, 4.0]])]
+
+
+def test_sinks_write_what_readers_read(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "x" * 9, 1), (2, "y", 0)], "idx long, pred_text string, answer_em int")
+    writers.append_results(rows, str(tmp_path / "r"))
+    writers.append_results(rows.limit(1), str(tmp_path / "r"), text_chars=3)
+    got = sorted((r.idx, len(r.pred_text)) for r in spark.read.json(str(tmp_path / "r")).collect())
+    assert len(got) == 3 and sum(n for _, n in got) in (13, 11)
+    writers.write_dataset(rows, str(tmp_path / "d"), by="answer_em")
+    assert sorted(r.idx for r in spark.read.parquet(str(tmp_path / "d")).where("answer_em = 1").collect()) == [1]
+    writers.write_report(rows.agg(F.count(F.lit(1)).alias("n")), str(tmp_path / "report"))
+    assert [r.n for r in spark.read.json(str(tmp_path / "report")).collect()] == [2]
+
+
+def test_layout_reader(spark, tmp_path):
+    page = {"page_width": 9, "page_height": 8, "num_elements": 1, "elements": [{"tag": "P", "text": "hi", "bcr": [0, 0, 5, 5], "float": "none"}]}
+    for n in ("a", "b"):
+        (tmp_path / f"{n}_layout.json").write_text(json.dumps(page))
+    rows = readers.read_layouts(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert len(rows) == 2 and rows[0]["elements"][0]["text"] == "hi"
