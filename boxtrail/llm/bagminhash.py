@@ -8,8 +8,9 @@ stops as soon as a shingle's next point is later than all components, so long te
 
 Texts are compared as classes of equal text. Bands of the signature put classes into buckets; every class is verified
 against the pivot of each of its buckets. Buckets whose classes are not yet in one component are then compared in
-blocks by signature, and pairs that look similar enough are verified too. Verification counts the multiset overlap of
-whole texts. No bucket is collected, and no pair that signatures rule out is written.
+blocks by signature, and pairs that look similar enough are verified too, the most alike first, until no such pair is
+left between unlike components. Verification counts the multiset overlap of whole texts. No bucket is collected, and no
+pair that signatures rule out is written.
 
 Null texts count as empty. Texts without words are one class by equality only; texts of one to four words have a single
 shingle of all their words. Equal doc_ids with different texts are told apart. Repeated rows are copies. An empty
@@ -19,6 +20,7 @@ table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,7 +40,12 @@ COMPONENTS = BANDS * ROWS
 # A pair at the threshold agrees in 0.8 of the components with a deviation of 0.025; fewer than 0.68 happens once in a
 # million such pairs.
 LEAST_AGREEMENT = 0.68
+# The last comparison takes as many more components for the texts that are still apart: a deviation of 0.0125.
+FINE_COMPONENTS = 1024
+FINE_AGREEMENT = 0.745
+CLOSEST = 2
 BLOCK = 512
+CACHED_TEXTS, CACHED_CHARS = 4096, 8000
 CHUNK = 1 << 20
 POINTS = 1 << 18
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -97,13 +104,20 @@ def signatures(owner: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n_docs
     return sig
 
 
+def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    _, h, n = shingles([text])
+    return h, n
+
+
+_kept_bag = lru_cache(CACHED_TEXTS)(_bag)
+
+
 def overlap(a: str, b: str) -> float:
     """Weighted Jaccard similarity of the shingle multisets of two texts."""
-    owner, h, n = shingles([a, b])
-    split = int(np.searchsorted(owner, 1))
-    _, left, right = np.intersect1d(h[:split], h[split:], assume_unique=True, return_indices=True)
-    both = np.minimum(n[:split][left], n[split:][right]).sum()
-    either = n.sum() - both
+    (ha, na), (hb, nb) = ((_kept_bag if len(x) <= CACHED_CHARS else _bag)(x) for x in (a, b))
+    _, left, right = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+    both = np.minimum(na[left], nb[right]).sum()
+    either = na.sum() + nb.sum() - both
     return float(both / either) if either else 1.0
 
 
@@ -154,13 +168,23 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([overlap(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-def pivot_pairs(entries: DataFrame) -> DataFrame:
-    """(a, b): every class with the least class of each of its buckets.
+def shared_buckets(entries: DataFrame) -> DataFrame:
+    """bucket, cid, n: entries of buckets with more than one class."""
+    sizes = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return entries.join(sizes, "bucket")
+
 
-    The pivot is an aggregate that joins back, so a bucket of any size is spread by the skew join.
+def pivot_pairs(shared: DataFrame) -> DataFrame:
+    """(a, b): every class with the pivot of each of its buckets.
+
+    The pivot is the class that meets most others over all its buckets: in a group of edited copies that is the text
+    they were made from, if it is there. It is an aggregate that joins back, so a bucket of any size is spread by the
+    skew join.
     """
-    pivots = entries.groupBy("bucket").agg(F.min("cid").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return entries.join(pivots, "bucket").where("a < cid").select("a", F.col("cid").alias("b")).distinct()
+    company = shared.groupBy("cid").agg(F.sum(F.col("n") - 1).alias("company"))
+    pivots = shared.join(company, "cid").groupBy("bucket").agg(F.min(F.struct((-F.col("company")).alias("order"), "cid")).alias("first"))
+    met = shared.join(pivots.select("bucket", F.col("first.cid").alias("pivot")), "bucket").where("pivot != cid")
+    return met.select(F.least("pivot", "cid").alias("a"), F.greatest("pivot", "cid").alias("b")).distinct()
 
 
 def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -170,57 +194,90 @@ def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.where(agreement("sig_a", "sig_b") >= LEAST_AGREEMENT).select("a", "b")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def texts_of(docs: DataFrame, cids: DataFrame) -> DataFrame:
+    """cid, text of the given classes, each once."""
+    return docs.select(class_key().alias("cid"), F.coalesce("text", F.lit("")).alias("text")).join(cids, "cid", "left_semi").dropDuplicates(["cid"])
+
+
+def verified(texts: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Pairs whose whole texts reach the similarity."""
-    needed = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    texts = materialize(docs.select(class_key().alias("cid"), F.coalesce("text", F.lit("")).alias("text")).join(needed, "cid", "left_semi").dropDuplicates(["cid"]), "candidate_texts")
     both = pairs.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
     return both.where(similarity("text_a", "text_b") >= least).select("a", "b")
 
 
-def remaining_pairs(entries: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of unlike components that share a bucket and agree by signature, but were not compared with a pivot.
+def open_entries(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """bucket, cid, n, label: entries of buckets that hold classes of unlike components."""
+    named = shared.where("n > 2").join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    return named.join(open_, "bucket")
+
 
-    A bucket is dealt into blocks of about ``BLOCK`` classes, and each two blocks meet in a task of their own.
+def fine_signatures(texts: DataFrame) -> DataFrame:
+    """cid, sig: a byte of each of ``FINE_COMPONENTS`` further components."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cids, own = columns_of(b, "cid", "text")
+            for lo, hi in slices(own, CHUNK):
+                owner, h, n = shingles(own[lo:hi])
+                sig = signatures(owner, mix(h + GOLDEN), n, hi - lo, FINE_COMPONENTS)
+                yield pa.RecordBatch.from_pydict({"cid": pa.array(cids[lo:hi], pa.binary()), "sig": pa.array([x.tobytes() for x in (mix(sig.view(np.uint64)) & np.uint64(255)).astype(np.uint8)], pa.binary())})
+
+    return texts.mapInArrow(sketch, "cid binary, sig binary")
+
+
+def remaining_pairs(open_: DataFrame, sketches: DataFrame, least: float, closest: int | None) -> DataFrame:
+    """Pairs of unlike components that share a bucket and agree by signature.
+
+    With ``closest``, of a class and the members of one other component only that many with the best agreement are
+    returned. A bucket is dealt into blocks of about ``BLOCK`` classes, and each two blocks meet in a task of their own.
     """
-    named = entries.join(labels.select(F.col("node").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("cid").alias("pivot")).where("lo < hi and n > 2")
-    members = named.join(open_, "bucket").join(sketches.select("cid", "sig"), "cid")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    members = open_.join(sketches.select("cid", "sig"), "cid")
+    dealt = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    meet = dealt.select("bucket", "cid", "label", "pivot", "sig", "block", other.alias("other")).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "label", "pivot", "sig")
+    meet = dealt.select("bucket", "cid", "label", "sig", "block", other.alias("other")).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "label", "sig")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), COMPONENTS)
-        cid, pivot = rows["cid"].to_numpy(), rows["pivot"].iloc[0]
-        label, block = pd.factorize(rows["label"])[0], rows["block"].to_numpy()
-        is_pivot = np.array([c == pivot for c in cid])
-        same_block = rows["i"].iloc[0] == rows["j"].iloc[0]
+        sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+        cid, block = rows["cid"].to_numpy(), rows["block"].to_numpy()
+        label = pd.factorize(rows["label"])[0]
+        inside = rows["i"].iloc[0] == rows["j"].iloc[0]
+        largest = np.bincount(label).argmax()
         a, b = [], []
-        for k in range(len(rows)):
-            rest = slice(k + 1, None)
-            ok = (label[rest] != label[k]) & ~is_pivot[rest] & (not is_pivot[k])
-            if not same_block:
-                ok &= block[rest] != block[k]
-            at = k + 1 + np.flatnonzero(ok)
-            at = at[(sig[at] == sig[k]).mean(axis=1) >= LEAST_AGREEMENT]
-            a += [min(cid[k], cid[x]) for x in at]
-            b += [max(cid[k], cid[x]) for x in at]
+        for k in np.flatnonzero(label != largest):
+            at = np.flatnonzero((label != label[k]) & ((block != block[k]) | inside))
+            agree = (sig[at] == sig[k]).mean(axis=1)
+            at, agree = at[agree >= least], agree[agree >= least]
+            order = np.lexsort((-agree, label[at]))
+            of = label[at][order]
+            rank = np.arange(len(of)) - np.searchsorted(of, of)
+            for x in at[order][rank < (len(rows) if closest is None else closest)]:
+                a.append(min(cid[k], cid[x]))
+                b.append(max(cid[k], cid[x]))
         return pd.DataFrame({"a": a, "b": b})
 
     return meet.groupBy("bucket", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
 
 
 def class_links(docs: DataFrame) -> DataFrame:
-    """(a, b): verified links between distinct texts that hold every component together."""
+    """(a, b): verified links between distinct texts that hold every component together.
+
+    First every class meets the pivots of its buckets. Then classes meet members of other components in their buckets:
+    first the two most alike of each component, then, with finer signatures for the texts that are still apart, all.
+    """
     sketches = materialize(sketched(docs), "signatures")
-    entries = sketches.select("cid", F.explode("bands").alias("bucket"))
-    first = materialize(verified(docs, materialize(likely(pivot_pairs(entries), sketches), "pivot_pairs")), "pivot_links")
-    more = materialize(remaining_pairs(entries, components(first), sketches), "remaining_pairs")
-    if more.isEmpty():
-        return first
-    return materialize(first.unionByName(verified(docs, more)), "links")
+    shared = materialize(shared_buckets(sketches.select("cid", F.explode("bands").alias("bucket"))), "shared_buckets")
+    texts = materialize(texts_of(docs, shared.select("cid").distinct()), "candidate_texts")
+    links = materialize(verified(texts, likely(pivot_pairs(shared), sketches)), "links")
+
+    def joined(sig: DataFrame, open_: DataFrame, least: float, closest: int | None) -> DataFrame:
+        more = materialize(remaining_pairs(open_, sig, least, closest), "remaining_pairs")
+        return materialize(links.unionByName(verified(texts, more)).distinct(), "links")
+
+    links = joined(sketches, open_entries(shared, components(links)), LEAST_AGREEMENT, CLOSEST)
+    still = materialize(open_entries(shared, components(links)), "open_buckets")
+    fine = materialize(fine_signatures(texts.join(still.select("cid").distinct(), "cid", "left_semi")), "fine_signatures")
+    return joined(fine, still, FINE_AGREEMENT, None)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
