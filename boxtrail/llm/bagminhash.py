@@ -8,8 +8,7 @@ stops as soon as a shingle's next point is later than all components, so long te
 
 Texts are compared as classes of equal text. Bands of the signature put classes into buckets; every class is verified
 against the pivot of each of its buckets. Buckets whose classes are not yet in one component are then compared in
-blocks by signature, and pairs that look similar enough are verified too, the most alike first, until no such pair is
-left between unlike components. Verification counts the multiset overlap of whole texts. No bucket is collected, and no
+blocks by finer signatures, and all pairs of unlike components that look similar enough are verified too. Verification counts the multiset overlap of whole texts. No bucket is collected, and no
 pair that signatures rule out is written.
 
 Null texts count as empty. Texts without words are one class by equality only; texts of one to four words have a single
@@ -43,7 +42,6 @@ LEAST_AGREEMENT = 0.68
 # The last comparison takes as many more components for the texts that are still apart: a deviation of 0.0125.
 FINE_COMPONENTS = 1024
 FINE_AGREEMENT = 0.745
-CLOSEST = 2
 BLOCK = 512
 CACHED_TEXTS, CACHED_CHARS = 4096, 8000
 CHUNK = 1 << 20
@@ -213,45 +211,44 @@ def open_entries(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fine_signatures(texts: DataFrame) -> DataFrame:
-    """cid, sig: a byte of each of ``FINE_COMPONENTS`` further components."""
+    """cid, bands, sig: a byte of each of ``FINE_COMPONENTS`` further components."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cids, own = columns_of(b, "cid", "text")
+            (own,) = columns_of(b, "text")
+            cids, bands = (b.column(b.schema.get_field_index(c)) for c in ("cid", "bands"))
             for lo, hi in slices(own, CHUNK):
                 owner, h, n = shingles(own[lo:hi])
                 sig = signatures(owner, mix(h + GOLDEN), n, hi - lo, FINE_COMPONENTS)
-                yield pa.RecordBatch.from_pydict({"cid": pa.array(cids[lo:hi], pa.binary()), "sig": pa.array([x.tobytes() for x in (mix(sig.view(np.uint64)) & np.uint64(255)).astype(np.uint8)], pa.binary())})
+                raw = pa.array([x.tobytes() for x in (mix(sig.view(np.uint64)) & np.uint64(255)).astype(np.uint8)], pa.binary())
+                yield pa.RecordBatch.from_arrays([cids.slice(lo, hi - lo), bands.slice(lo, hi - lo), raw], names=["cid", "bands", "sig"])
 
-    return texts.mapInArrow(sketch, "cid binary, sig binary")
+    return texts.mapInArrow(sketch, "cid binary, bands array<long>, sig binary")
 
 
-def remaining_pairs(open_: DataFrame, sketches: DataFrame, least: float, closest: int | None) -> DataFrame:
+def remaining_pairs(open_: DataFrame, sketches: DataFrame, least: float = FINE_AGREEMENT) -> DataFrame:
     """Pairs of unlike components that share a bucket and agree by signature.
 
-    With ``closest``, of a class and the members of one other component only that many with the best agreement are
-    returned. A bucket is dealt into blocks of about ``BLOCK`` classes, and each two blocks meet in a task of their own.
+    A bucket is dealt into blocks of about ``BLOCK`` classes, and each two blocks meet in a task of their own. A pair is
+    returned from the first of the buckets that it shares only.
     """
-    members = open_.join(sketches.select("cid", "sig"), "cid")
+    members = open_.join(sketches.select("cid", "bands", "sig"), "cid")
     dealt = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    meet = dealt.select("bucket", "cid", "label", "sig", "block", other.alias("other")).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "label", "sig")
+    meet = dealt.select("bucket", "cid", "label", "bands", "sig", "block", other.alias("other")).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "label", "bands", "sig")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
-        cid, block = rows["cid"].to_numpy(), rows["block"].to_numpy()
+        cid, block, bands = rows["cid"].to_numpy(), rows["block"].to_numpy(), np.stack(rows["bands"])
+        band = int((bands[0] == rows["bucket"].iloc[0]).argmax())
         label = pd.factorize(rows["label"])[0]
         inside = rows["i"].iloc[0] == rows["j"].iloc[0]
         largest = np.bincount(label).argmax()
         a, b = [], []
         for k in np.flatnonzero(label != largest):
             at = np.flatnonzero((label != label[k]) & ((block != block[k]) | inside))
-            agree = (sig[at] == sig[k]).mean(axis=1)
-            at, agree = at[agree >= least], agree[agree >= least]
-            order = np.lexsort((-agree, label[at]))
-            of = label[at][order]
-            rank = np.arange(len(of)) - np.searchsorted(of, of)
-            for x in at[order][rank < (len(rows) if closest is None else closest)]:
+            at = at[(bands[at] == bands[k]).argmax(axis=1) == band]
+            for x in at[(sig[at] == sig[k]).mean(axis=1) >= least]:
                 a.append(min(cid[k], cid[x]))
                 b.append(max(cid[k], cid[x]))
         return pd.DataFrame({"a": a, "b": b})
@@ -262,42 +259,35 @@ def remaining_pairs(open_: DataFrame, sketches: DataFrame, least: float, closest
 def class_links(docs: DataFrame) -> DataFrame:
     """(a, b): verified links between distinct texts that hold every component together.
 
-    First every class meets the pivots of its buckets. Then classes meet members of other components in their buckets:
-    first the two most alike of each component, then, with finer signatures for the texts that are still apart, all.
+    First every class meets the pivots of its buckets. Then the classes of buckets whose classes are not all in one
+    component get finer signatures, and every two of unlike components that these do not rule out are verified.
     """
     sketches = materialize(sketched(docs), "signatures")
     shared = materialize(shared_buckets(sketches.select("cid", F.explode("bands").alias("bucket"))), "shared_buckets")
     texts = materialize(texts_of(docs, shared.select("cid").distinct()), "candidate_texts")
-    links = materialize(verified(texts, likely(pivot_pairs(shared), sketches)), "links")
-
-    def joined(sig: DataFrame, open_: DataFrame, least: float, closest: int | None) -> DataFrame:
-        more = materialize(remaining_pairs(open_, sig, least, closest), "remaining_pairs")
-        return materialize(links.unionByName(verified(texts, more)).distinct(), "links")
-
-    links = joined(sketches, open_entries(shared, components(links)), LEAST_AGREEMENT, CLOSEST)
+    links = materialize(verified(texts, likely(pivot_pairs(shared), sketches)), "pivot_links")
     still = materialize(open_entries(shared, components(links)), "open_buckets")
-    fine = materialize(fine_signatures(texts.join(still.select("cid").distinct(), "cid", "left_semi")), "fine_signatures")
-    return joined(fine, still, FINE_AGREEMENT, None)
+    fine = materialize(fine_signatures(texts.join(still.select("cid").distinct(), "cid", "left_semi").join(sketches.select("cid", "bands"), "cid")), "fine_signatures")
+    more = materialize(remaining_pairs(still, fine), "remaining_pairs")
+    return materialize(links.unionByName(verified(texts, more)), "links")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, cid, class_id, class_docs, n_links, keep: one row per input row.
+    """doc_id, cid, class_id, class_docs, keep: one row per input row.
 
-    ``class_id`` is the least doc_id of the class; ``n_links`` counts the verified links of the row's own text; ``keep``
-    marks the document (equal rows: each of them) that stands for its class, the one of the least doc_id.
+    ``class_id`` is the least doc_id of the class; ``keep`` marks the document (equal rows: each of them) that stands
+    for its class, the one of the least doc_id.
     """
-    links = class_links(docs)
-    labels = components(links)
-    ends = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
+    labels = components(class_links(docs))
     rows = docs.select("doc_id", class_key().alias("cid"))
     texts = rows.groupBy("cid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    named = texts.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid")).join(ends, "cid", "left")
+    named = texts.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     named = materialize(named, "labelled_texts")
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "cid"))
     classes = named.groupBy("label").agg(first.alias("first"), F.sum("copies").alias("class_docs"))
-    full = named.join(classes, "label").select("cid", "first", "class_docs", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    full = named.join(classes, "label").select("cid", "first", "class_docs")
     keep = (F.col("cid") == F.col("first.cid")) & F.col("doc_id").eqNullSafe(F.col("first.least"))
-    return rows.join(full, "cid").select("doc_id", "cid", F.col("first.least").alias("class_id"), "class_docs", "n_links", keep.alias("keep"))
+    return rows.join(full, "cid").select("doc_id", "cid", F.col("first.least").alias("class_id"), "class_docs", keep.alias("keep"))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -31,9 +31,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ordered = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     links = materialize(ordered, "component_links")
     while True:
-        several = links.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
-        inner = links.select(F.col("v").alias("u")).join(links.select("u"), "u", "left_semi")
-        if several.unionByName(inner).isEmpty():
+        ends = links.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        loose = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in")).where("out > 1 or (out > 0 and in > 0)")
+        if loose.isEmpty():
             break
         links = materialize(_small_star(_large_star(links)), "component_links")
     roots = links.select(F.col("v").alias("node")).distinct()
