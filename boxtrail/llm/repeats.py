@@ -92,7 +92,12 @@ def phrase_rows(texts: DataFrame) -> DataFrame:
                 again[by] = ~new
                 same_place = np.zeros(len(by), bool)  # equal rows of one document are not earlier than each other
                 same_place[by] = (start[by] == start[head]) & (codes[lo:hi][p.doc[by]] == codes[lo:hi][p.doc[head]])
-                keep = ~(again & same_place)
+                # Repeating phrases that follow each other are one row.
+                keep = np.flatnonzero(~(again & same_place))
+                joins = again[keep][1:] & again[keep][:-1] & (p.doc[keep][1:] == p.doc[keep][:-1]) & (p.first[keep][1:] == p.last[keep][:-1] + 1)
+                head = np.flatnonzero(np.concatenate(([True], ~joins)))
+                strings = np.add.reduceat(p.last[keep] - p.first[keep] + 1, head)
+                keep = keep[head]
                 d, again, start = p.doc[keep] + lo, again[keep], start[keep]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -101,13 +106,13 @@ def phrase_rows(texts: DataFrame) -> DataFrame:
                         docs.take(pa.array(d)),
                         pa.array(tags[d]),
                         pa.array(start.astype(np.int32)),
-                        pa.array((p.last - p.first + 1)[keep].astype(np.int16)),
+                        pa.array(strings.astype(np.int32)),
                         pa.array((p.trigger - p.first)[keep].astype(np.int16)),
                     ],
                     names=["trigger", "content", "doc", "tag", "start", "strings", "offset"],
                 )
 
-    return texts.mapInArrow(parsed, f"trigger long, content long, doc {kind}, tag int, start int, strings short, offset short")
+    return texts.mapInArrow(parsed, f"trigger long, content long, doc {kind}, tag int, start int, strings int, offset short")
 
 
 def _codes(docs: pa.Array, tags: np.ndarray) -> np.ndarray:
@@ -177,7 +182,7 @@ def phrase_bytes(texts: DataFrame, open_: DataFrame) -> DataFrame:
             doc, tag = (b.column(b.schema.get_field_index(c)).take(take) for c in DOC)
             yield pa.RecordBatch.from_arrays([doc, tag, *(flat.field(c) for c in fields), pa.array(data, pa.binary())], names=[*DOC, *fields, "bytes"])
 
-    return both.mapInArrow(fetch, f"doc {kind}, tag int, start int, strings short, trigger long, offset short, contents long, bytes binary")
+    return both.mapInArrow(fetch, f"doc {kind}, tag int, start int, strings int, trigger long, offset short, contents long, bytes binary")
 
 
 def _strings(rows: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,7 +222,7 @@ def ordered_together(rows: DataFrame) -> DataFrame:
         length = np.add.reduceat(again, first) if len(first) else np.zeros(0, np.int64)
         take = pa.array(row[first])
         doc, tag = (table[c].combine_chunks().take(take) for c in DOC)
-        return pa.RecordBatch.from_arrays([doc, tag, pa.array(start[first].astype(np.int32)), pa.array(length.astype(np.int16))], names=[*DOC, "start", "strings"])
+        return pa.RecordBatch.from_arrays([doc, tag, pa.array(start[first].astype(np.int32)), pa.array(length.astype(np.int32))], names=[*DOC, "start", "strings"])
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -236,7 +241,7 @@ def ordered_together(rows: DataFrame) -> DataFrame:
         if kept:
             yield judge(pa.Table.from_batches(kept))
 
-    return sorted_.mapInArrow(order, f"doc {kind}, tag int, start int, strings short")
+    return sorted_.mapInArrow(order, f"doc {kind}, tag int, start int, strings int")
 
 
 def ordered_apart(rows: DataFrame) -> DataFrame:
@@ -253,7 +258,7 @@ def ordered_apart(rows: DataFrame) -> DataFrame:
     strings = rows.mapInArrow(each, f"trigger long, name long, doc {kind}, tag int, start int")
     place = F.struct(*DOC, "start")
     least = strings.groupBy("trigger", "name").agg(F.min(place).alias("least"))
-    return strings.join(least, ["trigger", "name"]).where(place > F.col("least")).select(*DOC, "start", F.lit(1).cast("short").alias("strings"))
+    return strings.join(least, ["trigger", "name"]).where(place > F.col("least")).select(*DOC, "start", F.lit(1).alias("strings"))
 
 
 def cut(texts: DataFrame, ranges: DataFrame, keep_text: bool = False) -> DataFrame:
