@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxtrail.llm.common import columns_of, documents, encoder
+from boxtrail.runtime import materialize
 
 BLOCK = 1024
 
@@ -83,4 +84,4 @@ def quantiles(sums: DataFrame, levels: list[float]) -> DataFrame:
 
 def op1_token_histogram(spark, sf_dir: str) -> DataFrame:
     """Length histogram of all documents with its suffix sums."""
-    return suffix_sums(histogram(token_lengths(documents(spark, sf_dir, "text"))))
+    return suffix_sums(materialize(histogram(token_lengths(documents(spark, sf_dir, "text"))), "token_histogram"))
