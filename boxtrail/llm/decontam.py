@@ -6,7 +6,9 @@ windows, whose size is fixed; documents with a survivor keep their word hashes a
 Each hit names a diagonal, an alignment of a document with an item; the words around the hit are compared along it.
 
 Words are runs of letters and digits, in lower case. An item is found in a document when verified stretches (at least
-``MIN_MATCHED`` equal words, or the whole item, 80 % of the aligned words equal) cover at least half of the item.
+``MIN_MATCHED`` equal words, or the whole item, 80 % of the aligned words equal) cover at least half of the item, or when
+one of them has ``PASSAGE`` equal words, however long the item is. ``PASSAGE`` is above ``SPAN``: so many words in a row
+fill every mask, so a verbatim passage always has a seed.
 
 Null and empty texts have no words and match nothing; items of fewer than ``MIN_MATCHED`` words are found only as a
 whole and only from ``MIN_ITEM`` words on. Repeated rows of a document give one result; equal doc_ids with different
@@ -32,6 +34,7 @@ MIN_ITEM = 5
 MIN_MATCHED = 8
 IDENTITY = 0.8
 COVERED = 0.5
+PASSAGE = 13
 FILTER_BITS = 26
 PROBES = 4
 CHUNK = 1 << 21
@@ -144,13 +147,20 @@ def suspects(docs: DataFrame, table: np.ndarray, short: list[int], bits: int = F
     return materialize(rows.dropDuplicates(["doc_id", "text_key"]), "suspects")
 
 
-def aligned(doc: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[int, int]:
-    """(equal words, item words covered) of the verified stretches along the diagonals.
+def best_stretch(same: np.ndarray, loss: int) -> tuple[int, int]:
+    """Start and end of the stretch with the largest sum, an equal word counting 1 and an unequal one -loss."""
+    run = np.concatenate(([0], np.cumsum(np.where(same, 1, -loss))))
+    end = int((run - np.minimum.accumulate(run)).argmax())
+    return int(run[: end + 1].argmin()), end
 
-    On a diagonal the stretch is the one with the largest sum, an equal word counting 1 and an unequal one -2; further
-    stretches are sought on both sides of it.
+
+def aligned(doc: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[int, int, int]:
+    """(equal words, item words covered, equal words of the best stretch) of the verified stretches along the diagonals.
+
+    On a diagonal the stretch is the one with the largest sum, an unequal word costing two equal ones, or four where the
+    stretch is below ``IDENTITY`` otherwise; further stretches are sought on both sides of it.
     """
-    covered, equal = np.zeros(len(item), bool), np.zeros(len(item), bool)
+    covered, equal, most = np.zeros(len(item), bool), np.zeros(len(item), bool), 0
     for shift in diagonals:
         lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
         if hi <= lo:
@@ -161,21 +171,23 @@ def aligned(doc: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[in
             a, b = todo.pop()
             if same[a:b].sum() < min(MIN_MATCHED, len(item)):
                 continue
-            run = np.concatenate(([0], np.cumsum(np.where(same[a:b], 1, -2))))
-            gain = run - np.minimum.accumulate(run)
-            end = int(gain.argmax())
-            start = int(run[: end + 1].argmin())
+            start, end = best_stretch(same[a:b], 2)
+            if same[a + start : a + end].mean() < IDENTITY:
+                start, end = best_stretch(same[a:b], 4)
             part = same[a + start : a + end]
-            if part.sum() < min(MIN_MATCHED, len(item)) or part.mean() < IDENTITY:
-                continue
-            covered[lo + a + start : lo + a + end] = True
-            equal[lo + a + start : lo + a + end] |= part
+            if part.sum() >= min(MIN_MATCHED, len(item)):
+                covered[lo + a + start : lo + a + end] = True
+                equal[lo + a + start : lo + a + end] |= part
+                most = max(most, int(part.sum()))
             todo += [(a, a + start), (a + end, b)]
-    return int(equal.sum()), int(covered.sum())
+    return int(equal.sum()), int(covered.sum()), most
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, text_key, item_id, item_words, matched, covered: verified overlaps of documents with items."""
+    """doc_id, text_key, item_id, item_words, matched, covered: verified overlaps of documents with items.
+
+    ``matched`` and ``covered`` count words of the item over all its verified stretches in the document.
+    """
     items, seeds = benchmark_seeds(benchmark)
     lengths = items.agg(F.collect_set(F.when(F.size("words") < SPAN, F.size("words"))).alias("n")).first()["n"]  # fewer than SPAN values
     found = suspects(docs, bloom_filter(seeds), lengths)
@@ -189,11 +201,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for b in batches:
             rows = [aligned(np.array(d), np.array(w), x) for d, w, x in zip(*columns_of(b, "doc_words", "words", "diagonals"))]
             size = [len(w) for (w,) in zip(*columns_of(b, "words"))]
-            numbers = [size, [r[0] for r in rows], [r[1] for r in rows]]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("doc_id", "text_key", "item_id")), *(pa.array(x, pa.int32()) for x in numbers)], names=["doc_id", "text_key", "item_id", "item_words", "matched", "covered"])
+            numbers = [size, *([r[k] for r in rows] for k in range(3))]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in ("doc_id", "text_key", "item_id")), *(pa.array(x, pa.int32()) for x in numbers)], names=["doc_id", "text_key", "item_id", "item_words", "matched", "covered", "most"])
 
-    out = both.mapInArrow(verify, ", ".join([*kinds, "item_words int", "matched int", "covered int"]))
-    return out.where((F.col("matched") > 0) & (F.col("covered") >= F.lit(COVERED) * F.col("item_words")))
+    out = both.mapInArrow(verify, ", ".join([*kinds, "item_words int", "matched int", "covered int", "most int"]))
+    return out.where((F.col("matched") > 0) & ((F.col("covered") >= F.lit(COVERED) * F.col("item_words")) | (F.col("most") >= PASSAGE))).drop("most")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

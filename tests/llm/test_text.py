@@ -258,6 +258,28 @@ def test_decontamination_tolerates_substitutions(spark):
     assert all(r.matched == 35 and r.item_words == 40 for r in got)
 
 
+def test_decontamination_finds_passages_of_long_items(spark):
+    """A passage of 13 equal words is an overlap in an item of any length; 12 words of a long item are not."""
+    sizes = {59: 29, 1000: 450, 300: 13, 301: 12, 400: 30}
+    items = {n: [f"item{n}word{k}" for k in range(n)] for n in sizes}
+    texts = {n: " ".join(["before"] * 50 + items[n][20 : 20 + size] + ["after"] * 50) for n, size in sizes.items()}
+    spread = [w if k % 8 else "CHANGED" for k, w in enumerate(items[1000][100:132])]  # 28 of 32 words
+    noise = ["CHANGED" if k % 7 < 2 else w for k, w in enumerate(items[400][50:])]  # the whole diagonal is under 80 %
+    texts |= {1: " ".join(spread), 2: " ".join(items[400][20:50] + noise)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.item_words, r.matched, r.covered) for r in decontam.overlaps(df, table).collect()}
+    assert got.pop((2, 400))[1] >= 30
+    assert got == {
+        (59, 59): (59, 29, 29),
+        (1000, 1000): (1000, 450, 450),
+        (300, 300): (300, 13, 13),
+        (400, 400): (400, 30, 30),
+        (1, 1000): (1000, 28, 31),
+    }
+    assert {r.doc_id for r in decontam.without_benchmark(df, table).collect()} == {301}
+
+
 def test_decontamination_edges(spark, awkward, empty):
     items = spark.createDataFrame([(1, PROSE), (1, PROSE), (2, None), (3, ""), (4, "hunter2hunter2 mail a.b@c.example.org"), (5, "with a")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.overlaps(awkward, items).collect()}
