@@ -10,8 +10,8 @@ Words are runs of letters and digits, in lower case. An item is found in a docum
 one of them has ``PASSAGE`` equal words, however long the item is. ``PASSAGE`` is above ``SPAN``: so many words in a row
 fill every mask, so a verbatim passage always has a seed.
 
-Null and empty texts have no words and match nothing; items of fewer than ``MIN_MATCHED`` words are found only as a
-whole and only from ``MIN_ITEM`` words on. Repeated rows of a document give one result; equal doc_ids with different
+Null and empty texts have no words and match nothing; items of up to ``MIN_MATCHED`` words are found only as a whole and
+only from ``MIN_ITEM`` words on. Repeated rows of a document give one result; equal doc_ids with different
 texts are searched one by one. An empty corpus or benchmark gives an empty result. Other columns are ignored.
 """
 
@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 from boxtrail.llm.common import columns_of, documents, mix, slices, text_key, word_hashes
 from boxtrail.runtime import materialize
 
-# Eight of twelve words each; together they keep a hit on most ways to replace a word in five.
+# Nine of twelve words each; together they keep a hit on most ways to replace a word in five of a long item.
 MASKS = ("110110110111", "111011011011", "110011101111", "101111001111", "111100110111", "101011110111")
+# Five of five to eight words each, for items of fewer than LIGHT_BELOW words, which have few places for the long ones.
+LIGHT = ("11111", "110111", "1101011", "11001011")
+LIGHT_BELOW = 30
 SPAN = len(MASKS[0])
 MIN_ITEM = 5
 MIN_MATCHED = 8
@@ -41,8 +44,13 @@ CHUNK = 1 << 21
 
 
 def masks_for(short: list[int]) -> list[tuple[int, ...]]:
-    """Offsets of every mask: the spaced ones, and a full one for each length of items too short for them."""
-    return [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS] + [tuple(range(n)) for n in sorted(short)]
+    """Offsets of every mask for items of the ``short`` lengths, all below ``LIGHT_BELOW``, and of any longer ones.
+
+    Items of up to ``MIN_MATCHED`` words must match as a whole and have a full mask of their length.
+    """
+    light = LIGHT if any(n > MIN_MATCHED for n in short) else ()
+    spaced = [tuple(i for i, c in enumerate(m) if c == "1") for m in (*MASKS, *light)]
+    return list(dict.fromkeys(spaced + [tuple(range(n)) for n in sorted(short) if n <= MIN_MATCHED]))
 
 
 def windows(words: np.ndarray, offsets: tuple[int, ...]) -> np.ndarray:
@@ -81,7 +89,7 @@ def benchmark_seeds(benchmark: DataFrame, item: str = "item_id") -> tuple[DataFr
             out: list[tuple] = []
             for i, w in zip(ids, lists):
                 w = np.array(w, np.int64).view(np.uint64)
-                for offsets in masks_for([len(w)] if len(w) < SPAN else []):
+                for offsets in masks_for([len(w)] if len(w) < LIGHT_BELOW else []):
                     out += ((i, k, s) for k, s in enumerate(windows(w, offsets).view(np.int64).tolist()))
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field("item_id").type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], names=["item_id", "pos", "seed"])
@@ -158,7 +166,8 @@ def aligned(doc: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[in
     """(equal words, item words covered, equal words of the best stretch) of the verified stretches along the diagonals.
 
     On a diagonal the stretch is the one with the largest sum, an unequal word costing two equal ones, or four where the
-    stretch is below ``IDENTITY`` otherwise; further stretches are sought on both sides of it.
+    stretch is below ``IDENTITY`` otherwise; where that is too short, all from the first to the last equal word, if enough
+    of it is equal. Further stretches are sought on both sides of it.
     """
     covered, equal, most = np.zeros(len(item), bool), np.zeros(len(item), bool), 0
     for shift in diagonals:
@@ -174,6 +183,10 @@ def aligned(doc: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[in
             start, end = best_stretch(same[a:b], 2)
             if same[a + start : a + end].mean() < IDENTITY:
                 start, end = best_stretch(same[a:b], 4)
+            if same[a + start : a + end].sum() < min(MIN_MATCHED, len(item)):
+                ends = np.flatnonzero(same[a:b])[[0, -1]]
+                if same[a + ends[0] : a + ends[1] + 1].mean() >= IDENTITY:
+                    start, end = int(ends[0]), int(ends[1]) + 1
             part = same[a + start : a + end]
             if part.sum() >= min(MIN_MATCHED, len(item)):
                 covered[lo + a + start : lo + a + end] = True
@@ -189,7 +202,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``matched`` and ``covered`` count words of the item over all its verified stretches in the document.
     """
     items, seeds = benchmark_seeds(benchmark)
-    lengths = items.agg(F.collect_set(F.when(F.size("words") < SPAN, F.size("words"))).alias("n")).first()["n"]  # fewer than SPAN values
+    lengths = items.agg(F.collect_set(F.when(F.size("words") < LIGHT_BELOW, F.size("words"))).alias("n")).first()["n"]  # fewer than LIGHT_BELOW values
     found = suspects(docs, bloom_filter(seeds), lengths)
     hits = found.select("doc_id", "text_key", F.inline(F.arrays_zip("seeds", "places"))).join(seeds, F.col("seeds") == F.col("seed"))
     pairs = hits.groupBy("doc_id", "text_key", "item_id").agg(F.collect_set(F.col("places") - F.col("pos")).alias("diagonals"))

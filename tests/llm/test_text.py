@@ -1,5 +1,6 @@
 """Token counts, packing, quality rules, language ID and decontamination."""
 
+import itertools
 import random
 import re
 import zlib
@@ -280,6 +281,25 @@ def test_decontamination_finds_passages_of_long_items(spark):
     assert {r.doc_id for r in decontam.without_benchmark(df, table).collect()} == {301}
 
 
+def test_decontamination_tolerates_substitutions_in_short_items(spark):
+    """Every way to replace so many words leaves a hit; items of up to 8 words are found as a whole only."""
+    texts, items = {}, {}
+    for n, changed in ((9, 1), (10, 1), (11, 1), (11, 2), (12, 2), (15, 3)):
+        for places in itertools.combinations(range(n), changed):
+            i = len(items)
+            items[i] = [f"item{i}word{k}" for k in range(n)]
+            texts[i] = " ".join(["before", *("CHANGED" if k in places else w for k, w in enumerate(items[i])), "after"])
+    for n in (5, 8):
+        i = len(items)
+        items[i] = [f"item{i}word{k}" for k in range(n)]
+        texts[i], texts[-i] = " ".join(items[i]), " ".join([*items[i][:-1], "CHANGED"])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.overlaps(df, table).collect()}
+    assert set(got) == {(i, i) for i in items}
+    assert all(r.matched >= 8 or r.matched == r.item_words for r in got.values())
+
+
 def test_decontamination_edges(spark, awkward, empty):
     items = spark.createDataFrame([(1, PROSE), (1, PROSE), (2, None), (3, ""), (4, "hunter2hunter2 mail a.b@c.example.org"), (5, "with a")], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.overlaps(awkward, items).collect()}
