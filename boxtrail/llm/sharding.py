@@ -5,8 +5,8 @@ to shard, built from the bytes of each slot and edited, not rebuilt, when shards
 expressions; what is gathered into one row is the list of slots, whose number is fixed.
 
 Nulls: a null text counts as empty, a null doc_id hashes like any other value. Equal doc_ids with different texts are
-told apart by the text, so a repeated id cannot make a hot slot. An empty table gives an empty result. Other columns
-of the input are ignored, whatever their names.
+told apart by the text and equal rows by their ordinal, so neither can make a hot slot. An empty table gives an empty
+result. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,14 +19,25 @@ from boxtrail.runtime import materialize
 
 VIRTUAL_SLOTS = 4096
 ROW_BYTES = 8
+COPIES_A_ROW = 1024
 
 
 def records(docs: DataFrame, n_slots: int = VIRTUAL_SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot: all that placing needs, one row per input row."""
+    """doc_id, size, text_crc32, virtual_slot: all that placing needs, one row per input row.
+
+    Equal rows are counted, not moved, and numbered from 0; every one after the first is hashed with its number. They are
+    written out ``COPIES_A_ROW`` at a time, so no task makes all copies of a row.
+    """
+    key = ("doc_id", "size", "text_crc32")
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(text).alias("text_crc32")).withColumn(
-        "virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(n_slots)).cast("int")
-    )
+    rows = docs.select("doc_id", (F.octet_length(text) + F.lit(ROW_BYTES)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    step = F.lit(COPIES_A_ROW).cast("long")
+    parts = counted.select(*key, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step)).alias("first")).repartition(*key, "first")
+    copies = parts.select(*key, F.explode(F.sequence("first", F.least(F.col("first") + step, "n") - 1)).alias("ordinal"))
+    name = F.xxhash64("doc_id", "text_crc32", "size")
+    salted = F.when(F.col("ordinal") == 0, name).otherwise(F.xxhash64("doc_id", "text_crc32", "size", "ordinal"))
+    return copies.select(*key, F.pmod(salted, F.lit(n_slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_stats(rows: DataFrame) -> DataFrame:

@@ -171,3 +171,18 @@ def test_rebalancing_edits_the_stored_map(spark, n_shards):
     assert set(loads) == set(range(n_shards)) and max(loads.values()) <= 1.1 * min(loads.values())
     stay = sum(old[s].shard == new[s].shard for s in old) / len(old)
     assert stay >= (0.7 if n_shards == 5 else 0.6)
+
+
+def test_equal_rows_are_spread_over_slots(spark):
+    """5,000 equal rows, a third of all, make no hot slot; rows that occur once keep the slot of their hash."""
+    once = spark.range(10_000).select(F.col("id").alias("doc_id"), F.format_string("text %06d", "id").alias("text"))
+    same = spark.range(5_000).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("text 000000").alias("text"))
+    rows = sharding.shard_documents(once.unionByName(same), 8, 256).collect()
+    assert len(rows) == 15_000 and sum(r.doc_id == -1 for r in rows) == 5_000
+    slots, shards = Counter(r.virtual_slot for r in rows), Counter()
+    for r in rows:
+        shards[r.shard] += r.size
+    assert max(slots.values()) < 120 and max(shards.values()) < 1.02 * min(shards.values())
+    assert all(sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows))) for k in range(8))
+    plain = once.select("doc_id", F.pmod(F.xxhash64("doc_id", F.crc32("text"), (F.octet_length("text") + 8).cast("long")), F.lit(256)).alias("v"))
+    assert {r.doc_id: r.v for r in plain.collect()} == {r.doc_id: r.virtual_slot for r in rows if r.doc_id >= 0}
