@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from boxtrail.llm import bagminhash, decontam, langid, packing, pii, quality, repeats, secrets, sharding, token_counts
+from boxtrail.llm import alignment, bagminhash, decontam, langid, licenses, middle, packing, pii, quality, repeats, secrets, sharding, token_counts
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,12 @@ QUERIES = {
         sharding.op8_virtual_slots,
         repeats.op9_repeated_strings,
         decontam.op10_benchmark_overlaps,
+        licenses.op11_license_scan,
+        middle.op12_fill_in_middle,
+        alignment.op13_token_alignment,
     )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_license_scan": licenses.OP11_SQL,
+    "op12_fill_in_middle": middle.OP12_SQL,
+}
