@@ -11,12 +11,13 @@ chunk's distinct pairs once, and stores links as numbers into them. Only these d
 and joined back with their counts, chunk by chunk; links themselves are never exploded, and no table of all pairs is
 broadcast or gathered.
 
-Texts longer than ``PART`` characters are encoded in parts, cut before a single space between two other characters, where
-neither tokenizer joins anything (checked on B's vocabulary; A's pattern never does); a text without such a place is
-one part. A document of more than ``CHUNK`` links is stored as several rows of a chunk each. Null and empty texts, and
-texts whose tokens do not give the very bytes back (U+2581 in the text), have no tokens: zeros and an empty groups
-string. Rows that are repeated count as often as they occur. Equal highest counts all are best. An empty table gives an
-empty result. Other columns of the input are ignored.
+A text is cut before single spaces between two other characters, where neither tokenizer joins anything (checked on B's
+vocabulary; A's pattern never does), so its tokens are those of its segments. A task keeps the alignment of up to ``KEPT``
+short segments it has met; unknown ones are joined up to ``PART`` characters and aligned in one go. A text without such
+a place is one segment. A document of more than ``CHUNK`` links is stored as several rows of a chunk each. Null and empty
+texts, and texts whose tokens do not give the very bytes back (U+2581 in the text), have no tokens: zeros and an empty
+groups string. Rows that are repeated count as often as they occur. Equal highest counts all are best. An empty table
+gives an empty result. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -37,10 +39,13 @@ from boxtrail.runtime import materialize
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK = 1 << 20
-PART = 1 << 20
+PART = 1 << 18
+KEPT = 1 << 18
+KEPT_CHARS = 200
 PAIR_BITS = 32
 SPACE_MARK = "▁"
 FALLBACK = re.compile(r"<0x([0-9A-F]{2})>")
+BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -50,6 +55,9 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+UNKNOWN = object()
+
+
 class Tokens(NamedTuple):
     ids: np.ndarray
     ends: np.ndarray  # byte offsets
@@ -75,23 +83,16 @@ class Tokenizers:
         self.sizes_a, self.sizes_b = (np.array([len(b) for b in t], np.int64) for t in (self.bytes_a, self.bytes_b))
         self.names = np.array([str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))], object)
 
-    def parts(self, text: str) -> Iterator[str]:
-        """The text cut before single spaces; each part stands for a space and itself."""
-        lo = 0
-        while self.splits and len(text) - lo > PART:
-            m = re.compile(r"(?<=\S) (?=\S)").search(text, lo + PART)
-            if not m:
-                break
-            yield text[lo : m.start()]
-            lo = m.end()
-        yield text[lo:] if lo else text
+    def segments(self, text: str) -> list[str]:
+        """The text cut before single spaces; each segment stands for a space and itself."""
+        return BETWEEN.split(text) if self.splits else [text]
 
     def spans_a(self, text: str, raw: bytes) -> Tokens | None:
         code = self.a.encode(text, add_special_tokens=False)
         ids = np.array(code.ids, np.int64)
         if b"".join(map(self.bytes_a.__getitem__, code.ids)) != raw:
             return None
-        spans = np.array(code.offsets, np.int64).reshape(-1, 2)
+        spans = pairs_of(code.offsets)
         if len(raw) != len(text):  # characters to bytes
             spans = np.append(np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80), len(raw))[spans]
         return Tokens(ids, refined(spans, self.sizes_a[ids]))
@@ -101,23 +102,84 @@ class Tokenizers:
         ids = np.array(code["ids"], np.int64)
         if b"".join(map(self.bytes_b.__getitem__, code["ids"])) != raw:
             return None
-        spans = np.array(code["offsets"], np.int64).reshape(-1, 2) + 1  # the space that B adds has no span
+        spans = pairs_of(code["offsets"]) + 1  # the space that B adds has no span
         spans[0, 0] = 0
         return Tokens(ids, refined(spans, self.sizes_b[ids]))
 
     def align(self, text: str) -> tuple[Tokens, Tokens] | None:
         """Tokens of a space and the text by A and B; None if either does not give the bytes back."""
-        both: tuple[list, list] = ([], [])
-        base = 0
-        for part in self.parts(text):
-            raw = b" " + part.encode("utf-8", "surrogatepass")
-            found = self.spans_a(" " + part, raw), self.spans_b(part, raw)
-            if None in found:
-                return None
-            for side, tokens in zip(both, found):
-                side.append(Tokens(tokens.ids, tokens.ends + base))
-            base += len(raw)
-        return tuple(Tokens(*map(np.concatenate, zip(*side))) for side in both)
+        raw = b" " + text.encode("utf-8", "surrogatepass")
+        a = self.spans_a(" " + text, raw)
+        b = self.spans_b(text, raw) if a else None
+        return (a, b) if b else None
+
+
+class Aligned(NamedTuple):
+    n_a: int
+    n_b: int
+    links: np.ndarray  # A's id << PAIR_BITS | B's id, one per group
+    groups: str
+
+
+class Aligner:
+    """Alignment of texts by segments, which it keeps."""
+
+    def __init__(self, own: Tokenizers):
+        self.own, self.kept = own, {}
+
+    def together(self, segments: list[str]) -> list[Aligned | None]:
+        """Segments aligned as one text; they must be cut where ``Tokenizers.segments`` would cut them."""
+        found = self.own.align(" ".join(segments))
+        if not found:
+            return [None] if len(segments) == 1 else [self.together([s])[0] for s in segments]
+        a, b = found
+        cuts = np.intersect1d(a.ends, b.ends, assume_unique=True)
+        links = a.ids[np.searchsorted(a.ends, cuts)] << PAIR_BITS | b.ids[np.searchsorted(b.ends, cuts)]
+        stops = np.cumsum([len(s.encode("utf-8", "surrogatepass")) + 1 for s in segments])
+        upto = np.searchsorted(cuts, stops) + 1
+        sizes = [np.diff(np.searchsorted(side.ends, stops) + 1, prepend=0).tolist() for side in found]
+        groups = groups_text(a, b, cuts, self.own.names, upto).split("\n")
+        last = upto.tolist()
+        return list(map(Aligned, *sizes, [links[i:j] for i, j in zip([0, *last], last)], groups))
+
+    def learn(self, segments: list[str]) -> dict[str, Aligned | None]:
+        """Alignment of segments not kept so far, kept from now on if short."""
+        out: dict[str, Aligned | None] = {}
+        run: list[str] = []
+        size = 0
+        for k, s in enumerate(segments):
+            plain = bool(s) and not (s[0].isspace() or s[-1].isspace())
+            if not plain:  # at an end of its text; not to be joined
+                out[s] = self.together([s])[0]
+            else:
+                run.append(s)
+                size += len(s)
+            if run and (size > PART or k + 1 == len(segments)):
+                out.update(zip(run, self.together(run)))
+                run, size = [], 0
+        if len(self.kept) + len(out) > KEPT:
+            self.kept.clear()
+        self.kept.update((s, found) for s, found in out.items() if len(s) <= KEPT_CHARS)
+        return out
+
+    def document(self, text: str | None) -> Aligned | None:
+        """The whole text; None without tokens."""
+        if not text:
+            return None
+        segments = self.own.segments(text)
+        known = list(map(self.kept.get, segments, repeat(UNKNOWN)))
+        new = {s: None for s, found in zip(segments, known) if found is UNKNOWN}
+        if new:
+            fresh = self.learn(list(new))
+            known = [fresh[s] if found is UNKNOWN else found for s, found in zip(segments, known)]
+        if None in known:
+            return None
+        n_a, n_b, links, groups = zip(*known)
+        return Aligned(sum(n_a), sum(n_b), np.concatenate(links), ";".join(groups))
+
+
+def pairs_of(spans: list[tuple[int, int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
 
 
 def refined(spans: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -134,8 +196,11 @@ def tokenizers(place_a: str, place_b: str) -> Tokenizers:
     return Tokenizers(place_a, place_b)
 
 
-def groups_text(a: Tokens, b: Tokens, cuts: np.ndarray, names: np.ndarray) -> str:
-    """``a1,a2|b1;a3|b2,b3``: ids of A and B per group. Every token is written with what follows it and dealt to its place."""
+def groups_text(a: Tokens, b: Tokens, cuts: np.ndarray, names: np.ndarray, lines: np.ndarray) -> str:
+    """``a1,a2|b1;a3|b2,b3``: ids of A and B per group, a new line after each number of groups in ``lines``.
+
+    Every token is written with what follows it and dealt to its place.
+    """
     of_a, of_b = np.searchsorted(cuts, a.ends), np.searchsorted(cuts, b.ends)
     a_upto, b_upto = np.cumsum(np.bincount(of_a, minlength=len(cuts))), np.cumsum(np.bincount(of_b, minlength=len(cuts)))
     out = np.empty(2 * (len(a.ids) + len(b.ids)), object)
@@ -144,7 +209,9 @@ def groups_text(a: Tokens, b: Tokens, cuts: np.ndarray, names: np.ndarray) -> st
     out[2 * at_a], out[2 * at_b] = names[a.ids], names[b.ids]
     out[2 * at_a + 1], out[2 * at_b + 1] = ",", ","
     out[2 * (a_upto + np.concatenate(([0], b_upto[:-1]))) - 1] = "|"
-    out[2 * (a_upto + b_upto) - 1] = ";"
+    ends = 2 * (a_upto + b_upto) - 1
+    out[ends] = ";"
+    out[ends[lines - 1]] = "\n"
     return "".join(out[:-1].tolist())
 
 
@@ -161,7 +228,7 @@ def encoded(docs: DataFrame, place_a: str | None = None, place_b: str | None = N
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own = tokenizers(place_a or vocabulary(TOKENIZER_A), place_b or vocabulary(TOKENIZER_B))
+        aligner = Aligner(tokenizers(place_a or vocabulary(TOKENIZER_A), place_b or vocabulary(TOKENIZER_B)))
         base = TaskContext.get().partitionId() << 32
         row = chunk = held = 0
         rows: list[tuple] = []
@@ -185,14 +252,11 @@ def encoded(docs: DataFrame, place_a: str | None = None, place_b: str | None = N
         for batch in batches:
             doc_type = batch.schema.field("doc_id").type
             for doc, text in zip(*columns_of(batch, "doc_id", "text")):
-                found = own.align(text) if text else None
+                found = aligner.document(text)
                 digest, links, sizes = "", np.zeros(0, np.int64), (0, 0, 0, 0)
                 if found:
-                    a, b = found
-                    cuts = np.intersect1d(a.ends, b.ends, assume_unique=True)
-                    links = a.ids[np.searchsorted(a.ends, cuts)] << PAIR_BITS | b.ids[np.searchsorted(b.ends, cuts)]
-                    sizes = len(a.ids), len(b.ids), len(cuts), len(links)
-                    digest = hashlib.sha256(groups_text(a, b, cuts, own.names).encode()).hexdigest()
+                    links, sizes = found.links, (found.n_a, found.n_b, len(found.links), len(found.links))
+                    digest = hashlib.sha256(found.groups.encode()).hexdigest()
                 for lo in range(0, max(1, len(links)), most):
                     part = links[lo : lo + most]
                     rows.append((base + row, doc, *sizes, digest, part))

@@ -188,10 +188,16 @@ def plain_alignment(pair, texts):
             ends.append(where)
         cuts = sorted(set(ends[0]) & set(ends[1]))
         links.append([(ends[0][c], ends[1][c]) for c in cuts])
-        groups, lo = [], 0
+        places = [iter(sorted(where)) for where in ends]
+        groups = []
         for c in cuts:
-            groups.append("|".join(",".join(str(where[e]) for e in sorted(where) if lo < e <= c) for where in ends))
-            lo = c
+            sides = []
+            for where, place in zip(ends, places):
+                own = [next(place)]
+                while own[-1] < c:
+                    own.append(next(place))
+                sides.append(",".join(str(where[e]) for e in own))
+            groups.append("|".join(sides))
         out.append((len(found[0]), len(found[1]), len(cuts), hashlib.sha256(";".join(groups).encode()).hexdigest()))
     count = Counter(x for one in links for x in one)
     best = defaultdict(int)
@@ -200,21 +206,39 @@ def plain_alignment(pair, texts):
     return [(*o, len(one), sum(count[x] == best[x[1]] for x in one), sum(count[x] for x in one)) for o, one in zip(out, links)]
 
 
+def plain_links(pair, text):
+    ends = [dict(zip(np.cumsum([len(x) for _, x in side]).tolist(), (i for i, _ in side))) for side in plain_tokens(pair, text)]
+    return [(ends[0][c], ends[1][c]) for c in sorted(set(ends[0]) & set(ends[1]))]
+
+
 FIELDS = ("n_a", "n_b", "n_groups", "groups_sha256", "n_links", "n_best", "count_sum")
 
 
-def test_spans_equal_decoded_bytes(pair, docs, monkeypatch):
-    texts = [t for t in [*ODD, *docs[1].values()] if t]
-    for size in (1 << 20, 60):
-        monkeypatch.setattr(alignment, "PART", size)
-        for t in texts:
-            want, got = plain_tokens(pair, t), pair.align(t)
-            assert (want is None) == (got is None)
-            for side, tokens in zip(want or (), got or ()):
-                assert tokens.ids.tolist() == [i for i, _ in side] and tokens.ends.tolist() == np.cumsum([len(x) for _, x in side]).tolist()
+def test_spans_equal_decoded_bytes(pair, docs):
+    for t in [t for t in [*ODD, *list(docs[1].values())[:60]] if t]:
+        want, got = plain_tokens(pair, t), pair.align(t)
+        assert (want is None) == (got is None)
+        for side, tokens in zip(want or (), got or ()):
+            assert tokens.ids.tolist() == [i for i, _ in side] and tokens.ends.tolist() == np.cumsum([len(x) for _, x in side]).tolist()
     assert pair.splits and pair.align("▁ marked") is None
 
 
+@pytest.mark.parametrize("part,kept", [(1 << 18, 1 << 17), (20, 50)])
+def test_segments_equal_whole_texts(pair, docs, monkeypatch, part, kept):
+    """What is kept or joined changes nothing, nor do random characters around the cuts."""
+    monkeypatch.setattr(alignment, "PART", part)
+    monkeypatch.setattr(alignment, "KEPT", kept)
+    rnd = random.Random(4)
+    mixed = ["".join(rnd.choices("ab  é😀.'1\n\t\u00a0\u3000\x1c\u0085\u200bs", k=60)) for _ in range(100)]
+    aligner = alignment.Aligner(pair)
+    for t in [*ODD, *mixed, *list(docs[1].values())[:60]]:
+        found = aligner.document(t)
+        (want,) = plain_alignment(pair, [t])
+        got = (found.n_a, found.n_b, len(found.links), hashlib.sha256(found.groups.encode()).hexdigest()) if found else (0, 0, 0, "")
+        assert got == want[:4]
+        assert not found or [(x >> 32, x & 0xFFFFFFFF) for x in found.links.tolist()] == plain_links(pair, t)
+
+
 def test_alignment_query(spark, pair, docs):
     rows = {r.doc_id: tuple(r[f] for f in FIELDS) for r in alignment.op13_token_alignment(spark, SF).collect()}
     assert rows == dict(zip(docs[1], plain_alignment(pair, docs[1].values())))
