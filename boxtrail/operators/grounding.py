@@ -19,6 +19,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from boxtrail.functions import text as T
+from boxtrail.operators.containment import containing
 
 # ---- Fixed values -----------------------------------------------------------
 MIN_SIMILARITY = 0.25
@@ -466,7 +467,10 @@ def find_by_value(targets: DataFrame, paragraphs: DataFrame) -> DataFrame:
     sized = paragraphs.where((width() >= MIN_LEGACY_WIDTH) & (height() >= MIN_PICK_HEIGHT)).withColumnRenamed(
         "text", "para"
     )
-    holds = targets.join(sized, "page_id").where(T.contains_ci(F.col("value"), F.col("para")))
+    asked = targets.withColumn("needle", F.lower("value"))
+    held = containing(asked, sized.select("page_id", F.col("para_ord").alias("text_id"), F.lower("para").alias("text")))
+    places = held.withColumnRenamed("text_id", "para_ord")
+    holds = asked.join(places, ["page_id", "needle"]).join(sized, ["page_id", "para_ord"])
     tokens = holds.withColumns({"_a": T.word_tokens(F.col("text")), "_b": T.word_tokens(F.col("para"))})
     common = T.multiset_overlap(F.col("_a"), T.spaced_tokens(F.col("_a")), T.spaced_tokens(F.col("_b")))
     scored = tokens.withColumn("common", common).withColumn(

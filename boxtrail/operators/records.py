@@ -17,15 +17,15 @@ OVERLAY_COLOURS = 8
 
 
 def sub_queries(evidences: DataFrame) -> DataFrame:
-    """(sample_id, entity, sub_query) from triples; a repeated entity keeps its last triple."""
+    """(sample_id, entity, sub_query) from triples; a repeated entity keeps its last well-formed triple."""
     asked = T.relation_question(F.col("relation"), F.col("entity"))
-    return evidences.groupBy("sample_id", "entity").agg(F.max_by(asked, "pos").alias("sub_query"))
+    return evidences.where("entity IS NOT NULL AND relation IS NOT NULL").groupBy("sample_id", "entity").agg(F.max_by(asked, "pos").alias("sub_query"))
 
 
 def _with_sub_queries(samples: DataFrame) -> DataFrame:
     """Chain with blank sub-queries filled from the sample's own triples, inside the row."""
     def filled(e: Column) -> Column:
-        triple = F.try_element_at(F.filter("evidences", lambda t: t["entity"] == e["entity"]), F.lit(-1))
+        triple = F.try_element_at(F.filter("evidences", lambda t: (t["entity"] == e["entity"]) & t["relation"].isNotNull()), F.lit(-1))
         stored = T.strip_ws(F.coalesce(e["sub_query"], F.lit("")))
         asked = T.relation_question(triple["relation"], triple["entity"])
         return e.withField("sub_query", F.when(stored != "", stored).otherwise(F.coalesce(asked, F.lit(""))))

@@ -163,7 +163,7 @@ def image_id_resolve(t):
 
 
 @query("sub_query_lookup", with_ctes("triple", """SELECT sample_id, 'G' || ((sample_id + hop_pos) % 2) AS entity, arg_max('What is the ' || trim(replace(relation, '_', ' ')) || ' of G' || ((sample_id + hop_pos) % 2) || '?', hop_pos) AS sub_query
-    FROM triple GROUP BY 1, 2"""))
+    FROM triple WHERE relation IS NOT NULL GROUP BY 1, 2"""))
 def sub_query_lookup(t):
     triples = t.hop_samples.select("sample_id", F.posexplode("evidences").alias("pos", "e")).selectExpr(
         "sample_id", "pos", "concat('G', (sample_id + pos) % 2) AS entity", "e.relation AS relation"
@@ -185,7 +185,7 @@ RECORD = f""", img AS (SELECT doc_id AS doc, (700 + doc_id % 2000)::DOUBLE AS w,
     src AS (SELECT c.*, i.w, i.h FROM chain_entry c LEFT JOIN img i ON i.doc = c.doc),
     fit AS (SELECT *, 28 * chain_pos AS y1, 28 * chain_pos + 60 AS y2 FROM ({PLAN.format(src='SELECT * FROM src WHERE w IS NOT NULL')})),
     box AS (SELECT sample_id, chain_pos, entity, screenshot, sub_query, least(pw, trunc(40 * (pw / w)))::INT AS b1, least(ph, trunc(y1 * (ph / h)))::INT AS b2, least(pw, trunc(700 * (pw / w)))::INT AS b3, least(ph, trunc(y2 * (ph / h)))::INT AS b4 FROM fit),
-    ask AS (SELECT b.*, coalesce(nullif(trim(coalesce(b.sub_query, '')), ''), (SELECT arg_max('What is the ' || replace(t.relation, '_', ' ') || ' of ' || t.entity || '?', t.hop_pos) FROM triple t WHERE t.sample_id = b.sample_id AND t.entity = b.entity), '') AS q FROM box b)"""
+    ask AS (SELECT b.*, coalesce(nullif(trim(coalesce(b.sub_query, '')), ''), (SELECT arg_max('What is the ' || replace(t.relation, '_', ' ') || ' of ' || t.entity || '?', t.hop_pos) FROM triple t WHERE t.sample_id = b.sample_id AND t.entity = b.entity AND t.relation IS NOT NULL), '') AS q FROM box b)"""
 
 
 def _record_images(t):
@@ -194,11 +194,16 @@ def _record_images(t):
     )
 
 
+def _with_malformed_triples(samples):
+    """Every triple once more behind the others, without its relation."""
+    return samples.withColumn("evidences", F.concat("evidences", F.transform("evidences", lambda e: e.withField("relation", F.lit(None).cast("string")))))
+
+
 @query("target_json", with_ctes(["chain_entry", "triple"], RECORD + """ SELECT a.sample_id, '{"evidence_chain": [' || string_agg('{"hop": ' || (chain_pos + 1) || ', "image_id": "img_' || chain_pos || '", "bboxes": [[' || b1 || ', ' || b2 || ', ' || b3 || ', ' || b4 || ']], "sub_query": "' || q || '"}', ', ' ORDER BY chain_pos)
     || '], "answer": "' || any_value(o_orderpriority) || '"}' AS target_text FROM ask a JOIN orders o ON o.o_orderkey = a.sample_id GROUP BY a.sample_id HAVING count(*) = 1 + a.sample_id % 3"""))
 def target_json(t):
-    """Multi-hop records in strict mode: samples with a missing image are left out."""
-    made = RO.build_training_records(t.hop_samples, _record_images(t), split="val", image_dir="shots")
+    """Multi-hop records in strict mode: samples with a missing image are left out. Malformed triples at the end change nothing."""
+    made = RO.build_training_records(_with_malformed_triples(t.hop_samples), _record_images(t), split="val", image_dir="shots")
     return made.select("sample_id", "target_text")
 
 

@@ -362,18 +362,17 @@ def _rebuilt(t):
 
 @query("stream_summary", with_ctes("lenient", SCORED + f" SELECT {SUMMARY_SQL} FROM sc"))
 def stream_summary(t):
-    """Predictions written as files, scored by a stream, summarized by a second one.
+    """Predictions written as files, scored by a stream whose batches leave sums per shard; the sums are then merged.
 
-    Half of the rows arrive twice; the result equals the batch summary. The state that drops repeats is bounded by the
-    time at which files arrive.
+    Half of the rows arrive twice, the second time after the first half has been scored. The result equals the batch
+    summary.
     """
     spark = t.spark
-    inbox, scored, summary = (new_shared_path(spark, n) for n in ("inbox", "scored", "summary"))
+    inbox, scored, parts = (new_shared_path(spark, n) for n in ("inbox", "scored", "parts"))
     rows = t.predictions
-    rows.unionByName(rows.where("idx % 2 = 0")).write.parquet(inbox)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(inbox)
-    arrived = stream.withColumn("arrived", F.col("_metadata.file_modification_time"))
-    scorer.score_stream(arrived, scored, scored + ".checkpoint", event_time="arrived").awaitTermination()
-    done = spark.readStream.schema(spark.read.parquet(scored).schema).parquet(scored)
-    scorer.summary_stream(done, summary, summary + ".checkpoint").awaitTermination()
-    return _rounded(spark.read.parquet(summary), S.BASE_METRICS + S.IMAGE_METRICS)
+    for arriving in (rows.where("idx % 2 = 0"), rows):
+        arriving.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(inbox)
+        scorer.score_stream(stream, scored, scored + ".checkpoint").awaitTermination()
+        scorer.refresh_parts(spark, scored, parts)
+    return _rounded(scorer.merged_summary(spark, parts), S.BASE_METRICS + S.IMAGE_METRICS)

@@ -1,15 +1,19 @@
 """Operators on small fixtures, against brute force where they take a shortcut."""
 
+import glob
 import json
+import os
 import random
 import struct
+import time
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from boxtrail.functions import parsing as J
-from boxtrail.operators import assemble as A, evaluation as E, grounding as G, logs as L, records as RO, sampling as S
+from boxtrail.operators import assemble as A, containment, evaluation as E, grounding as G, logs as L, records as RO, sampling as S
 from boxtrail.sources import readers, writers
 from boxtrail.streaming import scorer
 from tests.test_functions import reference_similarity
@@ -155,8 +159,7 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     rows = [(i, "yes", [("img_0", [[0, 0, 9, 9]])], json.dumps({"answer": "yes" if i % 2 else "no", "evidence_chain": [{"image_id": "img_0", "bboxes": [[0, 0, 9, 9]]}]})) for i in range(10)]
     inbox, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
     spark.createDataFrame(rows[:6], schema).write.mode("append").parquet(inbox)
-    arrived = lambda: spark.readStream.schema(schema).parquet(inbox).withColumn("arrived", F.col("_metadata.file_modification_time"))
-    run = lambda: scorer.score_stream(arrived(), out, ckpt, event_time="arrived").awaitTermination()
+    run = lambda: scorer.score_stream(spark.readStream.schema(schema).parquet(inbox), out, ckpt).awaitTermination()
     run()
     spark.createDataFrame(rows[4:], schema).write.mode("append").parquet(inbox)
     run()
@@ -165,6 +168,71 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     scorer.summary_stream(stream, str(tmp_path / "sum"), str(tmp_path / "ckpt2")).awaitTermination()
     batch, live = scorer.final_summary(spark, out).first().asDict(), spark.read.parquet(str(tmp_path / "sum")).first().asDict()
     assert live == pytest.approx(batch) and batch["answer_em"] == 0.5
+    parts = str(tmp_path / "parts")
+    assert scorer.refresh_parts(spark, out, parts, 4) == 2 and scorer.refresh_parts(spark, out, parts, 4) == 0
+    assert scorer.merged_summary(spark, parts).first().asDict() == pytest.approx(batch)
+    spark.createDataFrame([(20, *rows[0][1:])], schema).write.mode("append").parquet(inbox)
+    run()
+    assert scorer.refresh_parts(spark, out, parts, 4) == 1  # only the new batch is read
+    assert scorer.merged_summary(spark, parts).first().asDict() == pytest.approx(scorer.final_summary(spark, out).first().asDict())
+    by_shard = {r["shard"]: r["n_scored"] for r in scorer.merged_summary(spark, parts, "shard").collect()}
+    assert by_shard == {0: 4, 1: 3, 2: 2, 3: 2}
+
+
+def test_stream_takes_files_of_any_age_and_repeats_nothing(spark, tmp_path):
+    hop = "array<struct<image_id:string,bboxes:array<array<int>>>>"
+    schema = f"idx long, answer string, evidence_chain {hop}, pred_text string"
+    row = lambda i: (i, "yes", [("img_0", [[0, 0, 9, 9]])], json.dumps({"answer": "yes"}))
+    inbox, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    count = lambda: sorted(r["idx"] for r in spark.read.parquet(out).select("idx").collect())
+
+    def run(ids, age, where=ckpt):
+        before = set(glob.glob(f"{inbox}/*.parquet"))
+        spark.createDataFrame([row(i) for i in ids], schema).coalesce(1).write.mode("append").parquet(inbox)
+        for f in set(glob.glob(f"{inbox}/*.parquet")) - before:
+            os.utime(f, (time.time() + age,) * 2)
+        scorer.score_stream(spark.readStream.schema(schema).parquet(inbox), out, where).awaitTermination()
+
+    run([0, 1, 2, 2, None], 0)
+    run([3, 4], -2 * 3600)
+    run([0, 5, 6], 2 * 3600)
+    run([1, 3, 7, 8], 0)
+    assert count() == list(range(9))
+    # A batch killed after its rows were written, and one killed before.
+    forget = lambda number: [os.remove(f"{ckpt}/commits/{f}") for f in (str(number), f".{number}.crc")]
+    forget(3)
+    run([9], 0)
+    assert count() == list(range(10))
+    last = max(int(f) for f in os.listdir(f"{ckpt}/commits") if f.isdigit())
+    (folder,) = glob.glob(f"{out}/query=*/batch={last}")
+    forget(last)
+    os.remove(f"{folder}/_SUCCESS")
+    run([2, 10], -9 * 3600)
+    assert count() == list(range(11))
+    # A lost checkpoint: all files come again.
+    run([11], 0, str(tmp_path / "ckpt2"))
+    assert count() == list(range(12))
+
+
+def test_containing_equals_searching_everything(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abé😀 .\n", k=rnd.randrange(0, 6)))
+    texts = [(p, i, " ".join(word() for _ in range(rnd.randrange(0, 25)))) for p in range(4) for i in range(40)]
+    needles = {(p, t[a : a + n]) for p, _, t in texts for n in (0, 1, 2, 3, 7, 8, 9, 30) for a in [rnd.randrange(0, len(t) + 1)]}
+    needles |= {(p, word() + word()) for p in range(5) for _ in range(60)} | {(1, "aaaaaaaaaa"), (9, "a"), (1, "abababab")}
+    texts += [(1, 100, "ab" * 200), (1, 101, ""), (1, 102, None), (2, 103, "ab" * 200)]
+    got = containment.containing(
+        spark.createDataFrame([*needles, (1, None), (1, "a")], "page_id int, needle string"),
+        spark.createDataFrame(texts, "page_id int, text_id int, text string"),
+    ).collect()
+    want = Counter((p, n, i) for p, n in needles for q, i, t in texts if p == q and t is not None and n in t)
+    assert Counter(map(tuple, got)) == want and sum(want.values()) > 1000
+
+
+def test_last_well_formed_triple_asks(spark):
+    rows = [(1, "E", 0, "director"), (1, "E", 1, None), (1, "F", 2, None), (1, None, 3, "x"), (2, "E", 0, "a_b"), (2, "E", 1, "c")]
+    got = RO.sub_queries(spark.createDataFrame(rows, "sample_id int, entity string, pos int, relation string")).collect()
+    assert {(r.sample_id, r.entity): r.sub_query for r in got} == {(1, "E"): "What is the director of E?", (2, "E"): "What is the c of E?"}
 
 
 def test_bad_image_numbers_are_reported(spark):
