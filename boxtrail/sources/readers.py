@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as Ty
 
 from boxtrail import schemas as S
+from boxtrail.sources import headers
 from boxtrail.functions.geometry import MIN_SCREENSHOT_SIDE
 
 # ---- Fixed values -----------------------------------------------------------
@@ -121,13 +122,14 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def image_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, width, height) of PNG images from their header; unreadable ones have null sizes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    named = _relative(files.select("path", "content"), folder).where(F.col("path").rlike(IMAGE_NAME))
-    head = F.hex(F.substring("content", 1, 24))
-    is_png = F.startswith(head, F.lit("89504E470D0A1A0A")) & (F.length(head) == 48)
-    part = lambda start: F.when(is_png, F.conv(F.substring(head, start, 8), 16, 10).cast("int"))
-    return named.select("path", part(33).alias("width"), part(41).alias("height"))
+    """(path, width, height) of PNG, JPEG and WebP images; unreadable ones have null sizes, empty files no row.
+
+    The listing is dealt over tasks, and a task reads the leading bytes of each file that its size stands in, never the
+    whole file (``headers.size_of``).
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    named = files.where(F.col("path").rlike(IMAGE_NAME))
+    return _relative(named.mapInArrow(headers.sizes, "path string, width int, height int"), folder)
 
 
 def _relative(files: DataFrame, folder: str) -> DataFrame:

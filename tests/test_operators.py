@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from boxtrail.functions import parsing as J
 from boxtrail.operators import assemble as A, containment, evaluation as E, grounding as G, logs as L, records as RO, sampling as S
-from boxtrail.sources import readers, writers
+from boxtrail.sources import headers, readers, writers
 from boxtrail.streaming import scorer
 from tests.test_functions import reference_similarity
 
@@ -150,7 +150,49 @@ def test_results_resume_and_merge(spark, tmp_path):
     todo = spark.range(4).withColumnRenamed("id", "idx")
     assert sorted(r["idx"] for r in E.remaining(todo, rows).collect()) == [2, 3]
     writers.merge_shards(spark, str(folder), str(tmp_path / "all"), "idx long, answer_em int")
-    assert spark.read.json(str(tmp_path / "all")).count() == 3
+    files = sorted(glob.glob(str(tmp_path / "all" / "*.json")))
+    assert [json.loads(line)["idx"] for f in files for line in open(f)] == [0, 0, 1]
+
+
+def test_image_headers(spark, tmp_path):
+    """Sizes of three formats; only the bytes that hold them are read."""
+    be, segment = (lambda n: struct.pack(">H", n)), lambda m, body: bytes([0xFF, m]) + struct.pack(">H", len(body) + 2) + body
+    frame = lambda m: segment(m, b"\x08" + be(480) + be(640) + b"\x03" + bytes(9))
+    chunk = lambda kind, body: b"RIFF" + struct.pack("<I", 4 + 8 + len(body)) + b"WEBP" + kind + struct.pack("<I", len(body)) + body
+    tail = bytes(200_000)
+    made = {
+        "base.jpg": b"\xff\xd8" + segment(0xE0, b"JFIF\0" + bytes(9)) + segment(0xDB, bytes(65)) + frame(0xC0) + tail,
+        "late.jpeg": b"\xff\xd8" + segment(0xE1, b"\xff\xc0" * 30_000) + segment(0xC4, bytes(28)) + b"\xff\xff" + frame(0xC2) + tail,
+        "scan.jpg": b"\xff\xd8" + segment(0xDA, bytes(10)) + frame(0xC0),
+        "cut.jpg": (b"\xff\xd8" + segment(0xE0, bytes(9)) + frame(0xC0))[:20],
+        "x.webp": chunk(b"VP8X", bytes(4) + (639).to_bytes(3, "little") + (479).to_bytes(3, "little")) + tail,
+        "lossy.webp": chunk(b"VP8 ", bytes(3) + b"\x9d\x01\x2a" + struct.pack("<HH", 640 | 1 << 14, 480) + bytes(9)),
+        "lossless.webp": chunk(b"VP8L", b"\x2f" + (639 | 479 << 14).to_bytes(4, "little") + bytes(9)),
+        "empty.png": b"", "other.png": b"GIF89a" + bytes(40),
+    }
+    for name, raw in made.items():
+        (tmp_path / name).write_bytes(raw)
+        asked = []
+        headers.size_of(lambda at, n: asked.append(n) or raw[at : at + n])
+        assert sum(asked) < 200
+    got = {r.path: (r.width, r.height) for r in readers.image_sizes(spark, str(tmp_path)).collect()}
+    broken = {"scan.jpg", "cut.jpg", "empty.png", "other.png"}
+    assert got == {name: (None, None) if name in broken else (640, 480) for name in made if made[name]}
+
+
+def test_ordered_write_and_manifest(spark, tmp_path):
+    out, index = str(tmp_path / "out"), str(tmp_path / "index")
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("idx"), F.lit("x").alias("v"))
+    rows = rows.unionByName(rows.sparkSession.range(3000).select(F.lit(77).cast("long").alias("idx"), F.col("id").cast("string").alias("v"))).repartition(5)
+    writers.write_ordered(rows, out, "idx", files=6)
+    parts = [spark.read.parquet(f).select("idx").toPandas()["idx"].tolist() for f in sorted(glob.glob(out + "/*.parquet"))]
+    whole = [i for part in parts for i in part]
+    assert whole == sorted([*range(5000), *[77] * 3000]) and len(parts) == 6 and max(map(len, parts)) < 3000
+    writers.write_manifest(spark, out, "idx", index)
+    assert sorted((r.low, r.high, r.n_rows) for r in spark.read.parquet(index).collect()) == sorted((p[0], p[-1], len(p)) for p in parts)
+    some = writers.read_between(spark, out, index, "idx", 4990, 6000)
+    assert sorted(r.idx for r in some.collect()) == list(range(4990, 5000)) and len(some.inputFiles()) == 1
+    assert writers.read_between(spark, out, index, "idx", 9000, 9999).count() == 0
 
 
 def test_stream_equals_batch_and_resumes(spark, tmp_path):
