@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from boxtrail.runtime import materialize
+from boxtrail.runtime import materialize, new_shared_path
 
 VIRTUAL_SLOTS = 4096
 ROW_BYTES = 8
 COPIES_A_ROW = 1024
+MAP = "version int, virtual_slot int, shard int, bytes long, n_rows long"
 
 
 def records(docs: DataFrame, n_slots: int = VIRTUAL_SLOTS) -> DataFrame:
@@ -103,7 +104,7 @@ def store_map(slot_map: DataFrame, path: str) -> None:
 
 def read_map(spark, path: str, version: int | None = None) -> DataFrame:
     """One stored version, by default the newest."""
-    maps = spark.read.parquet(path)
+    maps = spark.read.schema(MAP).parquet(path)
     if version is not None:
         return maps.where(F.col("version") == version)
     return maps.join(F.broadcast(maps.agg(F.max("version").alias("version"))), "version")
@@ -121,17 +122,31 @@ def place(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     return rows.withColumn("inside", inside).join(F.broadcast(base), "virtual_slot").withColumn("slot", F.col("before") + F.col("inside")).drop("before", "inside")
 
 
+def has_map(spark, path: str) -> bool:
+    """Whether a map was stored at ``path``, asked of the store that Spark writes to."""
+    marker = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
 def shard_documents(docs: DataFrame, n_shards: int = 24, n_slots: int = VIRTUAL_SLOTS, map_path: str | None = None) -> DataFrame:
-    """Places every row; texts are read once, only sizes and checksums are kept. ``map_path`` stores the map."""
+    """Places every row by the newest map at ``map_path``; texts are read once, only sizes and checksums are kept.
+
+    Without a map there, or without a path, the first version is made and stored. A stored one is edited for the rows as they are now and
+    stored as the next version; rows of slots that stay where they were do not move.
+    """
+    spark = docs.sparkSession
+    map_path = map_path or new_shared_path(spark, "slot_map")
     rows = materialize(records(docs, n_slots), "shard_records")
-    slot_map = new_map(slot_stats(rows), n_shards)
-    if map_path:
-        store_map(slot_map, map_path)
-        slot_map = read_map(docs.sparkSession, map_path)
-    return place(rows, slot_map)
+    stats = materialize(slot_stats(rows), "shard_stats")
+    store_map(rebalance(read_map(spark, map_path), stats, n_shards) if has_map(spark, map_path) else new_map(stats, n_shards), map_path)
+    return place(rows, read_map(spark, map_path))
 
 
 def op8_virtual_slots(spark, sf_dir: str) -> DataFrame:
-    """All documents in shards 0 to 23 of nearly equal bytes."""
-    placed = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    """All documents in shards 0 to 23 of nearly equal bytes, by the first version of a stored map.
+
+    Rows are spread for equal bytes, so equal texts under different doc_ids are not kept together.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    placed = shard_documents(docs)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
