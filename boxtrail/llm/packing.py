@@ -27,6 +27,8 @@ from boxtrail.runtime import materialize
 CAPACITY = 2048
 END_ID = 1
 RANK_BUCKETS = 1024
+COPIES_A_ROW = 1024
+PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 PIECES = "doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -77,16 +79,29 @@ def shortest_pack_first(hist: dict[int, int], capacity: int = CAPACITY) -> list[
     return out
 
 
+def numbered(cut: DataFrame) -> DataFrame:
+    """The pieces with ``ordinal``, 0 for one of each kind and counting on for equal ones.
+
+    Equal pieces are counted, not moved, and written out ``COPIES_A_ROW`` at a time, so no task makes or sorts all
+    copies of a piece.
+    """
+    counted = cut.groupBy(*PIECE).agg(F.count(F.lit(1)).alias("n"))
+    step = F.lit(COPIES_A_ROW).cast("long")
+    parts = counted.select(*PIECE, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step)).alias("first"))
+    return parts.select(*PIECE, F.explode(F.sequence("first", F.least(F.col("first") + step, "n") - 1)).alias("ordinal"))
+
+
 def ranked(cut: DataFrame, buckets: int = RANK_BUCKETS) -> DataFrame:
     """``length_rank``: a piece's place among all pieces of its length, gapless from 0.
 
-    A length is counted in ``buckets`` hash buckets, so a length that many pieces share is no single task.
+    A length is counted in ``buckets`` hash buckets, and equal pieces are dealt out by their ordinal, so neither a length
+    nor a piece that many rows share is a single task.
     """
-    rows = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+    rows = numbered(cut).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "ordinal"), F.lit(buckets)).cast("int"))
     sizes = rows.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("length", "bucket", (F.sum("n").over(W.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    inside = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")) - 1
-    return rows.withColumn("inside", inside).join(before, ["length", "bucket"]).withColumn("length_rank", F.col("before") + F.col("inside")).drop("bucket", "inside", "before")
+    inside = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "ordinal")) - 1
+    return rows.withColumn("inside", inside).join(before, ["length", "bucket"]).withColumn("length_rank", F.col("before") + F.col("inside")).drop("bucket", "inside", "before", "ordinal")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocab: str | None = None) -> DataFrame:
