@@ -30,6 +30,7 @@ CALIBRATION_PART = 5  # one document of so many in the sample is set aside
 FOLDS = 5
 UNKNOWN = "und"
 CHUNK = 1 << 19
+CALIBRATED_CHARS = 200  # a score is as sure as that many characters can make it
 REJECT_QUANTILE = 0.999
 REJECT_SLACK = 0.5  # bits a character beyond that quantile
 SHORT_SLACK = 40.0  # further bits, spread over the characters of the text
@@ -159,7 +160,7 @@ class Model:
         for lo, hi in slices([texts[i] for i in some], CHUNK):
             bits, n = self.cross_entropies([texts[i] for i in some[lo:hi]])
             best = bits.argmin(axis=1)
-            gap = (bits.min(axis=1)[:, None] - bits) * np.minimum(n, 200)[:, None] * np.log(2) / self.temperature
+            gap = (bits.min(axis=1)[:, None] - bits) * np.minimum(n, CALIBRATED_CHARS)[:, None] * np.log(2) / self.temperature
             score = 1 / np.exp(gap).sum(axis=1)
             low = bits.min(axis=1)
             far = low > self.limits[best] + SHORT_SLACK / np.maximum(n, 1)
@@ -274,24 +275,35 @@ def train(langs: list[str], tables: list[tuple[np.ndarray, np.ndarray]]) -> Mode
     return model
 
 
+def measured(model: Model, langs: list[str], texts: list[str]) -> list[tuple[int, int, list[float]]]:
+    """(number of the language, length, bits by language) of each text that has any length."""
+    out: list[tuple] = []
+    for lo, hi in slices(texts, CHUNK):
+        b, n = model.cross_entropies([t or "" for t in texts[lo:hi]])
+        out += ((model.langs.index(lang), int(m), row.tolist()) for lang, m, row in zip(langs[lo:hi], n, b) if m > 0)
+    return out
+
+
 def calibrate(model: Model, rows: list[tuple[str, str]]) -> Model:
-    """Sets temperature and rejection limits on rows that were not trained on."""
-    rows = [(lang, text) for lang, text in rows if text]
-    truth, bits, size = [], [], []
-    for lo, hi in slices([t for _, t in rows], CHUNK):
-        b, n = model.cross_entropies([t for _, t in rows[lo:hi]])
-        bits.append(b[n > 0])
-        size.append(n[n > 0])
-        truth += [model.langs.index(lang) for (lang, _), m in zip(rows[lo:hi], n) if m > 0]
+    """``fitted`` on (lang, text) rows at hand."""
+    return fitted(model, measured(model, *map(list, zip(*rows))) if rows else [])
+
+
+def fitted(model: Model, rows: list[tuple[int, int, list[float]]]) -> Model:
+    """Sets temperature and rejection limits from measured texts that were not trained on.
+
+    The temperature is fitted as if no text had more than ``CALIBRATED_CHARS`` characters: beyond, all are certain.
+    """
+    truth = [k for k, _, _ in rows]
     model.limits = np.full(len(model.langs), np.inf)
     if not truth:
         return model
-    b, n, y = np.concatenate(bits), np.concatenate(size), np.array(truth)
+    b, n, y = np.array([r[2] for r in rows]), np.array([r[1] for r in rows]), np.array(truth)
     own = b[np.arange(len(y)), y]
     for k in range(len(model.langs)):
         if (y == k).any():
             model.limits[k] = np.quantile(own[y == k], REJECT_QUANTILE) + REJECT_SLACK
-    scale = np.minimum(n, 200)[:, None] * np.log(2)
+    scale = np.minimum(n, CALIBRATED_CHARS)[:, None] * np.log(2)
 
     def loss(t: float) -> float:
         z = (own[:, None] - b) * scale / t
@@ -315,8 +327,18 @@ def fit(docs: DataFrame, order: int = ORDER, per_lang: int = PER_LANG) -> Model:
     for lang in langs:
         own = counts[counts["lang"] == lang]
         tables.append((own[names].to_numpy(np.uint32), own["n"].to_numpy(np.int64)))
-    aside = [(r["lang"], r["text"]) for r in rows.where("calibrate").toLocalIterator() if r["lang"] in langs]
-    return calibrate(train(langs, tables), aside)
+    model = train(langs, tables)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches):
+        for b in batches:
+            own, texts = columns_of(b, "lang", "text")
+            known = [i for i, lang in enumerate(own) if lang in langs]
+            cols = list(zip(*measured(shared.value, [own[i] for i in known], [texts[i] for i in known]))) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.float64()))], names=["k", "n", "bits"])
+
+    aside = rows.where("calibrate").select("lang", "text").mapInArrow(measure, "k int, n long, bits array<double>")
+    return fitted(model, [(r["k"], r["n"], r["bits"]) for r in aside.toLocalIterator()])  # numbers of the sample's texts
 
 
 def predict(docs: DataFrame, model: Model, *carry: str) -> DataFrame:
@@ -348,8 +370,8 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
-    """Language of every document, learned from four of five folds."""
+    """Language of every document, learned from four of five folds; a null doc_id is in no fold and not learned from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     found = predict(docs, fit(docs), "doc_id")
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == 0
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == 0, F.lit(False))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected", "bits")
