@@ -10,14 +10,14 @@ gives an empty result. Other columns of the input are ignored. Positions are cod
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from boxtrail.llm import spans
-from boxtrail.runtime import new_shared_path
-
-RULES_VERSION = 1
+from boxtrail.runtime import materialize, new_shared_path
 
 # The scanned forms.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,6 +29,8 @@ PRIVATE_KEY = r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
 
 BASE = ("assign", "access", "hex")
 ORDER = (*BASE, "host_token", "private_key")
+#: Named by what is searched: an edited pattern is a new version, whose entries no blob has yet.
+RULES_VERSION = zlib.crc32("\n".join((ASSIGN, str(ASSIGN_VALUE), ACCESS, HEX, HOST_TOKEN, PRIVATE_KEY, *ORDER)).encode()) & 0x7FFFFFFF
 LEDGER = "blob string, rules int, spans array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -91,10 +93,15 @@ def update_ledger(docs: DataFrame, path: str, rules: int = RULES_VERSION) -> Dat
     return spark.read.schema(LEDGER).parquet(path)
 
 
+def entries(ledger: DataFrame, rules: int = RULES_VERSION) -> DataFrame:
+    """blob, spans under the rules, each blob once: scans that ran at the same time may both have listed it."""
+    return ledger.where(F.col("rules") == rules).groupBy("blob").agg(F.first("spans").alias("spans"))
+
+
 def findings(docs: DataFrame, ledger: DataFrame, rules: int = RULES_VERSION, *carry: str) -> DataFrame:
     """doc_id, blob, spans: one row per path. A blob with very many paths is split by the skew join."""
     paths = docs.select("doc_id", *carry, blob_of().alias("blob"))
-    return paths.join(ledger.where(F.col("rules") == rules).select("blob", "spans"), "blob", "left")
+    return paths.join(entries(ledger, rules), "blob", "left")
 
 
 def redact(text: Column, found: Column, mask: str = "[secret]") -> Column:
@@ -117,7 +124,8 @@ def redact(text: Column, found: Column, mask: str = "[secret]") -> Column:
 def without_secrets(docs: DataFrame, ledger_path: str) -> DataFrame:
     """All rows, with every secret in the text masked; ``n_chars``, where there is such a column, follows the text."""
     ledger = update_ledger(docs.select("doc_id", "text"), ledger_path)
-    found = ledger.where((F.col("rules") == RULES_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
+    # Of known size: a few findings go to the texts, many meet them by key.
+    found = materialize(entries(ledger.where(F.size("spans") > 0)), "secret_findings")
     whole = docs.select(F.struct("*").alias("row"), blob_of().alias("key")).join(found, F.col("key") == F.col("blob"), "left")
     text = F.when(F.col("spans").isNotNull(), redact(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text"))
     masked = whole.select("row", "spans", text.alias("masked"))
