@@ -10,8 +10,9 @@ Words are runs of letters and digits, in lower case. An item is found in a docum
 one of them has ``PASSAGE`` equal words, however long the item is. ``PASSAGE`` is above ``SPAN``: so many words in a row
 fill every mask, so a verbatim passage always has a seed.
 
-Null and empty texts have no words and match nothing; items of up to ``MIN_MATCHED`` words are found only as a whole and
-only from ``MIN_ITEM`` words on. Repeated rows of a document give one result; equal doc_ids with different
+Null and empty texts have no words and match nothing; items of up to ``MIN_MATCHED`` words are found only as a whole, a
+single word too where ``least`` asks for it. By default, and where documents are cleaned by them, items have ``TELLING``
+words or more, as fewer words occur anywhere and say nothing about a source. Repeated rows of a document give one result; equal doc_ids with different
 texts are searched one by one. An empty corpus or benchmark gives an empty result. Other columns are ignored.
 """
 
@@ -33,12 +34,13 @@ MASKS = ("110110110111", "111011011011", "110011101111", "101111001111", "111100
 LIGHT = ("11111", "110111", "1101011", "11001011")
 LIGHT_BELOW = 30
 SPAN = len(MASKS[0])
-MIN_ITEM = 5
+TELLING = 5
 MIN_MATCHED = 8
 IDENTITY = 0.8
 COVERED = 0.5
 PASSAGE = 13
-FILTER_BITS = 26
+FILTER_BITS = (20, 30)  # least and most; the largest filter has 128 MB
+BITS_A_SEED = 16
 PROBES = 4
 CHUNK = 1 << 21
 
@@ -69,8 +71,8 @@ def _probes(h: np.ndarray, bits: int) -> Iterator[np.ndarray]:
         yield (h + np.uint64(k) * step) & np.uint64((1 << bits) - 1)
 
 
-def benchmark_seeds(benchmark: DataFrame, item: str = "item_id") -> tuple[DataFrame, DataFrame]:
-    """(item, words) and (item, pos, seed) of the benchmark, both written once."""
+def benchmark_seeds(benchmark: DataFrame, item: str = "item_id", least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(item, words) and (item, pos, seed) of items of ``least`` words or more, both written once."""
     kind = benchmark.schema[item].dataType.simpleString()
 
     def words(batches):
@@ -78,7 +80,7 @@ def benchmark_seeds(benchmark: DataFrame, item: str = "item_id") -> tuple[DataFr
             ids, texts = columns_of(b, "item_id", "text")
             h, sizes = word_hashes(texts)
             parts = np.split(h.view(np.int64), np.cumsum(sizes)[:-1]) if len(texts) else []
-            keep = [i for i, n in enumerate(sizes) if n >= MIN_ITEM]
+            keep = [i for i, n in enumerate(sizes) if n >= max(1, least)]
             yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], b.schema.field("item_id").type), pa.array([parts[i] for i in keep], pa.list_(pa.int64()))], names=["item_id", "words"])
 
     items = materialize(benchmark.select(F.col(item).alias("item_id"), "text").distinct().mapInArrow(words, f"item_id {kind}, words array<long>"), "benchmark_words")
@@ -97,8 +99,13 @@ def benchmark_seeds(benchmark: DataFrame, item: str = "item_id") -> tuple[DataFr
     return items, materialize(items.mapInArrow(seeds, f"item_id {kind}, pos int, seed long"), "benchmark_seeds")
 
 
-def bloom_filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bits of the benchmark's windows, eight to a byte: 2**bits / 8 bytes however large the benchmark is.
+def filter_bits(n_seeds: int) -> int:
+    """Size of the filter as a power of two: ``BITS_A_SEED`` for each seed, within ``FILTER_BITS``."""
+    return min(max(FILTER_BITS[0], (BITS_A_SEED * max(1, n_seeds) - 1).bit_length()), FILTER_BITS[1])
+
+
+def bloom_filter(seeds: DataFrame, bits: int) -> np.ndarray:
+    """Bits of the benchmark's windows, eight to a byte: 2**bits / 8 bytes.
 
     A fuller filter lets more documents through to the join; it never hides a hit.
     """
@@ -116,13 +123,14 @@ def bloom_filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return table.view(np.uint8)
 
 
-def suspects(docs: DataFrame, table: np.ndarray, short: list[int], bits: int = FILTER_BITS) -> DataFrame:
+def suspects(docs: DataFrame, table: np.ndarray, short: list[int]) -> DataFrame:
     """doc_id, text_key, words, seeds, places: documents with a window that passes the filter."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(table)
+    bits = (8 * len(table)).bit_length() - 1
 
     def search(batches):
-        seen, masks = shared.value, masks_for(short)
+        seen, masks, light = shared.value, masks_for(short), masks_for([LIGHT_BELOW - 1])
         for b in batches:
             ids, keys, texts = columns_of(b, "doc_id", "text_key", "text")
             out: list[tuple] = []
@@ -138,6 +146,9 @@ def suspects(docs: DataFrame, table: np.ndarray, short: list[int], bits: int = F
                         ok = (seen[p[at] >> np.uint64(3)] >> (p[at] & np.uint64(7)).astype(np.uint8)) & 1 == 1
                         at = at[ok]
                     at = at[at + offsets[-1] < ends[owner[at]]]  # a window stays inside its document
+                    if offsets not in light:  # a whole item: its first place tells all
+                        _, first = np.unique(np.stack((owner[at].view(np.uint64), h[at])), axis=1, return_index=True)
+                        at = at[np.sort(first)]
                     found_seed.append(h[at])
                     found_at.append(at)
                 seed, at = np.concatenate(found_seed), np.concatenate(found_at)
@@ -196,14 +207,14 @@ def aligned(doc: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[in
     return int(equal.sum()), int(covered.sum()), most
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, text_key, item_id, item_words, matched, covered: verified overlaps of documents with items.
+def overlaps(docs: DataFrame, benchmark: DataFrame, least: int = TELLING) -> DataFrame:
+    """doc_id, text_key, item_id, item_words, matched, covered: verified overlaps with items of ``least`` words or more.
 
     ``matched`` and ``covered`` count words of the item over all its verified stretches in the document.
     """
-    items, seeds = benchmark_seeds(benchmark)
+    items, seeds = benchmark_seeds(benchmark, least=least)
     lengths = items.agg(F.collect_set(F.when(F.size("words") < LIGHT_BELOW, F.size("words"))).alias("n")).first()["n"]  # fewer than LIGHT_BELOW values
-    found = suspects(docs, bloom_filter(seeds), lengths)
+    found = suspects(docs, bloom_filter(seeds, filter_bits(seeds.count())), lengths)
     hits = found.select("doc_id", "text_key", F.inline(F.arrays_zip("seeds", "places"))).join(seeds, F.col("seeds") == F.col("seed"))
     pairs = hits.groupBy("doc_id", "text_key", "item_id").agg(F.collect_set(F.col("places") - F.col("pos")).alias("diagonals"))
     same = F.col("p.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("p.text_key") == F.col("f.text_key"))
@@ -222,12 +233,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows that hold no benchmark item, with all their columns as they are."""
+    """The rows that hold no benchmark item of ``TELLING`` words or more, with all their columns as they are."""
     hit = overlaps(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct()
+    hit = materialize(hit, "benchmark_hits")  # of known size: a few hits go to the texts, many meet them by key
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key().alias("key"))
     return whole.join(hit, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left_anti").select("row.*")
 
 
 def op10_benchmark_overlaps(spark, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark items, with the items."""
-    return overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")).drop("text_key")
+    """Documents that hold benchmark items of any length, with the items."""
+    return overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"), least=1).drop("text_key")
