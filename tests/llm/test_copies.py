@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -29,14 +30,19 @@ def classes_of(nodes, links):
     return {n: root(n) for n in nodes}
 
 
+def plain_shingles(text):
+    """Runs of five words; the whole of a shorter text."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    return [tuple(words[i : i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else [])
+
+
 def plain_classes(texts):
     keys = sorted(texts)
-    owner, h, n = bagminhash.shingles([texts[k] for k in keys])
-    bags = [Counter() for _ in keys]
+    bags = [Counter(plain_shingles(texts[k] or "")) for k in keys]
     holders = defaultdict(set)
-    for o, x, c in zip(owner.tolist(), h.tolist(), n.tolist()):
-        bags[o][x] = c
-        holders[x].add(o)
+    for o, bag in enumerate(bags):
+        for x in bag:
+            holders[x].add(o)
     links = [(i, j) for i in range(len(keys)) for j in range(i) if (texts[keys[i]] or "") == (texts[keys[j]] or "")]
     for i, bag in enumerate(bags):
         for j in {j for x in bag for j in holders[x] if j < i}:

@@ -186,3 +186,41 @@ def test_equal_rows_are_spread_over_slots(spark):
     assert all(sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows))) for k in range(8))
     plain = once.select("doc_id", F.pmod(F.xxhash64("doc_id", F.crc32("text"), (F.octet_length("text") + 8).cast("long")), F.lit(256)).alias("v"))
     assert {r.doc_id: r.v for r in plain.collect()} == {r.doc_id: r.virtual_slot for r in rows if r.doc_id >= 0}
+
+
+def test_stored_map_is_edited_by_the_next_run(spark, empty):
+    """A second run over grown data reads the newest version, stores the next, and moves few rows."""
+    rows = spark.range(6000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), (F.col("id") % 40).cast("int")).alias("text"))
+    path = new_shared_path(spark, "maps")
+    first = {r.doc_id: r.shard for r in sharding.shard_documents(rows.where("doc_id < 5000"), 6, 512, path).collect()}
+    second = {r.doc_id: r.shard for r in sharding.shard_documents(rows, 6, 512, path).collect()}
+    assert {r.version for r in spark.read.parquet(path).select("version").distinct().collect()} == {1, 2}
+    assert len(first) == 5000 and len(second) == 6000 and sum(first[d] != second[d] for d in first) < 0.3 * len(first)
+    loads = Counter()
+    for d, k in second.items():
+        loads[k] += 8 + d % 40
+    assert max(loads.values()) < 1.1 * min(loads.values())
+    third = {r.doc_id: r.shard for r in sharding.shard_documents(rows, 4, 512, path).collect()}
+    assert set(third.values()) == set(range(4))
+    assert sharding.shard_documents(empty.select("doc_id", "text"), 3, map_path=new_shared_path(spark, "maps")).collect() == []
+
+
+def test_rules_are_named_by_their_patterns(spark, monkeypatch):
+    """New rules scan every blob again, and paths are not doubled by the older entries or by repeated ones."""
+    docs = spark.createDataFrame([(1, "token = abcdefgh1"), (2, "none"), (3, "token = abcdefgh1")], "doc_id long, text string")
+    path = new_shared_path(spark, "ledger")
+    ledger = secrets.update_ledger(docs, path)
+    assert ledger.count() == 2 and secrets.update_ledger(docs, path).count() == 2
+    ledger = secrets.update_ledger(docs, path, rules=secrets.RULES_VERSION + 1)
+    assert ledger.count() == 4
+    twice = ledger.unionByName(ledger)
+    rows = secrets.findings(docs, twice, secrets.RULES_VERSION + 1).collect()
+    assert {r.doc_id: len(r.spans) for r in rows} == {1: 1, 2: 0, 3: 1} and len(rows) == 3
+    import importlib
+
+    source = secrets.HEX
+    own = importlib.util.spec_from_file_location("edited_secrets", secrets.__file__)
+    text = open(secrets.__file__).read()
+    edited: dict = {"__name__": "boxtrail.llm.edited"}
+    exec(compile(text.replace(source, "[0-9a-f]{33,}"), own.origin, "exec"), edited)
+    assert edited["HEX"] != source and edited["RULES_VERSION"] != secrets.RULES_VERSION

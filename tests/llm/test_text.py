@@ -307,3 +307,52 @@ def test_decontamination_edges(spark, awkward, empty):
     left = decontam.without_benchmark(awkward, items)
     assert left.columns == awkward.columns and sorted(r.doc_id for r in left.collect()) == [4, 5, 6, 7, 10]
     assert decontam.overlaps(empty, items).count() == 0 and decontam.overlaps(awkward, items.where("item_id > 9")).count() == 0
+
+
+def test_short_items_are_found_as_a_whole(spark):
+    items = [(0, "yes"), (1, "two words"), (2, "one two three four"), (3, "a b c d e f"), (4, ""), (5, "!?"), (6, "never seen")]
+    texts = ["yes " * 5000, "Two, words; yes", "x one two three four y one two three four", "one two three", "words two", "a b c d e", "z a b c d e f yes", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    holds = lambda t, i: any(t[k : k + len(i)] == i for k in range(len(t) - len(i) + 1))
+    want = {(d, i) for d, t in enumerate(texts) for i, x in items if words(x) and holds(words(t), words(x))}
+    assert {(r.doc_id, r.item_id) for r in decontam.overlaps(docs, benchmark, least=1).collect()} == want and len(want) == 6
+    kept = {r.doc_id for r in decontam.without_benchmark(docs, benchmark).collect()}
+    assert kept == set(range(len(texts))) - {6}
+
+
+def test_filter_grows_with_the_seeds(spark):
+    assert [decontam.filter_bits(n) for n in (0, 1 << 16, 1 << 20, 1 << 40)] == [20, 20, 24, 30]
+    seeds = spark.range(40_000).select(F.xxhash64("id").alias("seed"))
+    for bits in (20, 22):
+        table = decontam.bloom_filter(seeds, bits)
+        assert len(table) * 8 == 1 << bits and np.unpackbits(table).mean() < 0.2
+
+
+def test_equal_pieces_are_dealt_out(spark):
+    """A third of all pieces are equal rows; ranks stay gapless and no bucket holds them all."""
+    own = [(d, 0, 5, d, 5) for d in range(4000)] + [(-1, 0, 5, 7, 5)] * 2000 + [(d, 0, 9, d, 9) for d in range(50)]
+    cut = spark.createDataFrame(own, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    rows = packing.ranked(cut, 64).collect()
+    assert Counter((r.doc_id, r.length) for r in rows) == Counter((o[0], o[2]) for o in own)
+    for n, size in ((5, 6000), (9, 50)):
+        assert sorted(r.length_rank for r in rows if r.length == n) == list(range(size))
+    hot = sorted(r.length_rank for r in rows if r.doc_id == -1)
+    assert max(np.diff(hot)) < 400 and hot[-1] - hot[0] > 5000
+
+
+def test_language_query_on_awkward_and_empty_tables(spark, awkward, empty, write):
+    for df in (awkward.select("doc_id", "text", "lang"), empty.select("doc_id", "text", "lang")):
+        rows = langid.op7_language_id(spark, write(documents=df)).collect()
+        want = df.select("doc_id", "text").collect()
+        held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 0
+        assert Counter((r.doc_id, r.held_out) for r in rows) == Counter((r.doc_id, held(r.doc_id)) for r in want)
+        assert all(r.lang_pred in ("en", "und") and 0 <= r.score <= 1 for r in rows)
+
+
+def test_equal_languages_tie_by_name():
+    grams = np.array([[1, 2, 3, 4], [2, 3, 4, 5]], np.uint32)
+    model = langid.train(["aa", "bb"], [(grams, np.array([3, 3]))] * 2)
+    model = langid.calibrate(model, [])
+    assert all(lang in ("aa", "und") for lang, *_ in model.predict(["some text", "other"]))
