@@ -39,8 +39,8 @@ MIN_MATCHED = 8
 IDENTITY = 0.8
 COVERED = 0.5
 PASSAGE = 13
-FILTER_BITS = (20, 30)  # least and most; the largest filter has 128 MB
-BITS_A_SEED = 16
+FILTER_BITS = (26, 30)  # least and most: 8 and 128 MB
+BITS_A_SEED = 128  # with four probes one window in a million passes by chance; a text has thousands
 PROBES = 4
 CHUNK = 1 << 21
 
