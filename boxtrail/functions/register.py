@@ -1,4 +1,4 @@
-"""Selected functions as temporary SQL functions."""
+"""Selected functions and table functions as temporary SQL functions."""
 
 from __future__ import annotations
 
@@ -44,8 +44,26 @@ FUNCTIONS = {
 }
 
 
+_CHAIN = "chain ARRAY<STRUCT<entity STRING, screenshot STRING, bboxes ARRAY<ARRAY<INT>>, sentence_ids ARRAY<INT>>>"
+
+# For lateral joins: one row per hop, per box, and per single-hop sample of a chain.
+TABLE_FUNCTIONS = {
+    "bt_hops(chain ARRAY<STRUCT<hop INT, image_id STRING, bboxes ARRAY<ARRAY<DOUBLE>>>>) "
+    "RETURNS TABLE(hop_pos INT, hop INT, image_id STRING, bboxes ARRAY<ARRAY<DOUBLE>>)": (
+        "SELECT pos, coalesce(e.hop, pos + 1), e.image_id, e.bboxes FROM posexplode(chain) AS t(pos, e)"
+    ),
+    "bt_boxes(boxes ARRAY<ARRAY<DOUBLE>>) RETURNS TABLE(box_ord INT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE)": (
+        "SELECT pos, b[0], b[1], b[2], b[3] FROM posexplode(filter(boxes, x -> size(x) = 4)) AS t(pos, b)"
+    ),
+    f"bt_expand({_CHAIN}) RETURNS TABLE(hop_pos INT, evidence_chain ARRAY<STRUCT<entity STRING, screenshot STRING, "
+    "bboxes ARRAY<ARRAY<INT>>, sentence_ids ARRAY<INT>>>)": "SELECT pos, array(e) FROM posexplode(chain) AS t(pos, e)",
+}
+
+
 def register(spark: SparkSession) -> list[str]:
     """Creates the functions in the session and returns their names."""
     for signature, body in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
-    return [s.split("(")[0] for s in FUNCTIONS]
+    for signature, body in TABLE_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")
+    return [s.split("(")[0] for s in (*FUNCTIONS, *TABLE_FUNCTIONS)]

@@ -17,6 +17,14 @@ IMAGE_METRICS = (
 )
 
 
+def match_table(preds: Column, golds: Column, threshold: float = IOU_THRESHOLD) -> Column:
+    """Per gold box its overlap with every predicted box, null where the two do not match. Each pair is compared once."""
+    def overlap(p: Column, g: Column) -> Column:
+        return bind(iou(p, g), lambda o: F.when((o >= threshold) | center_inside(p, g), o))
+
+    return F.transform(golds, lambda g: F.transform(preds, lambda p: overlap(p, g)))
+
+
 def any_match(preds: Column, golds: Column, threshold: float = IOU_THRESHOLD) -> Column:
     """True when some predicted box matches some gold box."""
     return F.exists(preds, lambda p: F.exists(golds, lambda g: relaxed_match(p, g, threshold)))
@@ -32,9 +40,13 @@ def bbox_stats(preds: Column, golds: Column, threshold: float = IOU_THRESHOLD) -
     Abstaining when there is nothing to find scores 1 everywhere; boxes on only
     one side score 0.
     """
-    n_gold, n_pred = F.size(golds), F.size(preds)
-    gold_hits = F.size(F.filter(golds, lambda g: F.exists(preds, lambda p: relaxed_match(p, g, threshold))))
-    pred_hits = F.size(F.filter(preds, lambda p: F.exists(golds, lambda g: relaxed_match(p, g, threshold))))
+    return bind(match_table(preds, golds, threshold), lambda table: _table_stats(table, F.size(preds), F.size(golds)))
+
+
+def _table_stats(table: Column, n_pred: Column, n_gold: Column) -> Column:
+    gold_hits = F.size(F.filter(table, lambda row: F.exists(row, lambda o: o.isNotNull())))
+    # The first row stands for the columns.
+    pred_hits = F.size(F.filter(F.get(table, 0), lambda _, j: F.exists(table, lambda row: F.get(row, j).isNotNull())))
     nothing = (n_gold == 0) & (n_pred == 0)
     one_sided = (n_gold == 0) | (n_pred == 0)
 
@@ -61,13 +73,9 @@ def greedy_localization(preds: Column, golds: Column, threshold: float = IOU_THR
         F.array().cast("array<int>").alias("used"), F.lit(0).alias("hits"), F.array().cast("array<double>").alias("ious")
     )
 
-    def step(acc: Column, gold: Column) -> Column:
+    def step(acc: Column, row: Column) -> Column:
         options = F.transform(
-            preds,
-            lambda p, j: F.when(
-                relaxed_match(p, gold, threshold) & ~F.array_contains(acc["used"], j),
-                F.struct(iou(p, gold).alias("iou"), j.alias("j")),
-            ),
+            row, lambda o, j: F.when(o.isNotNull() & ~F.array_contains(acc["used"], j), F.struct(o.alias("iou"), j.alias("j")))
         )
         return bind(
             F.array_max(options),
@@ -84,7 +92,7 @@ def greedy_localization(preds: Column, golds: Column, threshold: float = IOU_THR
             F.coalesce(share, (F.size(preds) == 0).cast("double")).alias("accuracy"), acc["ious"].alias("ious")
         )
 
-    return F.aggregate(golds, start, step, finish)
+    return F.aggregate(match_table(preds, golds, threshold), start, step, finish)
 
 
 def chain_hops(pred_chain: Column, gold_chain: Column, threshold: float = IOU_THRESHOLD) -> Column:

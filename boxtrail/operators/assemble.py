@@ -145,6 +145,13 @@ def check_samples(samples: DataFrame, meta: DataFrame) -> DataFrame:
     return judged.groupBy("sample_id").agg(F.bool_and("ok").alias("valid"))
 
 
+def samples_within_pages(samples: DataFrame) -> DataFrame:
+    """Samples whose chains carry the page sizes: every hop has boxes, all inside its page image. No join."""
+    fits = lambda e: (F.size(e["bboxes"]) > 0) & F.forall(e["bboxes"], lambda b: G.within_bounds(b, e["width"], e["height"])) & e["width"].isNotNull()
+    every = F.forall("evidence_chain", lambda e: F.coalesce(fits(e), F.lit(False)))
+    return samples.where((F.size("evidence_chain") > 0) & every)
+
+
 def valid_samples(samples: DataFrame, meta: DataFrame) -> DataFrame:
     good = check_samples(samples, meta).where("valid").select("sample_id")
     return samples.join(good, "sample_id", "left_semi")
@@ -209,9 +216,11 @@ def reconcile_chain(samples: DataFrame, resolved: DataFrame) -> DataFrame:
 
 
 def reconcile_report(reconciled: DataFrame) -> DataFrame:
-    """Samples and hops by reconcile status."""
+    """Samples by reconcile status with their hops before, and those kept after."""
+    stays = F.col("status").isin("changed", "same")
+    hops = F.size("evidence_chain")
     return reconciled.groupBy("status").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.size("evidence_chain")).alias("n_hops")
+        F.count(F.lit(1)).alias("n"), F.sum(hops).alias("n_hops"), F.sum(F.when(stays, hops).otherwise(0)).alias("n_hops_after")
     )
 
 

@@ -30,14 +30,15 @@ def score_predictions(predictions: DataFrame, threshold: float = IOU_THRESHOLD)
         {
             "_b": S.bbox_stats(F.col("_pred"), F.col("_gold"), threshold),
             "_i": S.image_chain_stats(F.col("_chain"), F.col("evidence_chain"), threshold),
-            "bbox_localized": S.bbox_localized(F.col("_pred"), F.col("_gold"), threshold),
             "answer_em": T.exact_match_train(F.col("_answer"), F.col("answer")),
             "answer_contains": T.answer_contains(F.col("_answer"), F.col("answer")),
         }
     )
     kept = [c for c in predictions.columns]
+    # The flag of the boxes is 1 where there is nothing to find; localized is not.
+    localized = F.when((F.col("_b.n_gt") > 0) & (F.col("_b.n_pred") > 0), F.col("_b.any_hit")).otherwise(0)
     return stats.select(
-        *kept, "answer_em", "answer_contains", "bbox_localized",
+        *kept, "answer_em", "answer_contains", localized.alias("bbox_localized"),
         F.col("_b.recall").alias("bbox_recall"), F.col("_b.precision").alias("bbox_precision"),
         F.col("_b.all_gt_hit").alias("bbox_all_gt_hit"), F.col("_b.n_gt").alias("bbox_n_gt"),
         F.col("_b.n_pred").alias("bbox_n_pred"), "parse_ok",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from boxtrail.functions import text as T
 from boxtrail.operators.logs import before_bucket
+from boxtrail.runtime import materialize
 
 # ---- Fixed values -----------------------------------------------------------
 HEAD_SHARE = 0.8
@@ -187,11 +188,13 @@ def same_deck_distractors(samples: DataFrame, pool: DataFrame, k: int) -> DataFr
     the ``k`` smallest names can be chosen, and per gold page only the ``k``
     nearest pages on either side, so each sample meets a bounded number of
     images even in a deck that holds most of the pool. Without a gold page
-    number the first names of the deck are taken.
+    number the first names of the deck are taken. Images and questions are
+    written once to the shared folder, as several branches read them.
     """
     page = T.page_number(F.col("screenshot"))
     located = F.when(F.coalesce(page, F.lit(0)) == 0, F.lit(NO_PAGE)).otherwise(page)
     images = pool.select("screenshot", T.deck_key(F.col("screenshot")).alias("deck"), located.alias("page")).where("deck != ''")
+    images = materialize(images, "deck_images")
     per_page = W.partitionBy("deck", "page").orderBy("screenshot")
     kept = images.withColumn("_r", F.row_number().over(per_page)).where(F.col("_r") <= k).drop("_r")
 
@@ -199,6 +202,7 @@ def same_deck_distractors(samples: DataFrame, pool: DataFrame, k: int) -> DataFr
     asked = samples.where(F.size("gold") > 0).select(
         "sample_id", "gold", _need(k).alias("need"), T.deck_key(F.get("gold", 0)).alias("deck"), pages_of.alias("gold_pages")
     ).where("need > 0 AND deck != ''")
+    asked = materialize(asked, "deck_samples")
 
     # Gold pages may lie outside the deck; they take part in the ranking as empty pages.
     marks = asked.select("deck", F.explode("gold_pages").alias("page")).distinct()

@@ -292,7 +292,7 @@ def _chain_text(df):
 @query("assemble_samples", with_ctes(["assembled", "question"], "SELECT a.sample_id, q.question, q.answer, q.type, a.num_hops, a.chain FROM assembled a JOIN question q ON q.sample_id = a.sample_id WHERE a.valid"))
 def assemble_samples(t):
     """Only samples that pass validation leave the assembly."""
-    return _chain_text(A.valid_samples(_assembled(t), t.meta)).select("sample_id", "question", "answer", "type", "num_hops", "chain")
+    return _chain_text(A.samples_within_pages(_assembled(t))).select("sample_id", "question", "answer", "type", "num_hops", "chain")
 
 
 @query("sample_qa", with_ctes("assembled", "SELECT sample_id, valid FROM assembled"))
@@ -331,7 +331,7 @@ def reconcile_chain(t):
     return kept.select("sample_id", F.array_join(F.transform("evidence_chain", hop), "/").alias("chain"))
 
 
-@query("reconcile_report", with_ctes(["resolved", "chain_entry"], RECONCILED + " SELECT status, count(*) AS n, sum(n_hops)::BIGINT AS n_hops FROM s GROUP BY status"))
+@query("reconcile_report", with_ctes(["resolved", "chain_entry"], RECONCILED + " SELECT status, count(*) AS n, sum(n_hops)::BIGINT AS n_hops, sum(CASE WHEN status IN ('changed', 'same') THEN n_hops ELSE 0 END)::BIGINT AS n_hops_after FROM s GROUP BY status"))
 def reconcile_report(t):
     return A.reconcile_report(_reconciled(t))
 

@@ -77,11 +77,13 @@ def distractors_global(t):
     return S.global_distractors(_gold(t), _images(t), K, SEED).withColumn("distractors", F.array_join("distractors", "|"))
 
 
-@query("distractors_same_deck", with_ctes(["deck_gold"], """, near AS (SELECT g.sample_id, i.path, coalesce(nullif(i.page, 0), 1000000000) AS p,
+SAME_DECK = with_ctes(["deck_gold"], """, near AS (SELECT g.sample_id, i.path, coalesce(nullif(i.page, 0), 1000000000) AS p,
         CASE WHEN len(g.pages) > 0 THEN list_min(list_transform(g.pages, lambda x: abs(coalesce(nullif(i.page, 0), 1000000000) - x))) END AS dist, 5 - len(g.gold) AS need, coalesce(len(g.pages), 0) AS np
         FROM deck_gold g JOIN deck_image i ON i.deck = g.deck WHERE NOT list_contains(g.gold, i.path)),
-    ranked AS (SELECT *, CASE WHEN np > 0 THEN row_number() OVER (PARTITION BY sample_id ORDER BY dist, p, path) ELSE row_number() OVER (PARTITION BY sample_id ORDER BY path) END AS r FROM near)
-    SELECT sample_id, string_agg(path, '|' ORDER BY r) AS distractors FROM ranked WHERE r <= need GROUP BY sample_id"""))
+    ranked AS (SELECT *, CASE WHEN np > 0 THEN row_number() OVER (PARTITION BY sample_id ORDER BY dist, p, path) ELSE row_number() OVER (PARTITION BY sample_id ORDER BY path) END AS r FROM near)""")
+
+
+@query("distractors_same_deck", SAME_DECK + " SELECT sample_id, string_agg(path, '|' ORDER BY r) AS distractors FROM ranked WHERE r <= need GROUP BY sample_id")
 def distractors_same_deck(t):
     return S.same_deck_distractors(_gold(t), _images(t), K).withColumn("distractors", F.array_join("distractors", "|"))
 
@@ -110,6 +112,14 @@ def build_candidates(t):
     return made.select("sample_id", F.array_join("candidates", "|").alias("candidates"))
 
 
+@query("build_candidates_same_deck", SAME_DECK + """, every AS (SELECT sample_id, unnest(gold) AS path FROM deck_gold UNION ALL SELECT sample_id, path FROM ranked WHERE r <= need)
+    SELECT sample_id, string_agg(path, '|' ORDER BY md5('42|' || sample_id || '|' || path), path) AS candidates FROM every GROUP BY sample_id""")
+def build_candidates_same_deck(t):
+    """Candidates of the first gold screenshot's deck, out of all images and cited screenshots."""
+    made = S.build_candidates(t.deck_samples, K, strategy="same_deck", images=t.deck_images, seed=SEED)
+    return made.select("sample_id", F.array_join("candidates", "|").alias("candidates"))
+
+
 @query("screenshot_pool", with_ctes(["deck_gold"], "SELECT DISTINCT path AS screenshot FROM deck_image"))
 def screenshot_pool(t):
     return S.screenshot_pool(t.deck_samples, t.deck_images)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from boxtrail import schemas as S
 from boxtrail.sources import headers
 from boxtrail.functions.geometry import MIN_SCREENSHOT_SIDE
+from boxtrail.sources.json_objects import split_objects
 
 # ---- Fixed values -----------------------------------------------------------
 LAYOUT_SUFFIX, BOXES_SUFFIX = "_layout.json", "_bboxes.json"
@@ -19,12 +20,13 @@ def _ddl(text: str) -> Ty.StructType:
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Samples from JSON-array files or, if given, files with one object per line.
+    """Samples from JSON-array files or files with one object after another, one file read by many tasks.
 
-    One JSON array is read by one task, so large data belongs in many files; keep
-    the result as parquet and read that afterwards.
+    Nested values declared as strings keep their value, not its spacing or escapes. Objects that do not fit the schema
+    have null fields (``json_objects.split_objects`` for broken files).
     """
-    return spark.read.schema(_ddl(schema)).option("multiLine", True).json(path)
+    objects = split_objects(spark, path)
+    return objects.select(F.from_json("value", _ddl(schema)).alias("r")).select("r.*")
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:

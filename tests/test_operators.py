@@ -12,9 +12,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from boxtrail.functions import parsing as J
+from boxtrail.functions import parsing as J, register, scoring
 from boxtrail.operators import assemble as A, containment, evaluation as E, grounding as G, logs as L, records as RO, sampling as S
-from boxtrail.sources import headers, readers, writers
+from boxtrail.sources import headers, json_objects, readers, writers
 from boxtrail.streaming import scorer
 from tests.test_functions import reference_similarity
 
@@ -346,3 +346,130 @@ def test_layout_reader(spark, tmp_path):
         (tmp_path / f"{n}_layout.json").write_text(json.dumps(page))
     rows = readers.read_layouts(spark, str(tmp_path)).orderBy("page_id").collect()
     assert len(rows) == 2 and rows[0]["elements"][0]["text"] == "hi"
+
+
+@pytest.mark.parametrize("size", [100, 1 << 20])
+def test_json_objects_of_one_file_in_many_tasks(spark, tmp_path, size):
+    """Braces, quotes and backslashes in texts, objects over many splits, scalars between them, other file forms."""
+    rnd = random.Random(size)
+    odd = ["{", "}", "[", "]", '"', "\\", "\\\\", '\\"', "},{", "\n", "é", "😀", "}" * 5, "\\}", ":", ",", " "]
+    text = lambda n: "".join(rnd.choice(odd) for _ in range(rnd.randrange(n)))
+    made = [{"k": i, "s": text(30), "o": {"a": [text(5), {"b": text(5)}], text(4) or "x": None}} for i in range(20)] + [{"k": 60, "s": text(400), "o": {}}, {}]
+    listed, spaced, lines = (tmp_path / n for n in ("a.json", "b.json", "c.json"))
+    listed.write_text(json.dumps(made, ensure_ascii=False))
+    spaced.write_text("﻿ \n" + json.dumps(made, indent=2).replace("\n  {\n    \"k\": 7,", '\n 1, null, "a{b}", -2.5e3, {"k": 7,'))
+    lines.write_text("\n".join(map(json.dumps, made)))
+    (tmp_path / "none.json").write_text("[]")
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "cut.json").write_text('[{"k": 1, "s": "x"}, {"k": 2, "s": "y')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        for path in (listed, spaced, lines):
+            rows = json_objects.split_objects(spark, str(path)).orderBy("ord").collect()
+            assert [json.loads(r.value) for r in rows] == made and [r.ord for r in rows] == list(range(len(made)))
+        whole = json_objects.split_objects(spark, str(tmp_path))
+        assert whole.count() == 3 * len(made) + 1
+        read = readers.read_json_array(spark, str(listed), "k long, s string, o string").collect()
+        want = spark.read.schema("k long, s string, o string").option("multiLine", True).json(str(listed)).collect()
+        shown = lambda rows: sorted(json.dumps([r.k, r.s, r.o and json.loads(r.o)], sort_keys=True) for r in rows)
+        assert shown(read) == shown(want) and len(want) == len(made)
+        parts = spark.read.option("lineSep", "}").text(str(listed)).rdd.getNumPartitions()
+        assert parts > 20 if size == 100 else parts >= 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert readers.read_json_array(spark, str(tmp_path / "empty.json"), "k long").count() == 0
+
+
+def test_box_scores_equal_all_comparisons(spark):
+    """Each pair is compared once; recall, precision and flags are those of comparing all pairs again."""
+    rnd = random.Random(9)
+    box = lambda: (lambda x, y: [float(x), float(y), float(x + rnd.randint(1, 12)), float(y + rnd.randint(1, 12))])(rnd.randint(0, 20), rnd.randint(0, 20))
+
+    def match(p, g):
+        w, h = min(p[2], g[2]) - max(p[0], g[0]), min(p[3], g[3]) - max(p[1], g[1])
+        inter = max(0, w) * max(0, h)
+        area = lambda b: (b[2] - b[0]) * (b[3] - b[1])
+        inside = g[0] <= (p[0] + p[2]) / 2 <= g[2] and g[1] <= (p[1] + p[3]) / 2 <= g[3]
+        return inter / (area(p) + area(g) - inter) >= 0.3 or inside
+
+    rows = [(i, [box() for _ in range(rnd.randint(0, 5))], [box() for _ in range(rnd.randint(0, 5))]) for i in range(150)]
+    df = spark.createDataFrame(rows, "i int, p array<array<double>>, g array<array<double>>")
+    got = {r.i: r.s for r in df.select("i", scoring.bbox_stats(F.col("p"), F.col("g")).alias("s")).collect()}
+    for i, p, g in rows:
+        found = sum(any(match(a, b) for a in p) for b in g)
+        right = sum(any(match(a, b) for b in g) for a in p)
+        nothing, one_sided = not p and not g, not p or not g
+        want = (1, 1, 1, 1) if nothing else (0, 0, 0, 0) if one_sided else (found / len(g), right / len(p), int(found == len(g)), int(found > 0))
+        assert tuple(got[i])[:4] == pytest.approx(want) and (got[i].n_gt, got[i].n_pred) == (len(g), len(p))
+
+
+def test_samples_within_their_pages(spark):
+    """The check on the chain's own sizes equals the one that joins the pages."""
+    chain = "array<struct<entity:string,width:int,height:int,bboxes:array<array<int>>>>"
+    hop = lambda w, h, *b: ("A" if w else "N", w, h, [list(x) for x in b])
+    rows = [(1, [hop(10, 10, (0, 0, 9, 9))]), (2, [hop(10, 10, (0, 0, 11, 9))]), (3, [hop(None, None, (0, 0, 1, 1))]), (4, [hop(10, 10)]), (5, []), (6, None), (7, [hop(10, 10, (1, 1, 2, 2)), hop(10, 10, (5, 5, 2, 9))]), (8, [("A", 10, 10, None)])]
+    samples = spark.createDataFrame(rows, f"sample_id int, evidence_chain {chain}")
+    meta = spark.createDataFrame([("A", 10, 10), ("N", None, None)], "entity string, width int, height int")
+    ids = lambda df: sorted(r.sample_id for r in df.collect())
+    assert ids(A.samples_within_pages(samples)) == ids(A.valid_samples(samples, meta)) and 1 in ids(A.samples_within_pages(samples))
+
+
+def test_reconcile_report_counts_hops_before_and_after(spark):
+    rows = spark.createDataFrame([("same", [1, 2]), ("changed", [1]), ("missing_hop", [1, 2, 3]), ("same", [])], "status string, evidence_chain array<int>")
+    assert {tuple(r) for r in A.reconcile_report(rows).collect()} == {("same", 2, 2, 2), ("changed", 1, 1, 1), ("missing_hop", 1, 3, 0)}
+
+
+def test_table_functions_equal_the_operators(spark):
+    register.register(spark)
+    entry = "array<struct<entity:string,screenshot:string,bboxes:array<array<int>>,sentence_ids:array<int>>>"
+    rows = [(1, "q", "a", "t", None, [("A", "a.png", [[1, 2, 3, 4]], [0]), ("B", "b.png", [], None)]), (2, "q", "a", None, None, [("C", "c.png", [[1, 1, 2, 2], [3, 3, 4, 4]], [1])]), (3, "q", "a", "t", None, []), (4, "q", "a", "t", None, None)]
+    samples = spark.createDataFrame(rows, f"sample_id int, question string, answer string, type string, evidences array<struct<entity:string,relation:string,value:string>>, evidence_chain {entry}")
+    samples.createOrReplaceTempView("bt_samples")
+    got = spark.sql("SELECT sample_id, e.hop_pos, e.evidence_chain FROM bt_samples s, LATERAL bt_expand(s.evidence_chain) e").collect()
+    none = spark.createDataFrame([], "sample_id int, hop_pos int, question string, answer string, target_sentence string, bbox array<int>, entity string, screenshot string, sentence_ids array<int>")
+    want = G.expand_single_hop(samples, none).select("sample_id", "hop_pos", "evidence_chain").collect()
+    assert len(want) == 3 and sorted(map(str, got)) == sorted(map(str, want))
+
+    spark.createDataFrame([(1, [(2, "img_0", [[1.0, 2.0, 3.0, 4.0], [5.0]]), (None, "img_1", [])]), (2, None)], f"id int, c {J.CHAIN_TYPE}").createOrReplaceTempView("bt_chains")
+    hops = spark.sql("SELECT id, h.* FROM bt_chains t, LATERAL bt_hops(t.c) h ORDER BY hop_pos").collect()
+    assert [(r.id, r.hop_pos, r.hop, r.image_id) for r in hops] == [(1, 0, 2, "img_0"), (1, 1, 2, "img_1")]
+    boxes = spark.sql("SELECT id, b.* FROM bt_chains t, LATERAL bt_hops(t.c) h, LATERAL bt_boxes(h.bboxes) b").collect()
+    assert [tuple(r) for r in boxes] == [(1, 0, 1.0, 2.0, 3.0, 4.0)]
+
+
+def test_pairs_mismatches_and_manifest(spark, tmp_path):
+    pred = spark.createDataFrame([(1, "p"), (2, "q"), (3, "r")], "idx int, pred string")
+    gold = spark.createDataFrame([(2, "a"), (3, "b"), (4, "c")], "idx int, gold string")
+    assert sorted(map(tuple, E.pair_by_index(pred, gold).collect())) == [(2, "q", "a"), (3, "r", "b")]
+    assert sorted(map(tuple, E.count_mismatch(pred, gold).collect())) == [(1, "no_gold"), (4, "no_prediction")]
+    inbox, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    files = lambda names: spark.createDataFrame([(n, 5) for n in names], "path string, n_rows int").write.mode("append").parquet(inbox)
+    run = lambda: scorer.manifest_stream(spark.readStream.schema("path string, n_rows int").parquet(inbox), out, ckpt).awaitTermination()
+    files(["a", "b"])
+    run()
+    run()
+    files(["c"])
+    run()
+    assert sorted(map(tuple, spark.read.schema("path string, n_rows int").json(out).collect())) == [("a", 5), ("b", 5), ("c", 5)]
+
+
+def test_training_records_with_candidates(spark):
+    """Train split with candidates, permutation, jitter and lenient sizes; positions follow the candidates."""
+    chain = "array<struct<entity:string,screenshot:string,bboxes:array<array<int>>,sentence_ids:array<int>>>"
+    rows = [(i, "q", "a", [("A", "a.png", [[10, 10, 100, 100]], [0]), ("B", "b.png", [[0, 0, 50, 60]], [1])], ["c.png", "b.png", "a.png"]) for i in range(20)]
+    samples = spark.createDataFrame(rows, f"sample_id long, question string, answer string, evidence_chain {chain}, candidates array<string>")
+    images = spark.createDataFrame([("a.png", 1000, 800), ("b.png", 640, 640)], "path string, width int, height int")
+    made = lambda **more: RO.build_training_records(samples, images, split="train", resolutions=[512, 768], seed=1, **more)
+    assert made().count() == 0  # c.png is missing
+    kept = made(lenient=True, evidence_permutation=True, spatial_augmentation=True).collect()
+    assert len(kept) == 20 and {tuple(r.gold_image_ids) for r in kept} == {("img_2", "img_1")}
+    widths = {r.plans[0]["nw"] for r in kept}
+    assert all(r.plans[0]["w"] == 1024 and r.plans[0]["h"] == 768 and 432 <= r.plans[0]["nw"] <= 845 for r in kept) and len(widths) > 4
+    for r in kept:
+        for e, p in zip(r.evidence_chain, (r.plans[2], r.plans[1])):
+            assert e["bboxes"] and all(0 <= b[0] <= b[2] <= p["nw"] and 0 <= b[1] <= b[3] <= p["nh"] for b in e["bboxes"])
+    moved = made(lenient=True, evidence_permutation=True, preserve_evidence_order=False).collect()
+    assert {tuple(r.gold_image_ids) for r in moved} == {("img_2", "img_1"), ("img_1", "img_2")}
+    plain = RO.build_training_records(samples.drop("candidates"), images, split="train", evidence_permutation=True, seed=1).collect()
+    assert len(plain) == 20 and {tuple(r.gold_image_ids) for r in plain} == {("img_0", "img_1")} and len({r.evidence_chain[0]["entity"] for r in plain}) == 2
