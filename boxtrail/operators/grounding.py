@@ -5,11 +5,11 @@ Input tables
     sentences   (page_id, sid, sent)          sent null = text unknown
     hops        see ``match_hops``
 
-Every target is compared with paragraphs of its own page only. Pages of up to
-``DIRECT_LIMIT`` paragraphs are joined directly on the page key, so the work
-grows linearly with the targets and AQE can split a page many targets cite.
-Longer pages go through an inverted index with an exact overlap bound, so no
-page, however long, has all its pairs enumerated.
+Every target is compared with paragraphs of its own page only. Sentences on
+pages of up to ``DIRECT_LIMIT`` paragraphs are joined directly on the page key,
+so the work grows linearly with the targets and AQE can split a page many
+targets cite. Longer pages, and all values, go through an inverted index with an
+exact overlap bound, so no long page has all its pairs enumerated.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from boxtrail.functions import text as T
 from boxtrail.operators.containment import containing
+from boxtrail.operators.phrases import candidates, stands_at
+from boxtrail.runtime import materialize
 
 # ---- Fixed values -----------------------------------------------------------
 MIN_SIMILARITY = 0.25
@@ -39,8 +41,8 @@ DIRECT_LIMIT = 1_000
 TOKEN_SHARE = MIN_SIMILARITY / (2 - MIN_SIMILARITY)
 GRAM_SHARE = MIN_SIMILARITY
 
-# A score of MIN_PICK_SCORE needs at least this coverage, whatever the bonus.
-COVERAGE_SHARE = MIN_PICK_SCORE - T.VALUE_BONUS
+# Keys that rows without a partner are dealt out to.
+LONELY_KEYS = 4096
 
 
 def width() -> Column:
@@ -74,14 +76,9 @@ def _tagged_grams(text: Column) -> Column:
     return F.transform(T.char_grams(text), lambda g: F.concat(F.lit("g:"), g))
 
 
-def _tagged_content(text: Column) -> Column:
-    return F.transform(T.content_tokens(text), lambda t: F.concat(F.lit("c:"), t))
-
-
 # Feature families of a scorer: (features of a text, share of the target's
 # features a qualifying paragraph must contain).
 SIMILARITY_FEATURES = ((_tagged_tokens, TOKEN_SHARE), (_tagged_grams, GRAM_SHARE))
-COVERAGE_FEATURES = ((_tagged_content, COVERAGE_SHARE),)
 
 
 def long_pages(paragraphs: DataFrame, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
@@ -284,48 +281,56 @@ def match_hops(samples: DataFrame) -> DataFrame:
     )
 
 
-def pick_candidates(paragraphs: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Usable paragraphs, and per page how many are usable or below the image.
+def _flagged(paragraphs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Large paragraphs, whether each lies below the image or is usable, and the words of usable ones.
 
     ``pages`` is ``(page_id, image_height)``; a null height switches the bounds
-    check off. The counts depend on the page only, never on a target.
+    check off.
     """
     sized = paragraphs.where((width() >= MIN_PICK_WIDTH) & (height() >= MIN_PICK_HEIGHT)).join(pages, "page_id")
     oob = F.coalesce(F.col("y2") > F.col("image_height"), F.lit(False))
-    wordy = T.word_count(F.col("text")) >= MIN_PICK_WORDS
-    flagged = sized.withColumns({"oob": oob, "usable": ~oob & wordy})
-    stats = flagged.groupBy("page_id").agg(
-        F.count_if("usable").alias("n_usable"), F.count_if("oob").alias("n_oob")
+    wordy = F.coalesce(T.word_count(F.col("text")) >= MIN_PICK_WORDS, F.lit(False))
+    return sized.withColumns({"oob": oob, "usable": ~oob & wordy}).select(
+        "page_id", "para_ord", "x1", "y1", "x2", "y2", "oob", "usable",
+        F.when(F.col("usable"), F.split(T.plain_words(F.col("text")), " ")).alias("words"),
     )
-    usable = flagged.where("usable").select("page_id", "para_ord", "text", "x1", "y1", "x2", "y2")
-    return usable, stats
 
 
-def pick_paragraphs(
-    targets: DataFrame, paragraphs: DataFrame, pages: DataFrame, direct_limit: int = DIRECT_LIMIT
-) -> DataFrame:
+def pick_paragraphs(targets: DataFrame, paragraphs: DataFrame, pages: DataFrame) -> DataFrame:
     """Best paragraph for each ``(page_id, target_id, value, text)`` with a status.
 
     Score is coverage of the target sentence plus a bonus when the paragraph
     holds the value; order is score, coverage, top edge, page order.
+
+    A paragraph with the value is found by phrase look-up. One without it needs
+    the whole score as coverage, so only the rarest words of a target are looked
+    up. Both prepared tables are written to the shared folder while the plan is
+    built, because several branches read them.
     """
-    usable, stats = pick_candidates(paragraphs, pages)
-    asked = targets.where(F.length("text") > 0)
-    pairs = candidate_pairs(
-        asked.select("page_id", "target_id", "text", "value"), usable, COVERAGE_FEATURES,
-        {"tokens": T.content_tokens(F.col("text")), "words": T.plain_words(F.col("value"))},
-        {"para_words": T.plain_words(F.col("text"))},
-        stats.where(F.col("n_usable") > direct_limit).select("page_id"),
+    prepared = materialize(
+        targets.select(
+            "page_id", "target_id", "text", T.plain_words(F.col("value")).alias("phrase"),
+            T.content_tokens(F.col("text")).alias("tokens"),
+        ),
+        "pick_targets",
     )
-    # A content word is in the paragraph exactly if its word text holds it, so
-    # one string serves both the coverage and the value check.
-    prepared = pairs.withColumns(
+    asked_pages = prepared.select("page_id").distinct()
+    flagged = materialize(_flagged(paragraphs, pages.join(asked_pages, "page_id", "left_semi")), "pick_paragraphs")
+    stats = flagged.groupBy("page_id").agg(F.count_if("usable").alias("n_usable"), F.count_if("oob").alias("n_oob"))
+    usable = flagged.where("usable")
+    asked = prepared.where(F.length("text") > 0)
+
+    # Without the bonus of the value all of the score has to be coverage.
+    pairs = candidates(asked, usable, MIN_PICK_SCORE)
+    compared = pairs.join(asked.select("page_id", "target_id", "phrase", "tokens"), ["page_id", "target_id"]).join(
+        usable.select("page_id", "para_ord", "x1", "y1", "x2", "y2", "words"), ["page_id", "para_ord"]
+    ).withColumns(
         {
-            "coverage": T.coverage_within(F.col("tokens"), F.col("para_words")),
-            "has_value": T.words_within(F.col("words"), F.col("para_words")),
+            "coverage": T.coverage(F.col("tokens"), F.col("words")),
+            "has_value": stands_at(F.col("phrase"), F.col("words"), F.col("starts")),
         }
     )
-    scored = prepared.select(
+    scored = compared.select(
         "page_id", "target_id", "para_ord", "x1", "y1", "x2", "y2", "coverage", "has_value",
         (F.col("coverage") + F.when(F.col("has_value"), T.VALUE_BONUS).otherwise(0.0)).alias("score"),
     )
@@ -344,51 +349,50 @@ def pick_paragraphs(
         .otherwise("sim_only")
     )
     return (
-        targets.join(stats, "page_id", "left")
+        prepared.join(stats, "page_id", "left")
         .join(best, ["page_id", "target_id"], "left")
         .select("page_id", "target_id", status.alias("status"), "b.*")
     )
 
 
-def resolve_hops(
-    samples: DataFrame,
-    context: DataFrame,
-    page_of: DataFrame,
-    paragraphs: DataFrame,
-    direct_limit: int = DIRECT_LIMIT,
-) -> DataFrame:
+def resolve_hops(samples: DataFrame, context: DataFrame, page_of: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """One row per evidence triple with its status and, if resolved, its box.
 
     ``context`` is (entity, sid, sent), ``page_of`` is (screenshot, page_id,
     image_height, side_table): ``side_table`` is ``ok``, ``missing`` or ``bad``.
-    Equal (page, value, sentence) questions are answered once and shared.
+    Equal (page, value, sentence) questions are answered once and shared. The
+    located hops are written to the shared folder while the plan is built.
     """
     hops = match_hops(samples).withColumn("sid", F.get("sentence_ids", 0))
-    # Hops without a chain entry have no page: they go around the joins instead of meeting on a null key.
-    open_ = hops.where(F.col("early_status").isNull())
-    located = open_.join(page_of, "screenshot", "left").join(context, ["entity", "sid"], "left")
+    # Rows without a partner get keys of their own, which match nothing: null keys would all meet in one task.
+    alone = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("sample_id", "hop_pos"), F.lit(LONELY_KEYS)).cast("string"))
     side = F.coalesce("side_table", F.lit("missing"))
-    state = F.when(side == "missing", "no_bboxes_file").when(side == "bad", "bad_bboxes_file")
-    key = F.md5(F.concat_ws("\u0001", F.col("value"), F.coalesce("sent", F.lit(""))))
-    keyed = located.withColumn("state", state).withColumn("target_id", F.when(F.col("state").isNull(), key))
+    state = F.coalesce(
+        "early_status", F.when(side == "missing", "no_bboxes_file").when(side == "bad", "bad_bboxes_file")
+    )
+    key = F.md5(F.concat_ws("\u0001", F.col("page_id").cast("string"), "value", F.coalesce("sent", F.lit(""))))
+    located = (
+        hops.withColumns({"at": F.coalesce("screenshot", alone), "of": F.coalesce("entity", alone)})
+        .join(page_of.withColumnRenamed("screenshot", "at"), "at", "left")
+        .join(context.select(F.col("entity").alias("of"), "sid", "sent"), ["of", "sid"], "left")
+        .withColumn("state", state)
+    )
+    keyed = materialize(
+        located.select(*hops.columns, "page_id", "sent", "state", F.coalesce(F.when(F.col("state").isNull(), key), alone).alias("target_id")),
+        "located_hops",
+    )
     wanted = (
         keyed.where(F.col("state").isNull())
         .select("page_id", "target_id", "value", F.coalesce("sent", F.lit("")).alias("text"))
         .dropDuplicates(["page_id", "target_id"])
     )
     pages = page_of.where("side_table = 'ok'").select("page_id", "image_height").dropDuplicates(["page_id"])
-    picked = pick_paragraphs(wanted, paragraphs, pages, direct_limit)
-    asked = keyed.where(F.col("state").isNull()).join(picked, ["page_id", "target_id"], "left")
-    answered = asked.select(*hops.columns, "sent", F.col("status"), "para_ord", "x1", "y1", "x2", "y2", "coverage", "score")
-    none = {c: F.lit(None).cast(answered.schema[c].dataType) for c in ("para_ord", "x1", "y1", "x2", "y2", "coverage", "score")}
-    failed = keyed.where(F.col("state").isNotNull()).select(*hops.columns, "sent", F.col("state").alias("status")).withColumns(none)
-    early = hops.where(F.col("early_status").isNotNull()).withColumns({"sent": F.lit(None).cast("string"), "status": F.col("early_status"), **none})
-    every = answered.unionByName(failed).unionByName(early.select(*answered.columns))
-    return every.select(
+    picked = pick_paragraphs(wanted, paragraphs, pages)
+    return keyed.drop("page_id").join(picked.drop("page_id"), "target_id", "left").select(
         "sample_id", "hop_pos",
         T.relation_question(F.col("relation"), F.col("query_entity")).alias("question"),
         F.col("value").alias("answer"), "entity", "screenshot", "sentence_ids",
-        "status", "para_ord",
+        F.coalesce("state", "status").alias("status"), "para_ord",
         F.when(F.col("para_ord").isNotNull(), F.array("x1", "y1", "x2", "y2")).alias("bbox"),
         F.coalesce("sent", F.lit("")).alias("target_sentence"), "coverage", "score",
     )

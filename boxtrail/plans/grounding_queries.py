@@ -215,7 +215,7 @@ def coverage_pick(t):
         "page_id", F.md5(F.concat_ws("\u0001", "value", "sent")).alias("target_id"), "value", F.col("sent").alias("text")
     ).dropDuplicates(["page_id", "target_id"])
     pages = t.page_of.where("side_table = 'ok'").select("page_id", "image_height")
-    picked = G.pick_paragraphs(targets, t.paragraphs, pages, direct_limit=20)
+    picked = G.pick_paragraphs(targets, t.paragraphs, pages)
     return picked.where("para_ord IS NOT NULL").select("target_id", "page_id", "para_ord", F.round("coverage", 6).alias("coverage"), "has_value")
 
 

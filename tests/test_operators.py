@@ -4,6 +4,7 @@ import glob
 import json
 import os
 import random
+import re
 import struct
 import time
 import zlib
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxtrail.functions import parsing as J, register, scoring
-from boxtrail.operators import assemble as A, containment, evaluation as E, grounding as G, logs as L, records as RO, sampling as S
+from boxtrail.operators import assemble as A, containment, evaluation as E, grounding as G, logs as L, phrases, records as RO, sampling as S
 from boxtrail.sources import headers, json_objects, readers, writers
 from boxtrail.streaming import scorer
 from tests.test_functions import reference_similarity
@@ -40,6 +41,58 @@ def test_grounding_routes_equal_brute_force(spark, limit):
     assert found == want
 
 
+def test_picked_paragraphs_equal_brute_force(spark):
+    """Repeated words, phrases at the edges and over them, values of several words, absent words, nulls and empty texts."""
+    rnd = random.Random(5)
+    vocab = [f"w{i}" for i in range(12)] + ["the", "of"] * 3
+    text = lambda n: rnd.choice([" ", ", ", "-"]).join(rnd.choice(vocab) for _ in range(n))
+    paras = [(p, o, text(rnd.randint(6, 20)), 0, 10 * o, 100, 10 * o + rnd.choice([4, 8])) for p in range(4) for o in range(20)]
+    paras += [(0, 90, None, 0, 0, 100, 9), (0, 91, "", 0, 0, 100, 9), (None, 92, text(9), 0, 0, 100, 9)]
+    targets = [(p, f"{p}-{i}", text(rnd.randint(1, 3)), text(rnd.randint(1, 7))) for p in range(5) for i in range(25)]
+    targets += [(1, "blank", "w1", ""), (1, "null", "w1", None), (1, "none", None, "w1 w2"), (1, "odd", "!", "w3 zz"), (2, "far", "zz w1", "the of")]
+    got = G.pick_paragraphs(
+        spark.createDataFrame(targets, "page_id long, target_id string, value string, text string"), spark.createDataFrame(paras, PARA),
+        spark.createDataFrame([(0, 1_000), (1, None), (2, 150), (3, 2)], "page_id long, image_height int"),
+    )
+    found = {r["target_id"]: (r["status"], r["para_ord"], r["score"] and round(r["score"], 9)) for r in got.collect()}
+    words = lambda t: re.sub("[^a-z0-9]+", " ", (t or "").lower()).strip()
+    heights = {0: 1_000, 1: None, 2: 150, 3: 2}
+    want = {}
+    for page, target, value, sent in targets:
+        if not sent:
+            want[target] = ("no_target_sent", None, None)
+            continue
+        large = [x for x in paras if x[0] == page and page in heights and x[5] - x[3] >= 80 and x[6] - x[4] >= 5]
+        low = [x for x in large if heights[page] is not None and x[6] > heights[page]]
+        usable = [x for x in large if x not in low and len((x[2] or "").split()) >= 8]
+        content = {w for w in words(sent).split() if len(w) > 1 and w not in ("the", "of")}
+        best = None
+        for x in usable:
+            share = len(content & set(words(x[2]).split())) / len(content) if content else 0.0
+            holds = bool(words(value)) and f" {words(value)} " in f" {words(x[2])} "
+            best = max(filter(None, [best, (share + 0.2 * holds, share, -x[4], -x[1], holds)]))
+        tail = "_oob" if low else ""
+        if not usable:
+            want[target] = ("no_candidates" + tail, None, None)
+        elif best[0] < 0.4:
+            want[target] = ("below_threshold" + tail, None, None)
+        else:
+            want[target] = ("val_match" if best[4] else "sim_only", -best[3], round(best[0], 9))
+    assert found == want
+    assert {s for s, _, _ in want.values()} >= {"val_match", "sim_only", "below_threshold", "no_target_sent", "no_candidates"}
+
+
+def test_candidates_of_one_hot_page(spark):
+    """Of a thousand like paragraphs only those with the rare word leave the index, each once with all its places."""
+    paras = [(7, o, ["a", "b"] * 5 + (["rare", "b", "rare", "b"] if o % 100 == 0 else [])) for o in range(1_000)]
+    texts = spark.createDataFrame(paras, "page_id long, para_ord int, words array<string>")
+    targets = spark.createDataFrame([(7, "t", "b rare", ["rare"]), (7, "u", "rare zz", []), (7, "v", None, None), (8, "t", "a", ["a"])], "page_id long, target_id string, phrase string, tokens array<string>")
+    got = phrases.candidates(targets, texts, 0.4).collect()
+    assert sorted((r["target_id"], r["para_ord"], sorted(r["starts"])) for r in got) == [("t", o, [9, 11]) for o in range(0, 1_000, 100)]
+    nothing = phrases.candidates(targets.limit(0), texts, 0.4).unionByName(phrases.candidates(targets, texts.limit(0), 0.4))
+    assert nothing.count() == 0
+
+
 def test_context_first_wins_and_meta_semi_join(spark):
     entries = spark.createDataFrame([(2, 0, "A", ["late"]), (1, 1, "A", ["x", "y"]), (1, 0, "B", ["b"])], "sample_id long, ctx_pos int, entity string, sents array<string>")
     assert sorted(map(tuple, A.first_context(entries).collect())) == [("A", 0, "x"), ("A", 1, "y"), ("B", 0, "b")]
