@@ -1,7 +1,8 @@
 """Page layout snapshots -> paragraph boxes, and locating sentences on a page.
 
 A layout row holds one page with its elements nested, so everything up to the
-exploded paragraph table happens inside the row: no shuffle.
+exploded paragraph table happens inside the row: no shuffle. Pages too long for
+that come as element rows and go through an interval join.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ LINE_MIN_WIDTH, LINE_MIN_HEIGHT = 3, 2
 SEARCH_MIN_WIDTH = 50
 # -----------------------------------------------------------------------------
 
+# Height of the page strips in which lines meet floats; any value gives the same rows.
+STRIP = 512
+
 
 def visible_elements(elements: DataFrame, text_chars: int | None = None, class_chars: int | None = None) -> DataFrame:
     """Rendered elements worth keeping in a snapshot.
@@ -119,6 +123,57 @@ def layout_to_paragraphs(layout: DataFrame, text_chars: int | None = None, max_h
     return select_where(kept, ["page_id", F.col("el_ord").alias("para_ord"), "text"], box, fits)
 
 
+def _strips(top: Column, bottom: Column) -> Column:
+    """Numbers of the page strips between two edges, both included, in whichever order they are; null for a null edge."""
+    number = lambda y: F.floor(y / STRIP)
+    return F.sequence(number(F.least(top, bottom)), number(F.greatest(top, bottom)))
+
+
+def clip_lines(lines: DataFrame, floats: DataFrame) -> DataFrame:
+    """Lines with their right edge moved left of every float they overlap vertically, as an interval join.
+
+    ``lines`` is (page_id, el_ord, x1, y1, x2, y2), ``floats`` is (page_id, left, top, bottom) with top above bottom. Both
+    are cut into page strips: an overlap has a point in some strip of either, and the least edge does not mind being found
+    in two, so lines meet only the floats of their own strips and a long page spreads over as many tasks as it has strips.
+    Equal lines of an element become one. Lines with a null edge pass unchanged, lines left without width are dropped.
+    """
+    edges = ["x1", "y1", "x2", "y2"]
+    # Edges are whole pixels, as in the row-wise form; a line without edges lies in no strip and stays by the outer explode.
+    cut = lines.select("page_id", "el_ord", *edges, F.explode_outer(_strips(F.col("y1"), F.col("y2"))).alias("strip"))
+    walls = floats.select(
+        F.col("page_id").alias("on"), "left", "top", "bottom", F.explode(_strips(F.col("top"), F.col("bottom"))).alias("at")
+    ).distinct()
+    meets = (F.col("page_id") == F.col("on")) & (F.col("strip") == F.col("at")) & (F.col("y2") > F.col("top")) & (F.col("y1") < F.col("bottom"))
+    nearest = cut.join(walls, meets, "left").groupBy("page_id", "el_ord", *edges).agg(F.min("left").alias("left"))
+    return nearest.withColumn("x2", F.least("x2", "left")).where(F.col("x2") > F.col("x1")).select("page_id", "el_ord", *edges)
+
+
+def element_rows_to_paragraphs(elements: DataFrame, text_chars: int | None = None, max_height: int | None = None) -> DataFrame:
+    """``layout_to_paragraphs`` for pages kept as one row per element, so that no page has to fit one row or one task.
+
+    ``elements`` is (page_id, el_ord, tag, cls, text, bcr, float, line_rects) with (page_id, el_ord) unique. Rows are the
+    same; see there for the optional limits. An empty table gives no rows.
+    """
+    whole = F.struct("cls", "float", "bcr")
+    floats = elements.where(_is_float(whole)).select("page_id", F.explode(float_areas(F.array(whole))).alias("r")).select("page_id", "r.*")
+    texts = select_where(
+        elements.where(F.col("tag").isin(*TEXT_TAGS)), ["page_id", "el_ord", "bcr", "line_rects"],
+        F.struct(T.clean_text(F.col("text")).alias("text")), lambda s: F.length(s["text"]) > 0,
+    )
+    has_lines = F.size(F.coalesce("line_rects", F.array().cast("array<array<int>>"))) > 0
+    rects = texts.select("page_id", "el_ord", F.explode(F.when(has_lines, F.col("line_rects")).otherwise(F.array("bcr"))).alias("r"))
+    lines = rects.select("page_id", "el_ord", *[F.get("r", i).cast("int").alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
+    boxes = clip_lines(lines, floats).groupBy("page_id", "el_ord").agg(
+        F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2")
+    )
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    big = (w > MIN_WIDTH) & (h > MIN_HEIGHT)
+    kept = boxes.where(big if max_height is None else big & (h < max_height))
+    return texts.join(kept, ["page_id", "el_ord"]).select(
+        "page_id", F.col("el_ord").alias("para_ord"), _cut("text", text_chars).alias("text"), "x1", "y1", "x2", "y2"
+    )
+
+
 def locatable_elements(layout: DataFrame) -> DataFrame:
     """Text elements with their order and their number among non-empty elements."""
     tagged = F.filter("elements", lambda e: e["tag"].isin(*TEXT_TAGS))

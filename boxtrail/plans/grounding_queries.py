@@ -116,6 +116,12 @@ def layout_paragraphs(t):
     return L.layout_to_paragraphs(t.layout)
 
 
+@query("layout_paragraph_rows", with_ctes("layout_box", "SELECT * FROM layout_box"))
+def layout_paragraph_rows(t):
+    """The same paragraphs from one row per element, by the interval join."""
+    return L.element_rows_to_paragraphs(t.layout_elements)
+
+
 @query("visible_elements", with_ctes("element", """SELECT page_id, el_ord, tag, cls, text,
     CASE WHEN el_ord % 6 = 0 THEN 0 ELSE len(list_filter(range(1 + length(text) // 120), lambda j: least(900, 5 * length(text)) - j * 15 > 3)) END::INT AS n_lines
     FROM element WHERE bx2 > bx1 AND by2 > by1 AND (length(regexp_replace(text, '[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+', '', 'g')) > 0 OR tag IN ('IMG', 'FIGURE'))"""))

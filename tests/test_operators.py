@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxtrail.functions import parsing as J, register, scoring
-from boxtrail.operators import assemble as A, containment, evaluation as E, grounding as G, logs as L, phrases, records as RO, sampling as S
+from boxtrail.operators import assemble as A, containment, evaluation as E, grounding as G, layout, logs as L, phrases, records as RO, sampling as S
 from boxtrail.sources import headers, json_objects, readers, writers
 from boxtrail.streaming import scorer
 from tests.test_functions import reference_similarity
@@ -93,6 +93,46 @@ def test_candidates_of_one_hot_page(spark):
     assert nothing.count() == 0
 
 
+LAYOUT_ELEMENT = "tag string, cls string, text string, bcr array<int>, float string, line_rects array<array<int>>"
+
+
+@pytest.mark.parametrize("strip", [512, 7])
+def test_element_rows_equal_nested_pages(spark, monkeypatch, strip):
+    """Floats over several strips, lines touching their edges, lines upside down or without height, null and missing rectangles."""
+    monkeypatch.setattr(layout, "STRIP", strip)
+    rnd = random.Random(8)
+
+    def rect(tall):
+        x, y = rnd.randint(0, 600), rnd.randint(-40, 900)
+        return [x, y, x + rnd.randint(0, 400), y + rnd.choice([-3, 0, 1, 16, tall])]
+
+    def element():
+        kind = rnd.randint(0, 5)
+        lines = [rect(60) for _ in range(rnd.randint(0, 5))] + ([None] if kind == 1 else [])
+        box = None if kind == 2 and not lines else rect(300)
+        return (rnd.choice(["P", "LI", "DIV"]), rnd.choice(["", None, "Infobox"]), rnd.choice(["some text", " ", None]), box, rnd.choice(["right", "none", None, "none"]), None if kind == 3 else lines)
+
+    pages = [(p, [element() for _ in range(40)]) for p in range(4)] + [(9, [])]
+    nested = spark.createDataFrame(pages, f"page_id long, elements array<struct<{LAYOUT_ELEMENT.replace(' ', ':').replace(',:', ',')}>>")
+    rows = spark.createDataFrame([(p, i, *e) for p, es in pages for i, e in enumerate(es)], f"page_id long, el_ord int, {LAYOUT_ELEMENT}")
+    for limits in ({}, {"text_chars": 4, "max_height": 200}):
+        want = sorted(map(tuple, layout.layout_to_paragraphs(nested, **limits).collect()))
+        assert want and sorted(map(tuple, layout.element_rows_to_paragraphs(rows, **limits).collect())) == want
+    assert layout.element_rows_to_paragraphs(rows.limit(0)).count() == 0
+
+
+def test_lines_of_one_long_page_spread_over_tasks(spark):
+    lines = spark.range(100_000).selectExpr("1L AS page_id", "CAST(id AS int) AS el_ord", "0 AS x1", "CAST(20 * id AS int) AS y1", "500 AS x2", "CAST(20 * id + 16 AS int) AS y2")
+    floats = spark.range(1_000).selectExpr("1L AS page_id", "CAST(300 + id % 7 AS int) AS left", "CAST(2000 * id AS int) AS top", "CAST(2000 * id + 1000 AS int) AS bottom")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = layout.clip_lines(lines, floats).withColumn("part", F.spark_partition_id())
+        by_part = got.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x2") < 500).alias("cut")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(by_part) == 4 and sum(r["n"] for r in by_part) == 100_000 and sum(r["cut"] for r in by_part) == 50_000
+
+
 def test_context_first_wins_and_meta_semi_join(spark):
     entries = spark.createDataFrame([(2, 0, "A", ["late"]), (1, 1, "A", ["x", "y"]), (1, 0, "B", ["b"])], "sample_id long, ctx_pos int, entity string, sents array<string>")
     assert sorted(map(tuple, A.first_context(entries).collect())) == [("A", 0, "x"), ("A", 1, "y"), ("B", 0, "b")]
