@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, functions as F
 
 from boxtrail.functions.binding import bind
@@ -16,6 +18,14 @@ ANSWER_PHRASES = (
 )
 # -----------------------------------------------------------------------------
 
+# Strings, number words and everything between them, without loss.
+JSON_PIECES = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?Infinity|NaN|[^"NI\-]++|.'
+# JSON has no such numbers: they are read as texts with this mark, followed by the spelling answers are compared in.
+MARK = "\u0000"
+NUMBER_WORDS = {"NaN": "nan", "Infinity": "inf", "-Infinity": "-inf"}
+# Box in place of one with a coordinate that is no finite number: it overlaps nothing and its center lies in no image.
+NOWHERE = (-1.0, -1.0, -1.0, -1.0)
+
 CHAIN_TYPE = "array<struct<hop:int,image_id:string,bboxes:array<array<double>>>>"
 NO_BOXES = "array<array<double>>"
 
@@ -49,8 +59,36 @@ def json_whole(text: Column) -> Column:
     return F.when(closed, bind(listed, lambda items: F.when(F.size(items) == 1, F.get(items, 0))))
 
 
+def has_number_words(text: Column) -> Column:
+    return F.contains(text, F.lit("NaN")) | F.contains(text, F.lit("Infinity"))
+
+
+def marked_numbers(text: Column) -> Column:
+    """``NaN``, ``Infinity`` and ``-Infinity`` outside strings as marked texts, everything else as it is."""
+    def piece(x: Column) -> Column:
+        shown = x
+        for word, spelling in NUMBER_WORDS.items():
+            shown = F.when(x == word, F.lit(f'"\\u0000{spelling}"')).otherwise(shown)
+        return shown
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(JSON_PIECES), F.lit(0)), piece), "")
+
+
+def _with_number_words(text: Column, parse: Callable[[Column], Column]) -> Column:
+    """``parse`` of the text; only the few texts with number words are rewritten first."""
+    return F.when(has_number_words(text), bind(marked_numbers(text), parse)).otherwise(parse(text))
+
+
+def _is_marked(text: Column) -> Column:
+    return F.coalesce(F.startswith(text, F.lit(MARK)), F.lit(False))
+
+
 def parse_lenient(text: Column) -> Column:
-    """Variant found in model output: whole text, else the first ``{...}`` value."""
+    """Variant found in model output: whole text, else the first ``{...}`` value. ``NaN`` and infinities are numbers."""
+    return _with_number_words(text, _parse_lenient)
+
+
+def _parse_lenient(text: Column) -> Column:
     blob = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
     # A text that opens with an object needs one parse: its first complete value
     # is the answer, whether or not other text follows.
@@ -83,7 +121,8 @@ def scalar_text(v: Column) -> Column:
 
 def _number_text(x: Column) -> Column:
     """Whole values of non-integer literals end in ``.0``."""
-    plain = x.cast("string")
+    written = x.cast("string")
+    plain = F.when(_is_marked(written), F.substring(written, 2, 4)).otherwise(written)
     fraction = F.coalesce(_kind(x).rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.lit(False)) & ~plain.rlike("[.EeIN]")
     return F.when(fraction, F.concat(plain, F.lit(".0"))).otherwise(plain)
 
@@ -99,7 +138,7 @@ def _quoted(x: Column) -> Column:
     return (
         F.when(x.isNull() | F.is_variant_null(x), F.lit("None"))
         .when(_kind(x) == "BOOLEAN", F.initcap(text))
-        .when(_kind(x) == "STRING", as_text)
+        .when((_kind(x) == "STRING") & ~_is_marked(text), as_text)
         .otherwise(_number_text(x))
     )
 
@@ -131,20 +170,27 @@ def _text_or_empty(v: Column) -> Column:
 
 
 def box_list(v: Column) -> Column:
-    """Boxes from ``[x1,y1,x2,y2]`` (numbers only) or ``[[...], ...]``; bad items are skipped."""
+    """Boxes from ``[x1,y1,x2,y2]`` (numbers only) or ``[[...], ...]``; bad items are skipped.
+
+    A box with ``NaN`` or an infinite coordinate counts as a box that matches nothing.
+    """
     none = F.array().cast(NO_BOXES)
     return bind(v, lambda x: F.when(_is_array(x), bind(_items(x), _boxes_of)).otherwise(none))
 
 
 def _boxes_of(items: Column) -> Column:
-    is_number = lambda x: ~F.coalesce(_kind(x).rlike("^(STRING|VOID|ARRAY|OBJECT)"), F.lit(True))
+    is_number = lambda x: ~F.coalesce(_kind(x).rlike("^(STRING|VOID|ARRAY|OBJECT)"), F.lit(True)) | _is_marked(
+        F.try_variant_get(x, "$", "string")
+    )
     flat = (F.size(items) == 4) & F.forall(items, is_number)
     one = F.array(F.transform(items, lambda x: F.try_variant_get(x, "$", "double")))
 
     four = F.filter(items, lambda b: _is_array(b) & (F.size(_items(b)) == 4))
     read = F.transform(four, lambda b: F.transform(_items(b), lambda x: F.try_variant_get(x, "$", "double")))
     good = F.filter(read, lambda b: F.forall(b, lambda x: x.isNotNull()))
-    return F.when(flat, one).otherwise(good)
+    finite = lambda b: F.forall(b, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    nowhere = F.array(*[F.lit(x) for x in NOWHERE])
+    return F.transform(F.when(flat, one).otherwise(good), lambda b: F.when(finite(b), b).otherwise(nowhere))
 
 
 def _hop_number(v: Column) -> Column:
@@ -211,6 +257,10 @@ def _with_answer(v: Column) -> Column:
 
 def parse_strict(text: Column) -> Column:
     """Object with an ``answer`` key from the text, a fenced block, or the outer braces."""
+    return _with_number_words(text, _parse_strict)
+
+
+def _parse_strict(text: Column) -> Column:
     bare = strip_ws(text)
     fenced = F.nullif(F.regexp_extract(bare, FENCED_OBJECT, 1), F.lit(""))
     outer = F.nullif(F.regexp_extract(bare, r"(?s)\{.*\}", 0), F.lit(""))

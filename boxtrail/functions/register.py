@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from boxtrail.functions.parsing import JSON_PIECES, NUMBER_WORDS
 from boxtrail.functions.text import ARTICLES, WS
 
 
@@ -13,6 +14,7 @@ def _literal(pattern: str) -> str:
 
 _SPACES, _ARTICLE = _literal(WS + "+"), _literal(ARTICLES)
 _LISTED = "try_variant_get(try_parse_json(concat('[', t, ']')), '$', 'array<variant>')"
+_WORDS = " ".join(f"WHEN '{word}' THEN '\"\\\\u0000{spelling}\"'" for word, spelling in NUMBER_WORDS.items())
 _PUNCT = "!\"#$%&''()*+,-./:;<=>?@[\\\\]^_`{|}~"
 _BOX_AREA = "greatest(0, {b}[2] - {b}[0]) * greatest(0, {b}[3] - {b}[1])"
 _OVERLAP = (
@@ -36,11 +38,15 @@ FUNCTIONS = {
         "(p[0] + p[2]) / 2 BETWEEN g[0] AND g[2] AND (p[1] + p[3]) / 2 BETWEEN g[1] AND g[3]"
     ),
     "bt_match(p ARRAY<DOUBLE>, g ARRAY<DOUBLE>) RETURNS BOOLEAN": "bt_iou(p, g) >= 0.3 OR bt_center_inside(p, g)",
-    "bt_parse(t STRING) RETURNS VARIANT": (
+    "bt_plain_json(t STRING) RETURNS VARIANT": (
         "CASE WHEN startswith(ltrim(t), '{') THEN try_parse_json(t) ELSE coalesce("
         f"CASE WHEN try_parse_json(concat('{{\"v\":', t, '}}')) IS NOT NULL AND size({_LISTED}) = 1 THEN get({_LISTED}, 0) END, "
         "try_parse_json(nullif(regexp_extract(t, '(?s)\\\\{.*\\\\}', 0), ''))) END"
     ),
+    "bt_parse(t STRING) RETURNS VARIANT": (
+        "CASE WHEN contains(t, 'NaN') OR contains(t, 'Infinity') THEN bt_plain_json(array_join(transform("
+        f"regexp_extract_all(t, {_literal(JSON_PIECES)}, 0), x -> CASE x {_WORDS} ELSE x END), '')) ELSE bt_plain_json(t) END"
+    ),
 }
 
 

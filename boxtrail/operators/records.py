@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boxtrail.functions import geometry as G, prompts as P, records as R, text as T
@@ -13,6 +16,7 @@ EVAL_RESOLUTION = 1024
 MAX_PIXELS = 1_048_576
 JITTER = (0.9, 1.1)
 OVERLAY_COLOURS = 8
+TARGET_KEYS = ("answer", "evidence_chain")
 # -----------------------------------------------------------------------------
 
 
@@ -235,15 +239,21 @@ def record_violations(records: DataFrame) -> DataFrame:
     return records.select("sample_id", F.explode(every).alias("v")).select("sample_id", "v.rule", "v.hop")
 
 
-def mask_violations(masked: DataFrame) -> DataFrame:
-    """Rows whose labels are empty or whose supervised part is not one run."""
+def mask_violations(masked: DataFrame, decoded: str | None = None) -> DataFrame:
+    """Rows whose labels are empty, whose supervised part is not one run, or whose supervised text is no target.
+
+    ``decoded`` names the column with the text of the supervised tokens; without it that rule is left out. A target has
+    the keys of ``TARGET_KEYS``; a null text has none.
+    """
     on = F.transform("labels", lambda x: x != R.IGNORED_LABEL)
     n_on = F.size(F.filter(on, lambda x: x))
+    keys = [F.contains(F.col(decoded), F.lit(f'"{key}"')) for key in TARGET_KEYS] if decoded else []
+    no_target = F.lit(False) if not keys else ~F.coalesce(reduce(and_, keys), F.lit(False))
     first = F.array_position(on, True)
     last = F.size(on) - F.array_position(F.reverse(on), True) + 1
     return masked.select(
         "row_id",
-        F.when(n_on == 0, "no_labels").when(last - first + 1 != n_on, "not_contiguous").alias("rule"),
+        F.when(n_on == 0, "no_labels").when(last - first + 1 != n_on, "not_contiguous").when(no_target, "no_target").alias("rule"),
     ).where(F.col("rule").isNotNull())
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from boxtrail.functions import geometry as G, parsing as J, scoring as S, text as T
-from boxtrail.operators import evaluation as E, logs as L
+from boxtrail.operators import evaluation as E, logs as L, records
 from boxtrail.plans.registry import query
 from boxtrail.plans.sql import center, iou, match, norm_paper, norm_train, with_ctes
 from boxtrail.runtime import new_shared_path
@@ -170,6 +170,15 @@ def lenient_parse(t):
     return read.select("idx", "parse_ok", "answer", F.size("chain").alias("n_hops"), shown.alias("chain"))
 
 
+@query("target_key_violations", with_ctes("prediction", """SELECT idx AS row_id, CASE WHEN idx % 7 = 0 THEN 'no_labels' WHEN idx % 7 = 1 THEN 'not_contiguous' ELSE 'no_target' END AS rule FROM prediction
+    WHERE idx % 7 < 2 OR NOT (contains(pred_text, '"answer"') AND contains(pred_text, '"evidence_chain"'))"""))
+def target_key_violations(t):
+    """Output texts as the decoded supervised part; labels of some rows are empty or in two runs."""
+    labels = F.when(F.col("idx") % 7 == 0, F.array(F.lit(-100))).when(F.col("idx") % 7 == 1, F.array(F.lit(5), F.lit(-100), F.lit(5)))
+    rows = t.predictions.select(F.col("idx").alias("row_id"), "pred_text", F.coalesce(labels, F.array(F.lit(-100), F.lit(5), F.lit(5))).alias("labels"))
+    return records.mask_violations(rows, decoded="pred_text")
+
+
 @query("strict_parse", with_ctes("prediction", """, s AS (SELECT idx, pred_text AS x, CASE WHEN json_valid(pred_text) THEN pred_text WHEN json_valid(regexp_extract(pred_text, '(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```', 1)) THEN regexp_extract(pred_text, '(?s)```(?:json)?\\s*(\\{.*?\\})\\s*```', 1)
         WHEN json_valid(regexp_extract(pred_text, '(?s)\\{.*\\}')) THEN regexp_extract(pred_text, '(?s)\\{.*\\}') END AS v FROM prediction),
     c AS (SELECT *, coalesce(from_json(v -> '$.evidence_chain', '[{"hop":"BIGINT","image_id":"VARCHAR","bboxes":[["DOUBLE"]]}]'), []) AS chain FROM s)

@@ -105,6 +105,8 @@ PARSE = [
     ("", 0, None, 0), (None, 0, None, 0), ("5", 1, None, 0), ("[1]", 1, None, 0), ("{}", 0, None, 0), ("5 apples", 0, None, 0),
     ('{"answer":["a","b"],"bbox":["1","2","3","4"]}', 1, "a, b", 0),
     ('{"answer":1,"bboxes":[["1",2,3,4],[1,2,3]]}', 1, "1", 1),
+    ('{"answer":NaN,"bbox":[1,2,NaN,4]}', 1, "nan", 1), ('so {"answer":[-Infinity, Infinity, "NaN"]} ok', 1, "-inf, inf, NaN", 0),
+    ('{"answer":"say \\"NaN\\" or -Infinity","bboxes":[]}', 1, 'say "NaN" or -Infinity', 0), ('NaN', 1, None, 0), ('{"answer": NaNs}', 0, None, 0),
     ('{"answer":"a","answer":"b"}', 1, "b", 0),
     ('pre {"answer":"}","evidence_chain":[{"hop":"x","image_id":"img_1","bboxes":[[1,2,3,4]]},7,{"hop":5}]}', 1, "}", 2),
 ]
@@ -148,6 +150,19 @@ def test_answer_texts(spark):
     assert got == [want for _, want in SCALARS]
 
 
+def test_number_words_in_boxes_match_nothing(spark):
+    """Such boxes count as predictions, in either form and as texts too, but overlap no gold box."""
+    rows = [("[NaN,0,10,10]",), ("[[0,0,Infinity,10],[0,0,10,10]]",), ('[["nan",0,10,10],["x",0,1,1]]',), ("[-Infinity,-Infinity,Infinity,Infinity]",)]
+    df = spark.createDataFrame([(i, f'{{"hop": NaN, "answer": {{"a": NaN}}, "evidence_chain": [{{"hop": Infinity, "bboxes": {r[0]}}}]}}') for i, r in enumerate(rows)], "i int, t string")
+    v = df.withColumn("v", J.parse_lenient(F.col("t"))).select("i", J.predicted_chain(F.col("v")).alias("c"), J.scalar_text(F.try_variant_get("v", "$.answer", "variant")).alias("a"), J.strict_chain(J.parse_strict(F.col("t"))).alias("s"))
+    nowhere, gold = list(J.NOWHERE), [0.0, 0.0, 10.0, 10.0]
+    got = {r["i"]: (r["c"][0]["hop"], r["c"][0]["bboxes"], r["a"], [e["bboxes"] for e in r["s"]]) for r in v.collect()}
+    assert got[0][:3] == (1, [nowhere], "{'a': nan}") and got[1][:2] == (1, [nowhere, gold]) and got[2][1] == [nowhere] and got[3][1] == [nowhere]
+    assert got[0][3] == [[]] and got[1][3] == [[[0, 0, 10, 10]]]
+    hit = spark.createDataFrame([(nowhere, gold)], "p array<double>, g array<double>").select(G.relaxed_match(F.col("p"), F.col("g"))).first()[0]
+    assert hit is False
+
+
 def test_hop_numbers(spark):
     hops = ['"3.0"', '"7"', '" -2 "', "2.9", "true", '"x"', "[4]", "null"]
     t = '{"evidence_chain":[' + ",".join(f'{{"hop":{h}}}' for h in hops) + "]}"
