@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from boxtrail.functions import geometry as G, text as T
 from boxtrail.functions.binding import select_where
 from boxtrail.operators.containment import containing
+from boxtrail.runtime import materialize
 
 # ---- Fixed values -----------------------------------------------------------
 TEXT_TAGS = ("P", "TD", "TH", "LI", "DD", "DT", "CAPTION", "FIGCAPTION")
@@ -192,19 +193,21 @@ def locate_by_text(targets: DataFrame, layout: DataFrame, prefix: int | None = N
     """First fitting element of the page whose text contains the whole sentence, or its first ``prefix`` characters.
 
     ``targets`` is ``(page_id, sid, sent)``. Equal texts of a page are searched
-    once, through the containment index; only the first hit leaves the aggregate.
+    once, through the containment join; only the first hit leaves the aggregate. The texts are written to the shared
+    folder while the plan is built, as they are counted and searched.
     """
     w, h = G.width(F.col("box")), G.height(F.col("box"))
     fit = (w > SEARCH_MIN_WIDTH) & (h > MIN_HEIGHT)
     fit = fit if max_height is None else fit & (h < max_height)
     elements = locatable_elements(layout).where((F.col("kind") == "text") & fit)
-    first = elements.groupBy("page_id", "text").agg(F.min("ord").alias("text_id"), F.min_by("box", "ord").alias("box"))
+    first = materialize(
+        elements.groupBy("page_id", "text").agg(F.min("ord").alias("text_id"), F.min_by("box", "ord").alias("box")), "page_texts"
+    )
     start = F.trim("sent") if prefix is None else F.substring(F.trim("sent"), 1, prefix)
     needle = F.replace(start, F.lit("\n"), F.lit(" "))
     wanted = targets.where(F.length(F.trim("sent")) > 0).select("page_id", "sid", needle.alias("needle"))
-    hits = containing(wanted, first).groupBy("page_id", "needle").agg(F.min("text_id").alias("text_id"))
-    placed = hits.join(first.select("page_id", "text_id", F.col("box").alias("text_box")), ["page_id", "text_id"])
-    return wanted.join(placed, ["page_id", "needle"]).groupBy("page_id", "sid").agg(F.min_by("text_box", "text_id").alias("text_box"))
+    hits = containing(wanted, first, needle_carry=("sid",), text_carry=("box",))
+    return hits.groupBy("page_id", "sid").agg(F.min_by("box", "text_id").alias("text_box"))
 
 
 def locate_by_ordinal(targets: DataFrame, layout: DataFrame) -> DataFrame:

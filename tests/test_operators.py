@@ -566,3 +566,13 @@ def test_training_records_with_candidates(spark):
     assert {tuple(r.gold_image_ids) for r in moved} == {("img_2", "img_1"), ("img_1", "img_2")}
     plain = RO.build_training_records(samples.drop("candidates"), images, split="train", evidence_permutation=True, seed=1).collect()
     assert len(plain) == 20 and {tuple(r.gold_image_ids) for r in plain} == {("img_0", "img_1")} and len({r.evidence_chain[0]["entity"] for r in plain}) == 2
+
+
+def test_long_pages_are_searched_by_the_index_with_the_same_rows(spark):
+    """Short pages are joined directly, long ones go through the index; both carry columns of either side."""
+    texts = spark.createDataFrame([(p, i, f"t{i % 7} word{i} end", i * 2) for p, n in ((1, 12), (2, 5), (3, 9)) for i in range(n)], "page_id int, text_id int, text string, box int")
+    needles = spark.createDataFrame([(p, s, v) for p in (1, 2, 3, 4) for s, v in enumerate(["t1 word1", "t1 word1", "word", "", "zz", None])], "page_id int, sid int, needle string")
+    rows = lambda limit: sorted(map(tuple, containment.containing(needles, texts, needle_carry=("sid",), text_carry=("box",), direct_limit=limit).collect()))
+    plan = containment.containing(needles, texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(0) == rows(8) == rows(100) and len(rows(8)) == 26 * 2 + 3 * 2
+    assert "Generate" not in plan  # no gram of a short page becomes a row
