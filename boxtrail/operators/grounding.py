@@ -471,15 +471,13 @@ def find_by_value(targets: DataFrame, paragraphs: DataFrame) -> DataFrame:
     sized = paragraphs.where((width() >= MIN_LEGACY_WIDTH) & (height() >= MIN_PICK_HEIGHT)).withColumnRenamed(
         "text", "para"
     )
-    asked = targets.withColumn("needle", F.lower("value"))
-    held = containing(asked, sized.select("page_id", F.col("para_ord").alias("text_id"), F.lower("para").alias("text")))
-    places = held.withColumnRenamed("text_id", "para_ord")
-    holds = asked.join(places, ["page_id", "needle"]).join(sized, ["page_id", "para_ord"])
-    tokens = holds.withColumns({"_a": T.word_tokens(F.col("text")), "_b": T.word_tokens(F.col("para"))})
-    common = T.multiset_overlap(F.col("_a"), T.spaced_tokens(F.col("_a")), T.spaced_tokens(F.col("_b")))
-    scored = tokens.withColumn("common", common).withColumn(
-        "f1", T.f1_from_counts(F.col("common"), F.size("_b"), F.size("_a"))
-    )
+    # Words are counted once per text; a pair costs one search and one intersection.
+    tagged = lambda c: T.tagged_tokens(T.word_tokens(F.col(c)))
+    asked = targets.select("page_id", "target_id", F.lower("value").alias("needle"), tagged("text").alias("_a"))
+    texts = sized.select("page_id", F.col("para_ord").alias("text_id"), F.lower("para").alias("text"), "x1", "y1", "x2", "y2", tagged("para").alias("_b"))
+    held = containing(asked, texts, needle_carry=("target_id", "_a"), text_carry=("x1", "y1", "x2", "y2", "_b"))
+    counted = held.withColumnRenamed("text_id", "para_ord").withColumn("common", F.size(F.array_intersect("_a", "_b")))
+    scored = counted.withColumn("f1", T.f1_from_counts(F.col("common"), F.size("_b"), F.size("_a")))
     return scored.groupBy("page_id", "target_id").agg(
         F.max_by(
             F.struct("para_ord", "x1", "y1", "x2", "y2", "f1"),

@@ -13,7 +13,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from boxtrail.functions import parsing as J, register, scoring
+from boxtrail.functions import parsing as J, register, scoring, text as T
 from boxtrail.operators import assemble as A, containment, evaluation as E, grounding as G, layout, logs as L, phrases, records as RO, sampling as S
 from boxtrail.sources import headers, json_objects, readers, writers
 from boxtrail.streaming import scorer
@@ -576,3 +576,10 @@ def test_long_pages_are_searched_by_the_index_with_the_same_rows(spark):
     plan = containment.containing(needles, texts)._jdf.queryExecution().optimizedPlan().toString()
     assert rows(0) == rows(8) == rows(100) and len(rows(8)) == 26 * 2 + 3 * 2
     assert "Generate" not in plan  # no gram of a short page becomes a row
+
+
+def test_repeated_words_are_counted_in_linear_time(spark):
+    texts = ["b a b a b", "", None, "a " * 30_000, "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.tagged_tokens(T.word_tokens(F.col("t"))).alias("g"))
+    got = [sorted(r.g or []) for r in df.collect()]
+    assert got == [["a#0", "a#1", "b#0", "b#1", "b#2"], [], [], sorted(f"a#{i}" for i in range(30_000)), ["x#0"]]
