@@ -5,21 +5,21 @@ Input tables
     sentences   (page_id, sid, sent)          sent null = text unknown
     hops        see ``match_hops``
 
-Every target is compared with paragraphs of its own page only. Sentences on
-pages of up to ``DIRECT_LIMIT`` paragraphs are joined directly on the page key,
-so the work grows linearly with the targets and AQE can split a page many
-targets cite. Longer pages, and all values, go through an inverted index with an
-exact overlap bound, so no long page has all its pairs enumerated.
+Every target is compared with paragraphs of its own page only. Targets of pages
+with up to ``DIRECT_LIMIT`` paragraphs meet all of them: both sides are shuffled
+once, by page. Longer pages go through an inverted index with an exact overlap
+bound, so no long page has all its pairs enumerated.
 """
 
 from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from boxtrail.functions import text as T
-from boxtrail.operators.containment import containing
+from boxtrail.operators.containment import containing, long_keys
+from boxtrail.operators.page_scores import all_of_page, best_of_page
 from boxtrail.operators.phrases import candidates, stands_at
 from boxtrail.runtime import materialize
 
@@ -53,110 +53,6 @@ def height() -> Column:
     return F.col("y2") - F.col("y1")
 
 
-# ---- candidate pairs --------------------------------------------------------
-
-def _tagged_tokens(text: Column) -> Column:
-    """Word tokens as set elements: the n-th occurrence of a word is its own element."""
-    ordered = F.array_sort(T.word_tokens(text))
-    # In the sorted array equal words are adjacent, so a word's occurrence number
-    # is its distance from the first equal word; carry it in one pass.
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, tok: Column) -> Column:
-        n = F.when(acc["last"] == tok, acc["n"] + 1).otherwise(F.lit(1))
-        return F.struct(
-            tok.alias("last"), n.alias("n"),
-            F.array_append(acc["out"], F.concat(F.lit("t:"), tok, F.lit("#"), n.cast("string"))).alias("out"),
-        )
-
-    return F.aggregate(ordered, start, step, lambda acc: acc["out"])
-
-
-def _tagged_grams(text: Column) -> Column:
-    return F.transform(T.char_grams(text), lambda g: F.concat(F.lit("g:"), g))
-
-
-# Feature families of a scorer: (features of a text, share of the target's
-# features a qualifying paragraph must contain).
-SIMILARITY_FEATURES = ((_tagged_tokens, TOKEN_SHARE), (_tagged_grams, GRAM_SHARE))
-
-
-def long_pages(paragraphs: DataFrame, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
-    """Pages with more than ``direct_limit`` paragraphs: a partial count over the page key alone."""
-    counted = paragraphs.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
-    return counted.where(F.col("n") > direct_limit).select("page_id")
-
-
-def indexed_candidates(
-    targets: DataFrame,
-    paragraphs: DataFrame,
-    families: tuple[tuple[Callable[[Column], Column], float], ...],
-) -> DataFrame:
-    """(page_id, target_id, para_ord) pairs that can qualify, via shared rare features.
-
-    If a paragraph must hold at least ``t`` of a target's ``n`` features, it
-    holds one of any ``n - t + 1`` of them. Indexing only the ``n - t + 1``
-    rarest features per target is therefore complete, and skips the words that
-    every paragraph shares. Nothing is collected per page: postings stay rows,
-    joined on (page, feature), where AQE may split a skewed feature.
-    """
-    def exploded(df: DataFrame, key: str, make: Callable[[Column], Column]) -> DataFrame:
-        return df.select("page_id", key, F.explode(make(F.col("text"))).alias("feature"))
-
-    found = None
-    for make, share in families:
-        postings = exploded(paragraphs, "para_ord", make)
-        df = postings.groupBy("page_id", "feature").agg(F.count(F.lit(1)).alias("df"))
-        feats = exploded(targets, "target_id", make)
-        # An absent feature cannot produce a pair, yet it counts towards n.
-        sized = feats.join(df, ["page_id", "feature"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
-        rarest = W.partitionBy("page_id", "target_id").orderBy("df", "feature")
-        size = F.count(F.lit(1)).over(W.partitionBy("page_id", "target_id"))
-        need = F.greatest(F.lit(1), F.ceil(size * share - F.lit(1e-9)))
-        prefix = (
-            sized.withColumns({"rank": F.row_number().over(rarest), "keep": size - need + 1})
-            .where((F.col("rank") <= F.col("keep")) & (F.col("df") > 0))
-            .select("page_id", "target_id", "feature")
-        )
-        pairs = prefix.join(postings, ["page_id", "feature"]).select("page_id", "target_id", "para_ord")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.distinct()
-
-
-def candidate_pairs(
-    targets: DataFrame,
-    paragraphs: DataFrame,
-    families: tuple[tuple[Callable[[Column], Column], float], ...],
-    target_features: dict[str, Column],
-    para_features: dict[str, Column],
-    long: DataFrame,
-) -> DataFrame:
-    """Target features next to those of every paragraph of the page that can qualify.
-
-    Both sides carry ``text``; features replace it before the join, so each text
-    is analysed once and not once per pair. Pages listed in ``long`` take the
-    inverted index.
-    """
-    def target_side(df: DataFrame) -> DataFrame:
-        return df.select("page_id", "target_id", *[c.alias(n) for n, c in target_features.items()])
-
-    def para_side(df: DataFrame) -> DataFrame:
-        return df.select("page_id", "para_ord", "x1", "y1", "x2", "y2", *[c.alias(n) for n, c in para_features.items()])
-
-    # Shuffle joins even for small inputs: scoring is the costly part, so its
-    # parallelism must come from the page key and AQE's skew splits, not from
-    # however few files one side happens to have.
-    short_targets = targets.join(long, "page_id", "left_anti")
-    direct = target_side(short_targets).join(para_side(paragraphs).hint("merge"), "page_id")
-    long_targets = targets.join(long, "page_id", "left_semi")
-    long_paras = paragraphs.join(long, "page_id", "left_semi")
-    pairs = indexed_candidates(long_targets, long_paras, families)
-    indexed = pairs.join(target_side(long_targets).hint("merge"), ["page_id", "target_id"]).join(
-        para_side(long_paras).hint("merge"), ["page_id", "para_ord"]
-    )
-    return direct.unionByName(indexed.select(*direct.columns))
-
-
 # ---- sentence grounding -----------------------------------------------------
 
 SENTENCE_FEATURES = {
@@ -188,10 +84,8 @@ def with_similarity(pairs: DataFrame, keep: list[str]) -> DataFrame:
 def page_similarities(sentences: DataFrame, paragraphs: DataFrame) -> DataFrame:
     """Similarity parts of every sentence and sized paragraph of a page (for inspection)."""
     known = sentences.select("page_id", "sid", T.strip_ws(F.col("sent")).alias("text")).where(F.length("text") > 0)
-    sized = _sized(paragraphs)
-    left = known.select("page_id", "sid", *[c.alias(n) for n, c in _made(SENTENCE_FEATURES).items()])
-    right = sized.select("page_id", "para_ord", *[c.alias(n) for n, c in _made(PARAGRAPH_FEATURES).items()])
-    return with_similarity(left.join(right.hint("merge"), "page_id"), ["page_id", "sid", "para_ord"])
+    scored = all_of_page(known.withColumnRenamed("sid", "target_id"), _sized(paragraphs))
+    return scored.select("page_id", F.col("target_id").alias("sid"), "para_ord", "token_f1", "gram_recall", "similarity")
 
 
 def _sized(paragraphs: DataFrame) -> DataFrame:
@@ -220,15 +114,10 @@ def ground_sentences(
         "page_id", F.col("sid").alias("target_id"), trimmed.alias("text")
     )
     sized = _sized(paragraphs)
-    pairs = candidate_pairs(
-        known, sized, SIMILARITY_FEATURES, _made(SENTENCE_FEATURES), _made(PARAGRAPH_FEATURES),
-        long_pages(sized, direct_limit),
-    )
-    keep = ["page_id", "target_id", "para_ord", "x1", "y1", "x2", "y2"]
-    scored = with_similarity(pairs, keep)
-    # Partial aggregation keeps one candidate per target and task before the shuffle.
-    # The threshold is applied to the winner: a filter on the raw scores would be
-    # pushed into the scoring projection and evaluate it again.
+    # One row per target and block of its page; only long pages have more than one block. The threshold is applied to
+    # the winner.
+    long = long_keys(sized.select("page_id"), "page_id", direct_limit)
+    scored = best_of_page(known, sized, (TOKEN_SHARE, GRAM_SHARE), long)
     best = scored.groupBy("page_id", "target_id").agg(
         F.max_by(
             F.struct("para_ord", "x1", "y1", "x2", "y2", "similarity"),

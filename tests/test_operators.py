@@ -583,3 +583,21 @@ def test_repeated_words_are_counted_in_linear_time(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.tagged_tokens(T.word_tokens(F.col("t"))).alias("g"))
     got = [sorted(r.g or []) for r in df.collect()]
     assert got == [["a#0", "a#1", "b#0", "b#1", "b#2"], [], [], sorted(f"a#{i}" for i in range(30_000)), ["x#0"]]
+
+
+def test_sentences_of_short_long_and_cut_pages_are_grounded_alike(spark, monkeypatch):
+    """Page by page, through the index and through an index cut into blocks; no word or gram becomes a row."""
+    rnd = random.Random(11)
+    text = lambda n: " ".join(rnd.choice(["alpha", "beta", "Gamma", "of", "été", "d3lta"]) + rnd.choice(["", "", ",", "😀"]) for _ in range(n))
+    paras = spark.createDataFrame([(p, o, text(rnd.randint(1, 12)), 0, 10 * o, rnd.choice([60, 90]), 10 * o + 8) for p, n in ((1, 3), (2, 40), (3, 15)) for o in range(n)], PARA)
+    asked = [(p, s, text(rnd.randint(1, 6))) for p in (1, 2, 3, 4) for s in range(15)] + [(2, 90, None), (2, 91, " "), (None, 1, "alpha"), (1, 92, "zzzz")]
+    sentences = spark.createDataFrame(asked, "page_id long, sid int, sent string")
+    made = lambda limit: G.ground_sentences(sentences, paras, direct_limit=limit)
+    rows = lambda limit: Counter((r.page_id, r.sid, r.para_ord, r.x2, r.similarity) for r in made(limit).collect())
+    direct = rows(1_000)
+    assert "Generate" not in made(1_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(10) == direct and len(direct) > 40
+    monkeypatch.setattr("boxtrail.operators.page_scores.BLOCK", 4)
+    assert rows(0) == direct
+    parts = {(r.page_id, r.sid, r.para_ord): r.similarity for r in G.page_similarities(sentences, paras).collect()}
+    assert len(parts) == 15 * (3 + 40 + 15) + 3 and all(parts[p, s, o] == v for p, s, o, _, v in direct if v is not None)
