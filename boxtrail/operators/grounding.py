@@ -185,24 +185,83 @@ def _flagged(paragraphs: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def pick_paragraphs(targets: DataFrame, paragraphs: DataFrame, pages: DataFrame) -> DataFrame:
+def pick_paragraphs(
+    targets: DataFrame, paragraphs: DataFrame, pages: DataFrame, direct_limit: int = DIRECT_LIMIT
+) -> DataFrame:
     """Best paragraph for each ``(page_id, target_id, value, text)`` with a status.
 
     Score is coverage of the target sentence plus a bonus when the paragraph
     holds the value; order is score, coverage, top edge, page order.
 
+    Targets of pages with up to ``direct_limit`` paragraphs are compared with
+    all of them: both sides are shuffled once, by page. Longer pages take the
+    index, see ``_picked_by_index``.
+    """
+    prepared = targets.select(
+        "page_id", "target_id", "text", T.plain_words(F.col("value")).alias("phrase"),
+        T.content_tokens(F.col("text")).alias("tokens"),
+    )
+    long = long_keys(paragraphs.select("page_id"), "page_id", direct_limit)
+    if long is None:
+        return _picked_directly(prepared, _flagged(paragraphs, pages))
+    short, rest = prepared.join(long, "page_id", "left_anti"), prepared.join(long, "page_id", "left_semi")
+    on_short, on_long = pages.join(long, "page_id", "left_anti"), pages.join(long, "page_id", "left_semi")
+    return _picked_directly(short, _flagged(paragraphs, on_short)).unionByName(
+        _picked_by_index(rest, paragraphs, on_long)
+    )
+
+
+# Highest score, then coverage, then the top edge, then page order.
+PICK_ORDER = lambda: F.struct("score", "coverage", -F.col("y1"), -F.col("para_ord"))
+PICKED = lambda: F.struct("para_ord", "x1", "y1", "x2", "y2", "coverage", "has_value", "score")
+
+
+def _picked(judged: DataFrame) -> DataFrame:
+    """Status and winner of targets that carry ``n_usable``, ``n_oob`` and the best-scored candidate ``b``."""
+    reached = judged.withColumn("b", F.when(F.col("b.score") >= MIN_PICK_SCORE, F.col("b")))
+    oob = lambda reason: F.concat(F.lit(reason), F.when(F.coalesce("n_oob", F.lit(0)) > 0, "_oob").otherwise(""))
+    status = (
+        F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, "no_target_sent")
+        .when(F.coalesce("n_usable", F.lit(0)) == 0, oob("no_candidates"))
+        .when(F.col("b").isNull(), oob("below_threshold"))
+        .when(F.col("b.has_value"), "val_match")
+        .otherwise("sim_only")
+    )
+    return reached.select("page_id", "target_id", status.alias("status"), "b.*")
+
+
+def _picked_directly(prepared: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Every target next to all large paragraphs of its page: one join and one aggregate on the page key."""
+    texts = flagged.withColumn("words", F.array_join("words", " "))
+    compared = prepared.join(texts.hint("merge"), "page_id", "left").withColumn(
+        "asks", F.coalesce(F.col("usable") & (F.length("text") > 0), F.lit(False))
+    ).withColumns(
+        {
+            "coverage": F.when(F.col("asks"), T.coverage_within(F.col("tokens"), F.col("words"))),
+            "has_value": F.when(F.col("asks"), F.coalesce(T.words_within(F.col("phrase"), F.col("words")), F.lit(False))),
+        }
+    )
+    scored = compared.withColumn(
+        "score", F.col("coverage") + F.when(F.col("has_value"), T.VALUE_BONUS).otherwise(0.0)
+    )
+    # Rows without a score have no order, and ``max_by`` passes them over.
+    return _picked(
+        scored.groupBy("page_id", "target_id", "text").agg(
+            F.count_if("usable").alias("n_usable"), F.count_if("oob").alias("n_oob"),
+            F.max_by(PICKED(), F.when(F.col("score").isNotNull(), PICK_ORDER())).alias("b"),
+        )
+    )
+
+
+def _picked_by_index(prepared: DataFrame, paragraphs: DataFrame, pages: DataFrame) -> DataFrame:
+    """The same for long pages, by an index of words and places.
+
     A paragraph with the value is found by phrase look-up. One without it needs
     the whole score as coverage, so only the rarest words of a target are looked
     up. Both prepared tables are written to the shared folder while the plan is
     built, because several branches read them.
     """
-    prepared = materialize(
-        targets.select(
-            "page_id", "target_id", "text", T.plain_words(F.col("value")).alias("phrase"),
-            T.content_tokens(F.col("text")).alias("tokens"),
-        ),
-        "pick_targets",
-    )
+    prepared = materialize(prepared, "pick_targets")
     asked_pages = prepared.select("page_id").distinct()
     flagged = materialize(_flagged(paragraphs, pages.join(asked_pages, "page_id", "left_semi")), "pick_paragraphs")
     stats = flagged.groupBy("page_id").agg(F.count_if("usable").alias("n_usable"), F.count_if("oob").alias("n_oob"))
@@ -223,25 +282,8 @@ def pick_paragraphs(targets: DataFrame, paragraphs: DataFrame, pages: DataFrame)
         "page_id", "target_id", "para_ord", "x1", "y1", "x2", "y2", "coverage", "has_value",
         (F.col("coverage") + F.when(F.col("has_value"), T.VALUE_BONUS).otherwise(0.0)).alias("score"),
     )
-    best = scored.groupBy("page_id", "target_id").agg(
-        F.max_by(
-            F.struct("para_ord", "x1", "y1", "x2", "y2", "coverage", "has_value", "score"),
-            F.struct("score", "coverage", -F.col("y1"), -F.col("para_ord")),
-        ).alias("b")
-    ).where(F.col("b.score") >= MIN_PICK_SCORE)
-    oob = lambda reason: F.concat(F.lit(reason), F.when(F.coalesce("n_oob", F.lit(0)) > 0, "_oob").otherwise(""))
-    status = (
-        F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, "no_target_sent")
-        .when(F.coalesce("n_usable", F.lit(0)) == 0, oob("no_candidates"))
-        .when(F.col("b").isNull(), oob("below_threshold"))
-        .when(F.col("b.has_value"), "val_match")
-        .otherwise("sim_only")
-    )
-    return (
-        prepared.join(stats, "page_id", "left")
-        .join(best, ["page_id", "target_id"], "left")
-        .select("page_id", "target_id", status.alias("status"), "b.*")
-    )
+    best = scored.groupBy("page_id", "target_id").agg(F.max_by(PICKED(), PICK_ORDER()).alias("b"))
+    return _picked(prepared.join(stats, "page_id", "left").join(best, ["page_id", "target_id"], "left"))
 
 
 def resolve_hops(samples: DataFrame, context: DataFrame, page_of: DataFrame, paragraphs: DataFrame) -> DataFrame:
@@ -273,6 +315,7 @@ def resolve_hops(samples: DataFrame, context: DataFrame, page_of: DataFrame, par
     wanted = (
         keyed.where(F.col("state").isNull())
         .select("page_id", "target_id", "value", F.coalesce("sent", F.lit("")).alias("text"))
+        .repartition("page_id")  # one shuffle for the distinct step and the comparison with the page
         .dropDuplicates(["page_id", "target_id"])
     )
     pages = page_of.where("side_table = 'ok'").select("page_id", "image_height").dropDuplicates(["page_id"])

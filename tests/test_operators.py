@@ -585,6 +585,21 @@ def test_repeated_words_are_counted_in_linear_time(spark):
     assert got == [["a#0", "a#1", "b#0", "b#1", "b#2"], [], [], sorted(f"a#{i}" for i in range(30_000)), ["x#0"]]
 
 
+def test_paragraphs_of_short_and_long_pages_are_picked_alike(spark):
+    """Direct comparison and index give the same rows, and no word of a short page becomes a row."""
+    rnd = random.Random(9)
+    text = lambda n: " ".join(rnd.choice(["w1", "w2", "w3", "the", "Of", "w4,"]) for _ in range(n))
+    paras = spark.createDataFrame([(p, o, text(rnd.randint(6, 15)), 0, 10 * o, 100, 10 * o + 8) for p, n in ((1, 4), (2, 30), (3, 12)) for o in range(n)], PARA)
+    targets = spark.createDataFrame(
+        [(p, f"{p}-{i}", text(2), text(rnd.randint(0, 6))) for p in (1, 2, 3, 4, None) for i in range(12)], "page_id long, target_id string, value string, text string"
+    )
+    pages = spark.createDataFrame([(1, 1_000), (2, None), (3, 50)], "page_id long, image_height int")
+    made = lambda limit: G.pick_paragraphs(targets, paras, pages, limit)
+    rows = [Counter(map(tuple, made(limit).collect())) for limit in (0, 10, 1_000)]
+    assert rows[0] == rows[1] == rows[2] and len(rows[0]) == 60
+    assert "Generate" not in made(1_000)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sentences_of_short_long_and_cut_pages_are_grounded_alike(spark, monkeypatch):
     """Page by page, through the index and through an index cut into blocks; no word or gram becomes a row."""
     rnd = random.Random(11)
