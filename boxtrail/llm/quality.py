@@ -1,9 +1,9 @@
 """Quality rules: heuristics, then a log-likelihood ratio of hashed word n-grams.
 
 Single words and word pairs are hashed into ``BUCKETS``. The raw multinomial counts every document; the target
-multinomial counts a bounded sample of trusted ones (label quality = 1, at most ``TRUSTED`` documents chosen by a
-hash). A document's score is the mean log ratio of its n-grams, so its length cancels. Every document is kept or
-dropped by one threshold: the ``QUANTILE`` of the trusted documents' own scores, less ``SLACK``.
+multinomial counts every trusted one (label quality = 1). A document's score is the mean log ratio of its n-grams, so
+its length cancels. Every document is kept or dropped by one threshold: the ``QUANTILE`` of all trusted documents' own
+scores, less ``SLACK``.
 
 Null and empty texts have no words, fail the base rules and are not kept. Repeated rows count as often as they occur and
 get equal results. Without labels the ratio is 0 everywhere and only the base rules decide. An empty table gives an
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from boxtrail.llm.common import columns_of, mix, slices
 
 BUCKETS = 1 << 14
-TRUSTED = 5000
 QUANTILE = 0.002
 SLACK = 0.05
 MIN_WORDS = 20
@@ -85,32 +84,28 @@ def _is_space(raw: bytes) -> int:
     return sum(raw.count(c) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
 
 
-def trusted_ids(labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """doc_id of at most ``most`` documents labelled good, the same ones on every run."""
-    return labels.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of every document labelled good."""
+    return labels.where("quality = 1").select("doc_id").distinct()
 
 
-def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(raw, target) counts by bucket over all documents. Tasks send one dense count per batch of texts at most."""
+def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Counts by bucket over all documents. Tasks send one dense count at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        held = np.zeros(buckets, np.int64)
         for b in batches:
-            texts, good = columns_of(b, "text", "good")
+            (texts,) = columns_of(b, "text")
             for lo, hi in slices(texts, CHUNK):
                 words, sizes = words_of([(t or "").encode("utf-8", "surrogatepass") for t in texts[lo:hi]])
-                bucket, owner = gram_buckets(words, sizes, buckets)
-                raw += np.bincount(bucket, minlength=buckets)
-                target += np.bincount(bucket[np.array(good[lo:hi], bool)[owner]], minlength=buckets)
-        some = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_pydict({"bucket": some, "raw": raw[some], "target": target[some]})
+                held += np.bincount(gram_buckets(words, sizes, buckets)[0], minlength=buckets)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_pydict({"bucket": some, "n": held[some]})
 
-    marked = docs.select("doc_id", "text").join(F.broadcast(trusted.select(F.col("doc_id").alias("good_id"))), F.col("doc_id") == F.col("good_id"), "left")
-    rows = marked.select("text", F.col("good_id").isNotNull().alias("good")).mapInArrow(count, "bucket long, raw long, target long")
-    got = rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # at most `buckets` rows
-    raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-    raw[got["bucket"].to_numpy()], target[got["bucket"].to_numpy()] = got["raw"].to_numpy(), got["target"].to_numpy()
-    return raw, target
+    got = docs.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most `buckets` rows
+    total = np.zeros(buckets, np.int64)
+    total[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return total
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -154,11 +149,25 @@ def measured(docs: DataFrame, ratios: np.ndarray, *carry: str) -> DataFrame:
     return docs.select(*dict.fromkeys((*carry, "text"))).mapInArrow(measure, schema)
 
 
-def threshold(docs: DataFrame, trusted: DataFrame, ratios: np.ndarray) -> float:
+def low_quantile(scores: DataFrame, share: float) -> float | None:
+    """Exact quantile of the column ``llr``, interpolated; only the rows up to it are ordered and reach the driver."""
+    n = scores.count()
+    if not n:
+        return None
+    place = share * (n - 1)
+    at = int(place)
+    least = scores.select("llr").orderBy("llr").limit(min(n, at + 2)).toArrow()["llr"].to_numpy()
+    low, high = float(least[at]), float(least[min(at + 1, n - 1)])
+    return low + (high - low) * (place - at)
+
+
+def threshold(trusted: DataFrame, ratios: np.ndarray) -> float:
     """Least score that is kept: a low quantile of the trusted documents that pass the base rules."""
-    own = docs.join(F.broadcast(trusted), "doc_id", "left_semi")
-    scores = judged(measured(own, ratios, "doc_id")).where("not base_failed").select("llr").toArrow()["llr"].to_numpy()  # at most TRUSTED rows
-    return float(np.quantile(scores, QUANTILE)) - SLACK if len(scores) else -np.inf
+    from boxtrail.runtime import materialize
+
+    scores = judged(measured(trusted, ratios, "doc_id")).where("not base_failed").select("llr")
+    least = low_quantile(materialize(scores, "trusted_scores"), QUANTILE)
+    return -np.inf if least is None else least - SLACK
 
 
 def judged(rows: DataFrame) -> DataFrame:
@@ -170,9 +179,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *carry: str) -> DataFrame:
     """carry columns, base measures, llr, base_failed and kept, one row per input row."""
     from boxtrail.runtime import materialize
 
-    trusted = materialize(trusted_ids(labels), "trusted_ids")
-    ratios = log_ratios(*bucket_counts(docs, trusted))
-    least = threshold(docs, trusted, ratios)
+    trusted = materialize(docs.select("doc_id", "text").join(trusted_ids(labels), "doc_id", "left_semi"), "trusted_texts")
+    ratios = log_ratios(bucket_counts(docs), bucket_counts(trusted))
+    least = threshold(trusted, ratios)
     return judged(measured(docs, ratios, *carry)).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(least)))
 
 

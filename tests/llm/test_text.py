@@ -356,3 +356,13 @@ def test_equal_languages_tie_by_name():
     model = langid.train(["aa", "bb"], [(grams, np.array([3, 3]))] * 2)
     model = langid.calibrate(model, [])
     assert all(lang in ("aa", "und") for lang, *_ in model.predict(["some text", "other"]))
+
+
+def test_quality_learns_from_all_trusted_documents(spark):
+    labels = spark.range(6_000).selectExpr("id AS doc_id", "1 AS quality").union(spark.createDataFrame([(7, 1), (9_000, 0)], "doc_id long, quality int"))
+    assert quality.trusted_ids(labels).count() == 6_000
+    scores = np.random.default_rng(3).normal(size=1_237)
+    table = spark.createDataFrame([(float(x),) for x in scores], "llr double")
+    for share in (0.0, 0.002, 0.4, 1.0):
+        assert abs(quality.low_quantile(table, share) - np.quantile(scores, share)) < 1e-12
+    assert quality.low_quantile(table.limit(0), 0.002) is None
