@@ -13,6 +13,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from boxtrail import runtime
 from boxtrail.functions import parsing as J, register, scoring, text as T
 from boxtrail.operators import assemble as A, containment, evaluation as E, grounding as G, layout, logs as L, phrases, records as RO, sampling as S
 from boxtrail.sources import headers, json_objects, readers, writers
@@ -616,3 +617,9 @@ def test_sentences_of_short_long_and_cut_pages_are_grounded_alike(spark, monkeyp
     assert rows(0) == direct
     parts = {(r.page_id, r.sid, r.para_ord): r.similarity for r in G.page_similarities(sentences, paras).collect()}
     assert len(parts) == 15 * (3 + 40 + 15) + 3 and all(parts[p, s, o] == v for p, s, o, _, v in direct if v is not None)
+
+
+def test_heavy_rows_are_spread_by_their_number(spark):
+    few = spark.range(0, 1_000, 1, 1)
+    assert runtime.spread(few, 10).rdd.getNumPartitions() == 100 and runtime.spread(few, 10).count() == 1_000
+    assert runtime.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
