@@ -161,12 +161,11 @@ def low_quantile(scores: DataFrame, share: float) -> float | None:
     return low + (high - low) * (place - at)
 
 
-def threshold(trusted: DataFrame, ratios: np.ndarray) -> float:
-    """Least score that is kept: a low quantile of the trusted documents that pass the base rules."""
+def threshold(trusted: DataFrame) -> float:
+    """Least score that is kept: a low quantile of the judged trusted documents that pass the base rules."""
     from boxtrail.runtime import materialize
 
-    scores = judged(measured(trusted, ratios, "doc_id")).where("not base_failed").select("llr")
-    least = low_quantile(materialize(scores, "trusted_scores"), QUANTILE)
+    least = low_quantile(materialize(trusted.where("not base_failed").select("llr"), "trusted_scores"), QUANTILE)
     return -np.inf if least is None else least - SLACK
 
 
@@ -176,13 +175,19 @@ def judged(rows: DataFrame) -> DataFrame:
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, *carry: str) -> DataFrame:
-    """carry columns, base measures, llr, base_failed and kept, one row per input row."""
+    """carry columns, base measures, llr, base_failed and kept, one row per input row.
+
+    Texts meet the labels once, to be counted, by a shuffle at every size of the labels. All documents are then measured
+    once, where they are read, and only their measures meet the labels to set the threshold.
+    """
     from boxtrail.runtime import materialize
 
-    trusted = materialize(docs.select("doc_id", "text").join(trusted_ids(labels), "doc_id", "left_semi"), "trusted_texts")
-    ratios = log_ratios(bucket_counts(docs), bucket_counts(trusted))
-    least = threshold(trusted, ratios)
-    return judged(measured(docs, ratios, *carry)).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(least)))
+    good = trusted_ids(labels).hint("merge")
+    ratios = log_ratios(bucket_counts(docs), bucket_counts(docs.select("doc_id", "text").join(good, "doc_id", "left_semi")))
+    own = tuple(dict.fromkeys((*carry, "doc_id")))
+    rows = judged(materialize(measured(docs, ratios, *own), "quality_measures"))
+    least = threshold(rows.join(good, "doc_id", "left_semi"))
+    return rows.select(*carry, *FIELDS, "base_failed").withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(least)))
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

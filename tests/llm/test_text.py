@@ -366,3 +366,21 @@ def test_quality_learns_from_all_trusted_documents(spark):
     for share in (0.0, 0.002, 0.4, 1.0):
         assert abs(quality.low_quantile(table, share) - np.quantile(scores, share)) < 1e-12
     assert quality.low_quantile(table.limit(0), 0.002) is None
+
+
+def test_quality_moves_texts_the_same_way_at_any_size(spark, write, monkeypatch):
+    """Few labels are not sent to all tasks, and no text is written again."""
+    from boxtrail import runtime
+
+    texts = [(i, f"{i} " + "plain words follow one another " * 8) for i in range(40)]
+    folder = write(
+        documents=spark.createDataFrame(texts, "doc_id long, text string"),
+        labels=spark.createDataFrame([(i, i % 2) for i in range(0, 40, 3)] + [(None, 1)], "doc_id long, quality int"),
+    )
+    written, counted = [], []
+    write_out, count = runtime.materialize, quality.bucket_counts
+    monkeypatch.setattr(runtime, "materialize", lambda df, name: written.append(df.columns) or write_out(df, name))
+    monkeypatch.setattr(quality, "bucket_counts", lambda df, *a: counted.append(df._jdf.queryExecution().executedPlan().toString()) or count(df, *a))
+    assert quality.op6_quality_rules(spark, folder).count() == 40
+    assert not any("text" in c for c in written)
+    assert "BroadcastHashJoin" not in counted[1] and "Join" in counted[1]
