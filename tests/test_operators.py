@@ -623,3 +623,34 @@ def test_heavy_rows_are_spread_by_their_number(spark):
     few = spark.range(0, 1_000, 1, 1)
     assert runtime.spread(few, 10).rdd.getNumPartitions() == 100 and runtime.spread(few, 10).count() == 1_000
     assert runtime.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_same_deck_meets_short_lists(spark):
+    """A sample is joined with one short list per gold page, whatever the number of images on the pages around."""
+    names = [f"d__page_{p}.{i}.png" for p in range(1, 9) for i in range(30)]
+    samples = spark.createDataFrame([(1, [names[0], names[200]]), (2, ["d__page_4.zz.png"]), (3, [names[35], names[35]])], "sample_id long, gold array<string>")
+    pool = spark.createDataFrame([(n,) for n in names] + [("d__page_4.0.png",)], "screenshot string")
+    made = S.same_deck_distractors(samples, pool, 4)
+    got = {r[0]: r[1] for r in made.collect()}
+    assert got[1] == ["d__page_1.1.png", "d__page_1.10.png"]
+    assert got[2] == ["d__page_4.0.png", "d__page_4.0.png", "d__page_4.1.png"]
+    assert got[3] == ["d__page_2.0.png", "d__page_2.1.png"]
+    plan = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not [x for x in plan if "Generate explode(sequence" in x and "sample_id" in x]
+
+
+def test_candidates_build_their_samples_once(spark):
+    """What makes the samples runs once for all branches and once for the rows that leave."""
+    from pyspark.sql.types import StringType
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def shot(i):
+        calls.add(1)
+        return f"d__page_{i}.png"
+
+    named = F.udf(shot, StringType()).asNondeterministic()
+    rows = spark.range(20).select(F.col("id").alias("sample_id"), F.array(F.struct(named("id").alias("screenshot"))).alias("evidence_chain"))
+    made = S.build_candidates(rows, 3, strategy="same_deck")
+    assert {r[0]: len(r[1]) for r in made.select("sample_id", "candidates").collect()} == {i: 3 for i in range(20)}
+    assert calls.value <= 40
