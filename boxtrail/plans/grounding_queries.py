@@ -89,7 +89,7 @@ def sorted_sentence_ids(t):
 
 @query("cached_route", with_ctes("known", "SELECT DISTINCT k.entity, CASE WHEN m.cached THEN 'cached' ELSE 'layout' END AS route FROM known k JOIN meta m ON m.entity = k.entity"))
 def cached_route(t):
-    entities = A.known_facts(t.facts, t.meta).select("entity").distinct()
+    entities = A.known_facts(t.facts.select("entity").distinct(), t.meta)  # facts meet the pages as distinct entities
     return A.cached_entities(entities, t.meta).withColumn("route", F.lit("cached")).unionByName(
         A.uncached_entities(entities, t.meta).withColumn("route", F.lit("layout"))
     )

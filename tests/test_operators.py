@@ -654,3 +654,16 @@ def test_candidates_build_their_samples_once(spark):
     made = S.build_candidates(rows, 3, strategy="same_deck")
     assert {r[0]: len(r[1]) for r in made.select("sample_id", "candidates").collect()} == {i: 3 for i in range(20)}
     assert calls.value <= 40
+
+
+def test_routes_of_entities_are_found_from_distinct_entities(spark):
+    """Where the pages are too many to be sent to all tasks, facts are counted out before they meet them."""
+    from boxtrail.plans import catalog
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES["cached_route"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    last = lambda word: max(i for i, x in enumerate(plan) if word in x)
+    assert last("Aggregate") > last("LeftSemi")
