@@ -18,8 +18,9 @@ table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from functools import lru_cache
+from typing import Iterator, Tuple
 
 import numpy as np
 import pandas as pd
@@ -107,12 +108,9 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return h, n
 
 
-_kept_bag = lru_cache(CACHED_TEXTS)(_bag)
-
-
-def overlap(a: str, b: str) -> float:
-    """Weighted Jaccard similarity of the shingle multisets of two texts."""
-    (ha, na), (hb, nb) = ((_kept_bag if len(x) <= CACHED_CHARS else _bag)(x) for x in (a, b))
+def overlap(a: str, b: str, kept: Callable = _bag) -> float:
+    """Weighted Jaccard similarity of the shingle multisets of two texts; ``kept`` gives the bags of short ones."""
+    (ha, na), (hb, nb) = ((kept if len(x) <= CACHED_CHARS else _bag)(x) for x in (a, b))
     _, left, right = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
     both = np.minimum(na[left], nb[right]).sum()
     either = na.sum() + nb.sum() - both
@@ -161,9 +159,14 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((left == right).mean(axis=1))
 
 
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([overlap(x, y) for x, y in zip(a, b)], dtype=float)
+def similarities(pairs: Iterator[Tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Similarity of pairs of texts. The bags it keeps leave with the task: Python workers outlive their tasks."""
+    kept = lru_cache(CACHED_TEXTS)(_bag)
+    for a, b in pairs:
+        yield pd.Series([overlap(x, y, kept) for x, y in zip(a, b)], dtype=float)
+
+
+similarity = F.pandas_udf(similarities, DoubleType())
 
 
 def shared_buckets(entries: DataFrame) -> DataFrame:

@@ -236,3 +236,22 @@ def test_pipeline_edges(spark, awkward, write):
     left = {r.doc_id for r in rows}
     assert 1 in left and 2 not in left and 9 not in left and not left & {4, 5, 6, 7}
     assert corpus_pipeline.run(spark, write(documents=awkward.where("doc_id > 1000"), benchmark=tables["benchmark"])).count() == 0
+
+
+def test_bags_leave_with_their_task():
+    """A Python worker that has compared texts holds none of their bags afterwards."""
+    import gc
+
+    import numpy as np
+    import pandas as pd
+
+    from boxtrail.llm import bagminhash
+
+    texts = [f"text {i} " + "of words that follow one another " * 40 for i in range(200)]
+    gc.collect()
+    before = {id(x) for x in gc.get_objects() if isinstance(x, tuple) and len(x) == 2 and all(isinstance(y, np.ndarray) for y in x)}
+    got = pd.concat(bagminhash.similarity.func(iter([(pd.Series(texts), pd.Series(texts[1:] + texts[:1]))])))
+    assert len(got) == 200 and got.between(0.5, 1).all()
+    gc.collect()
+    assert not [x for x in gc.get_objects() if isinstance(x, tuple) and len(x) == 2 and all(isinstance(y, np.ndarray) for y in x) and id(x) not in before]
+    assert not [n for n, v in vars(bagminhash).items() if hasattr(v, "cache_info") and v.cache_info().currsize]
