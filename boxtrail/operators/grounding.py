@@ -291,26 +291,63 @@ def resolve_hops(samples: DataFrame, context: DataFrame, page_of: DataFrame, par
 
     ``context`` is (entity, sid, sent), ``page_of`` is (screenshot, page_id,
     image_height, side_table): ``side_table`` is ``ok``, ``missing`` or ``bad``.
-    Equal (page, value, sentence) questions are answered once and shared. The
-    located hops are written to the shared folder while the plan is built.
+    Equal questions, that is (screenshot, entity, sentence, value), are answered
+    once, and only hops of known pages ask one. Pages, questions and answers are
+    written to the shared folder while the plan is built, so that their sizes
+    decide how the many hops meet them; the hops themselves move once.
     """
     hops = match_hops(samples).withColumn("sid", F.get("sentence_ids", 0))
+    pages = materialize(page_of.select("screenshot", "page_id", "image_height", "side_table"), "hop_pages")
+    answers = materialize(_answered(hops, context, pages, paragraphs), "hop_answers")
     # Rows without a partner get keys of their own, which match nothing: null keys would all meet in one task.
-    alone = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("sample_id", "hop_pos"), F.lit(LONELY_KEYS)).cast("string"))
-    side = F.coalesce("side_table", F.lit("missing"))
-    state = F.coalesce(
-        "early_status", F.when(side == "missing", "no_bboxes_file").when(side == "bad", "bad_bboxes_file")
+    alone = _alone("sample_id", "hop_pos")
+    answer = answers.select(*[F.col(c).alias(f"a_{c}") for c in QUESTION], *[c for c in answers.columns if c not in QUESTION])
+    # Where only resolved hops are wanted, this condition lets those of unknown pages leave before the others move.
+    same = (F.col("page") == F.col("a_screenshot")) & (F.coalesce("page", alone) == F.col("a_screenshot")) & (
+        (F.col("value") == F.col("a_value")) & F.col("entity").eqNullSafe(F.col("a_entity")) & F.col("sid").eqNullSafe(F.col("a_sid"))
     )
-    key = F.md5(F.concat_ws("\u0001", F.col("page_id").cast("string"), "value", F.coalesce("sent", F.lit(""))))
-    located = (
-        hops.withColumns({"at": F.coalesce("screenshot", alone), "of": F.coalesce("entity", alone)})
-        .join(page_of.withColumnRenamed("screenshot", "at"), "at", "left")
-        .join(context.select(F.col("entity").alias("of"), "sid", "sent"), ["of", "sid"], "left")
-        .withColumn("state", state)
+    listed = pages.select(F.col("screenshot").alias("page")).distinct()
+    paged = hops.withColumn("at", F.coalesce("screenshot", alone)).join(listed, F.col("at") == F.col("page"), "left").drop("at")
+    # The sentence of a hop whose page is unknown; the optimizer leaves this join out where nobody reads the sentence.
+    known = context.groupBy(F.col("entity").alias("of"), F.col("sid").alias("of_sid")).agg(F.min("sent").alias("of_sent"))
+    found = paged.join(answer, same, "left").withColumn("at", F.when(F.col("status").isNull(), F.coalesce("entity", alone)).otherwise(alone))
+    return found.join(known, (F.col("at") == F.col("of")) & (F.col("sid") == F.col("of_sid")), "left").select(
+        "sample_id", "hop_pos",
+        T.relation_question(F.col("relation"), F.col("query_entity")).alias("question"),
+        F.col("value").alias("answer"), "entity", "screenshot", "sentence_ids",
+        F.coalesce("early_status", "status", F.lit("no_bboxes_file")).alias("status"), "para_ord",
+        F.when(F.col("para_ord").isNotNull(), F.array("x1", "y1", "x2", "y2")).alias("bbox"),
+        F.coalesce("sent", "of_sent", F.lit("")).alias("target_sentence"), "coverage", "score",
     )
+
+
+QUESTION = ("screenshot", "entity", "sid", "value")
+
+
+def _alone(*key: str) -> Column:
+    """A key that no name equals, one of ``LONELY_KEYS``."""
+    return F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*key), F.lit(LONELY_KEYS)).cast("string"))
+
+
+def _answered(hops: DataFrame, context: DataFrame, pages: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Each distinct question of a known page with its sentence, status and best paragraph.
+
+    Pages and sentences listed more than once give one row each time.
+    """
+    questions = (
+        hops.where(F.col("early_status").isNull()).select(*QUESTION)
+        .join(pages.select("screenshot"), "screenshot", "left_semi").dropDuplicates()
+    )
+    alone = _alone(*QUESTION)
+    side = F.coalesce("side_table", F.lit("missing"))
+    state = F.when(side == "missing", "no_bboxes_file").when(side == "bad", "bad_bboxes_file")
+    key = F.unhex(F.md5(F.concat_ws("\u0001", F.col("page_id").cast("string"), "value", F.coalesce("sent", F.lit("")))))
     keyed = materialize(
-        located.select(*hops.columns, "page_id", "sent", "state", F.coalesce(F.when(F.col("state").isNull(), key), alone).alias("target_id")),
-        "located_hops",
+        questions.join(pages, "screenshot").withColumn("of", F.coalesce("entity", alone))
+        .join(context.select(F.col("entity").alias("of"), "sid", "sent"), ["of", "sid"], "left")
+        .withColumn("state", state)
+        .select(*QUESTION, "page_id", "sent", "state", F.coalesce(F.when(F.col("state").isNull(), key), alone.cast("binary")).alias("target_id")),
+        "hop_questions",
     )
     wanted = (
         keyed.where(F.col("state").isNull())
@@ -318,15 +355,10 @@ def resolve_hops(samples: DataFrame, context: DataFrame, page_of: DataFrame, par
         .repartition("page_id")  # one shuffle for the distinct step and the comparison with the page
         .dropDuplicates(["page_id", "target_id"])
     )
-    pages = page_of.where("side_table = 'ok'").select("page_id", "image_height").dropDuplicates(["page_id"])
-    picked = pick_paragraphs(wanted, paragraphs, pages)
+    readable = pages.where("side_table = 'ok'").select("page_id", "image_height").dropDuplicates(["page_id"])
+    picked = pick_paragraphs(wanted, paragraphs, readable)
     return keyed.drop("page_id").join(picked.drop("page_id"), "target_id", "left").select(
-        "sample_id", "hop_pos",
-        T.relation_question(F.col("relation"), F.col("query_entity")).alias("question"),
-        F.col("value").alias("answer"), "entity", "screenshot", "sentence_ids",
-        F.coalesce("state", "status").alias("status"), "para_ord",
-        F.when(F.col("para_ord").isNotNull(), F.array("x1", "y1", "x2", "y2")).alias("bbox"),
-        F.coalesce("sent", F.lit("")).alias("target_sentence"), "coverage", "score",
+        *QUESTION, "sent", F.coalesce("state", "status").alias("status"), "para_ord", "x1", "y1", "x2", "y2", "coverage", "score"
     )
 
 

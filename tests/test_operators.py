@@ -667,3 +667,34 @@ def test_routes_of_entities_are_found_from_distinct_entities(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     last = lambda word: max(i for i, x in enumerate(plan) if word in x)
     assert last("Aggregate") > last("LeftSemi")
+
+
+def test_hops_ask_each_question_once_and_keep_every_state(spark, tmp_path):
+    """Hops of unknown pages and equal questions move nowhere: pages and answers are met by one join each."""
+    hop = lambda name, sid: {"entity": name, "screenshot": f"{name}.png", "sentence_ids": [sid] if sid is not None else []}
+    ask = lambda name: {"entity": name, "relation": "director", "value": "the long red house"}
+    chains = [[hop("a", 0)], [hop("a", 0)], [hop("b", 0)], [hop("gone", 0)], [hop("a", None)], [hop("a", 0)]]
+    triples = [[ask("a")], [ask("a")], [ask("b")], [ask("gone")], [ask("a")], [ask("zz"), {"entity": "a", "relation": None, "value": "x"}]]
+    samples = spark.createDataFrame(
+        [(i, c, t) for i, (c, t) in enumerate(zip(chains, triples))],
+        "sample_id long, evidence_chain array<struct<entity:string,screenshot:string,sentence_ids:array<int>>>, "
+        "evidences array<struct<entity:string,relation:string,value:string>>",
+    )
+    text = "one and two saw the long red house on a far hill"
+    context = spark.createDataFrame([("a", 0, text), ("b", 0, text), ("gone", 0, text)], "entity string, sid int, sent string")
+    pages = spark.createDataFrame(
+        [("a.png", 1, None, "ok"), ("b.png", 2, None, "bad")], "screenshot string, page_id long, image_height int, side_table string"
+    )
+    paras = spark.createDataFrame([(1, 0, text, 0, 0, 500, 50), (1, 1, "no words here", 0, 60, 500, 90)], PARA)
+    resolved = G.resolve_hops(samples, context, pages, paras)
+    got = {(r.sample_id, r.hop_pos): (r.status, r.para_ord, r.target_sentence) for r in resolved.collect()}
+    assert got == {
+        (0, 0): ("val_match", 0, text), (1, 0): ("val_match", 0, text), (2, 0): ("bad_bboxes_file", None, text),
+        (3, 0): ("no_bboxes_file", None, text), (4, 0): ("no_target_sent", None, ""),
+        (5, 0): ("no_chain_entry", None, ""), (5, 1): ("malformed_triple", None, ""),
+    }
+    # Where only boxes are wanted, the hops meet no table of sentences and those of unknown pages leave first.
+    counted = resolved.where("bbox IS NOT NULL").select("sample_id")
+    plan = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and "of_sent" not in plan
+    assert sorted(r.sample_id for r in counted.collect()) == [0, 1]
