@@ -15,6 +15,7 @@ from boxtrail.functions import scoring as S
 from boxtrail.operators.evaluation import score_predictions, summarize
 
 SHARDS = 64
+ROWS_PER_TASK = 50_000
 
 
 def is_committed(spark: SparkSession, folder: str) -> bool:
@@ -31,6 +32,12 @@ def one_per_index(batch: DataFrame) -> DataFrame:
     return batch.where("idx IS NOT NULL").groupBy("idx").agg(first.alias("r")).select("idx", "r.*")
 
 
+def by_index(batch: DataFrame) -> DataFrame:
+    """The batch dealt out by index to tasks of about ``ROWS_PER_TASK`` rows, however many files it holds. Null indices leave."""
+    tasks = max(batch.sparkSession.sparkContext.defaultParallelism, -(-batch.count() // ROWS_PER_TASK))
+    return batch.where("idx IS NOT NULL").repartition(tasks, "idx")
+
+
 def not_scored(batch: DataFrame, scored: DataFrame) -> DataFrame:
     """Rows of the batch whose index the table does not hold.
 
@@ -62,11 +69,11 @@ def score_stream(predictions: DataFrame, out: str, checkpoint: str, *, once: boo
             return
         others = (F.col("query") != query) | (F.col("batch") != number)
         scored = scored_rows(own, out, schema).where(others)
-        batch.persist()
+        rows = one_per_index(by_index(batch)).persist()
         try:
-            score_predictions(not_scored(one_per_index(batch), scored)).write.mode("overwrite").parquet(folder)
+            score_predictions(not_scored(rows, scored)).write.mode("overwrite").parquet(folder)
         finally:
-            batch.unpersist()
+            rows.unpersist()
 
     return predictions.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(**_trigger(once)).start()
 

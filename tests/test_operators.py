@@ -698,3 +698,13 @@ def test_hops_ask_each_question_once_and_keep_every_state(spark, tmp_path):
     plan = counted._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftOuter" not in plan and "of_sent" not in plan
     assert sorted(r.sample_id for r in counted.collect()) == [0, 1]
+
+
+def test_stream_batches_are_dealt_out_by_rows(spark, monkeypatch):
+    """A batch of many files is not scored by a fixed number of tasks; rows of one index stay together."""
+    monkeypatch.setattr(scorer, "ROWS_PER_TASK", 10)
+    batch = spark.range(0, 100).select(F.when(F.col("id") % 10 > 0, F.col("id") % 50).alias("idx")).coalesce(1)
+    dealt = scorer.by_index(batch)
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 90
+    places = dealt.select("idx", F.spark_partition_id().alias("p")).distinct()
+    assert places.count() == dealt.select("idx").distinct().count() == 45
