@@ -36,17 +36,21 @@ def _kind(v: Column) -> Column:
 
 
 def _is_array(v: Column) -> Column:
-    return F.coalesce(F.startswith(_kind(v), F.lit("ARRAY")), F.lit(False))
+    return _items(v).isNotNull()  # the type name would spell out all that is inside
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(F.startswith(_kind(v), F.lit("OBJECT")), F.lit(False))
+    return _entries(v).isNotNull()
 
 
 def _items(v: Column) -> Column:
     return F.try_variant_get(v, "$", "array<variant>")
 
 
+def _entries(v: Column) -> Column:
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
 def json_whole(text: Column) -> Column:
     """Variant of a text that is one complete JSON value, otherwise null.
 
@@ -105,7 +109,8 @@ def _is_truthy(v: Column) -> Column:
     shown = v.cast("string")
     is_text = F.coalesce(_kind(v) == "STRING", F.lit(False))
     zero = F.coalesce(F.try_variant_get(v, "$", "double") == 0, F.lit(False))
-    nothing = F.when(is_text, shown == "").otherwise(shown.isin("{}", "[]", "false") | zero)
+    scalar = F.when(is_text, shown == "").otherwise((shown == "false") | zero)
+    nothing = F.when(is_object(v), F.size(_entries(v)) == 0).when(_is_array(v), F.size(_items(v)) == 0).otherwise(scalar)
     return ~(v.isNull() | F.is_variant_null(v) | F.coalesce(nothing, F.lit(False)))
 
 
@@ -144,7 +149,7 @@ def _quoted(x: Column) -> Column:
 
 
 def _object_text(v: Column) -> Column:
-    entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    entries = F.map_entries(_entries(v))
     shown = F.transform(entries, lambda e: F.concat(F.lit("'"), e["key"], F.lit("': "), _quoted(e["value"])))
     return F.concat(F.lit("{"), F.array_join(shown, ", "), F.lit("}"))
 
@@ -175,7 +180,7 @@ def box_list(v: Column) -> Column:
     A box with ``NaN`` or an infinite coordinate counts as a box that matches nothing.
     """
     none = F.array().cast(NO_BOXES)
-    return bind(v, lambda x: F.when(_is_array(x), bind(_items(x), _boxes_of)).otherwise(none))
+    return bind(_items(v), lambda items: F.when(items.isNotNull(), _boxes_of(items)).otherwise(none))
 
 
 def _boxes_of(items: Column) -> Column:
@@ -185,8 +190,8 @@ def _boxes_of(items: Column) -> Column:
     flat = (F.size(items) == 4) & F.forall(items, is_number)
     one = F.array(F.transform(items, lambda x: F.try_variant_get(x, "$", "double")))
 
-    four = F.filter(items, lambda b: _is_array(b) & (F.size(_items(b)) == 4))
-    read = F.transform(four, lambda b: F.transform(_items(b), lambda x: F.try_variant_get(x, "$", "double")))
+    four = F.filter(F.transform(items, _items), lambda b: b.isNotNull() & (F.size(b) == 4))
+    read = F.transform(four, lambda b: F.transform(b, lambda x: F.try_variant_get(x, "$", "double")))
     good = F.filter(read, lambda b: F.forall(b, lambda x: x.isNotNull()))
     finite = lambda b: F.forall(b, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     nowhere = F.array(*[F.lit(x) for x in NOWHERE])
@@ -195,11 +200,14 @@ def _boxes_of(items: Column) -> Column:
 
 def _hop_number(v: Column) -> Column:
     """Whole number of a hop: numbers are cut, texts must be whole numbers, anything else is null."""
+    return bind(v, _whole_number)
+
+
+def _whole_number(v: Column) -> Column:
     text = strip_ws(v.cast("string"))
-    number = F.when(_kind(v) == "STRING", F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))).otherwise(
+    return F.when(_kind(v) == "STRING", F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))).otherwise(
         F.try_variant_get(v, "$", "double").try_cast("int")
     )
-    return F.when(_is_array(v) | is_object(v), F.lit(None).cast("int")).otherwise(number)
 
 
 def predicted_chain(parsed: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from boxtrail.functions.binding import bind
-from boxtrail.functions.geometry import IOU_THRESHOLD, center_inside, iou, relaxed_match
+from boxtrail.functions.geometry import IOU_THRESHOLD, Measures, centered, measured, overlap
 
 # Field order of the per-sample metrics record.
 BASE_METRICS = (
@@ -17,17 +17,29 @@ IMAGE_METRICS = (
 )
 
 
+def _compared(preds: Column, golds: Column, body) -> Column:
+    """``body`` of both lists, with each box measured once."""
+    return bind(F.struct(measured(preds).alias("p"), measured(golds).alias("g")), lambda m: body(m["p"], m["g"]))
+
+
 def match_table(preds: Column, golds: Column, threshold: float = IOU_THRESHOLD) -> Column:
     """Per gold box its overlap with every predicted box, null where the two do not match. Each pair is compared once."""
-    def overlap(p: Column, g: Column) -> Column:
-        return bind(iou(p, g), lambda o: F.when((o >= threshold) | center_inside(p, g), o))
+    def matched(p: Measures, g: Measures) -> Column:
+        return bind(overlap(p, g), lambda o: F.when((o >= threshold) | centered(p, g), o))
 
-    return F.transform(golds, lambda g: F.transform(preds, lambda p: overlap(p, g)))
+    return _compared(
+        preds, golds, lambda ps, gs: F.transform(gs, lambda g: F.transform(ps, lambda p: matched(Measures.read(p), Measures.read(g))))
+    )
 
 
 def any_match(preds: Column, golds: Column, threshold: float = IOU_THRESHOLD) -> Column:
     """True when some predicted box matches some gold box."""
-    return F.exists(preds, lambda p: F.exists(golds, lambda g: relaxed_match(p, g, threshold)))
+    def matched(p: Measures, g: Measures) -> Column:
+        return (overlap(p, g) >= threshold) | centered(p, g)
+
+    return _compared(
+        preds, golds, lambda ps, gs: F.exists(ps, lambda p: F.exists(gs, lambda g: matched(Measures.read(p), Measures.read(g))))
+    )
 
 
 def bbox_localized(preds: Column, golds: Column, threshold: float = IOU_THRESHOLD) -> Column:
@@ -40,13 +52,18 @@ def bbox_stats(preds: Column, golds: Column, threshold: float = IOU_THRESHOLD) -
     Abstaining when there is nothing to find scores 1 everywhere; boxes on only
     one side score 0.
     """
-    return bind(match_table(preds, golds, threshold), lambda table: _table_stats(table, F.size(preds), F.size(golds)))
+    counted = bind(match_table(preds, golds, threshold), lambda table: _hits(table, F.size(preds), F.size(golds)))
+    return bind(counted, lambda c: _hit_stats(c["gold"], c["pred"], c["n_pred"], c["n_gold"]))
 
 
-def _table_stats(table: Column, n_pred: Column, n_gold: Column) -> Column:
+def _hits(table: Column, n_pred: Column, n_gold: Column) -> Column:
     gold_hits = F.size(F.filter(table, lambda row: F.exists(row, lambda o: o.isNotNull())))
     # The first row stands for the columns.
     pred_hits = F.size(F.filter(F.get(table, 0), lambda _, j: F.exists(table, lambda row: F.get(row, j).isNotNull())))
+    return F.struct(gold_hits.alias("gold"), pred_hits.alias("pred"), n_pred.alias("n_pred"), n_gold.alias("n_gold"))
+
+
+def _hit_stats(gold_hits: Column, pred_hits: Column, n_pred: Column, n_gold: Column) -> Column:
     nothing = (n_gold == 0) & (n_pred == 0)
     one_sided = (n_gold == 0) | (n_pred == 0)
 
@@ -133,7 +150,6 @@ def image_chain_stats(pred_chain: Column, gold_chain: Column, threshold: float =
     ident = lambda e: F.coalesce(e["image_id"], F.lit(""))
     gold_ids = F.filter(F.transform(gold_chain, ident), lambda x: x != "")
     pred_ids = F.transform(pred_chain, ident)
-    n = F.size(gold_ids)
 
     def outcome(gold: Column, i: Column) -> Column:
         pred = F.get(pred_chain, i)
@@ -146,23 +162,37 @@ def image_chain_stats(pred_chain: Column, gold_chain: Column, threshold: float =
         )
         return F.struct(right.alias("right"), (right & boxed).alias("joint"))
 
-    hops = F.slice(F.transform(gold_chain, outcome), F.lit(1), F.greatest(n, F.lit(1)))
-    right = F.size(F.filter(hops, lambda h: h["right"]))
-    joint = F.size(F.filter(hops, lambda h: h["joint"]))
-    gold_set = F.array_distinct(gold_ids)
-    pred_set = F.array_distinct(F.filter(pred_ids, lambda x: x != ""))
-    shared = F.size(F.array_intersect(gold_set, pred_set))
+    # Lists that several measures read are bound: branches of conditions would build them once each.
+    facts = F.struct(
+        gold_ids.alias("gold_ids"), pred_ids.alias("pred_ids"), F.array_distinct(gold_ids).alias("gold_set"),
+        F.array_distinct(F.filter(pred_ids, lambda x: x != "")).alias("pred_set"),
+        F.slice(F.transform(gold_chain, outcome), F.lit(1), F.greatest(F.size(gold_ids), F.lit(1))).alias("hops"),
+    )
+    return bind(facts, lambda f: bind(_image_counts(f), lambda c: _image_measures(f, c)))
+
+
+def _image_counts(facts: Column) -> Column:
+    return F.struct(
+        F.size(facts["gold_ids"]).alias("n"), F.size(facts["gold_set"]).alias("n_gold"), F.size(facts["pred_set"]).alias("n_pred"),
+        F.size(F.filter(facts["hops"], lambda h: h["right"])).alias("right"),
+        F.size(F.filter(facts["hops"], lambda h: h["joint"])).alias("joint"),
+        F.size(F.array_intersect(facts["gold_set"], facts["pred_set"])).alias("shared"),
+    )
+
+
+def _image_measures(facts: Column, counts: Column) -> Column:
+    n, shared, joint = counts["n"], counts["shared"], counts["joint"]
 
     def gated(value: Column, kind: str, name: str) -> Column:
         return F.when(n > 0, F.coalesce(value.cast(kind), F.lit(0).cast(kind))).otherwise(F.lit(0).cast(kind)).alias(name)
 
     return F.struct(
         (n > 0).cast("int").alias("valid"),
-        gated(F.try_divide(right, n), "double", "image_hop_acc"),
-        gated(pred_ids == gold_ids, "int", "image_chain_order_acc"),
-        gated(F.try_divide(shared, F.size(gold_set)), "double", "gold_image_recall"),
-        gated(F.try_divide(shared, F.size(pred_set)), "double", "gold_image_precision"),
-        gated(shared == F.size(gold_set), "int", "gold_image_all_hit"),
+        gated(F.try_divide(counts["right"], n), "double", "image_hop_acc"),
+        gated(facts["pred_ids"] == facts["gold_ids"], "int", "image_chain_order_acc"),
+        gated(F.try_divide(shared, counts["n_gold"]), "double", "gold_image_recall"),
+        gated(F.try_divide(shared, counts["n_pred"]), "double", "gold_image_precision"),
+        gated(shared == counts["n_gold"], "int", "gold_image_all_hit"),
         gated(F.try_divide(joint, n), "double", "image_bbox_joint_recall"),
         gated(joint == n, "int", "image_bbox_joint_all_gt_hit"),
     )

@@ -254,3 +254,27 @@ def test_registered_sql_functions(spark):
     register.register(spark)
     row = spark.sql("SELECT bt_normalize_train('The U.S.A.') a, bt_iou(array(0D,0D,10D,10D), array(5D,5D,15D,15D)) b, bt_answer_em('A cat', 'cat') c, bt_parse('x {\"a\":1}') IS NOT NULL d").first()
     assert row["a"] == "usa" and row["b"] == pytest.approx(25 / 175) and row["c"] == 1 and row["d"]
+
+
+def test_boxes_are_measured_once_and_hops_judged_once(spark):
+    """Lists compared pair by pair give what single pairs give, whatever the boxes; no list is built per measure."""
+    nan = float("nan")
+    boxes = [[0.0, 0.0, 10.0, 10.0], [9.0, 9.0, 1.0, 1.0], [nan, 0.0, 5.0, 5.0], [-1.0, -1.0, -1.0, -1.0], [2.0, 2.0, 9.0, 9.0], [1.0, 2.0], [None, 0.0, 4.0, 4.0]]
+    df = spark.createDataFrame([(boxes, boxes[::-1])], "p array<array<double>>, g array<array<double>>")
+    (row,) = df.select(S.match_table(F.col("p"), F.col("g")).alias("t"), S.any_match(F.col("p"), F.col("g")).alias("a")).collect()
+    pairs = df.select(F.posexplode("g").alias("i", "y"), "p").select("i", "y", F.posexplode("p").alias("j", "x"))
+    single = pairs.select("i", "j", F.when(G.relaxed_match(F.col("x"), F.col("y")), G.iou(F.col("x"), F.col("y"))).alias("o")).collect()
+    assert {(r.i, r.j): repr(r.o) for r in single} == {(i, j): repr(o) for i, line in enumerate(row.t) for j, o in enumerate(line)} and row.a
+    hop = "array<struct<image_id:string,bboxes:array<array<double>>>>"
+    chains = spark.createDataFrame([([("a", boxes[:1])], [("a", boxes[4:5])])], f"p {hop}, g {hop}")
+    stats = chains.select(S.image_chain_stats(F.col("p"), F.col("g")).alias("s"))
+    assert stats._jdf.queryExecution().analyzed().toString().count("slice(") == 1 and stats.first().s.image_bbox_joint_recall == 1.0
+
+
+def test_empty_and_nested_values_are_told_apart(spark):
+    """Objects and lists are recognised without spelling their types; empty ones count as no output."""
+    texts = ["{}", "[]", '{"a": []}', "[[]]", "0", "0.0", "false", "true", '""', '"{}"', '"[]"', '"false"', "null", '"x"', "[0]"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("v", F.try_parse_json("t")).orderBy("i")
+    got = df.select(J.is_truthy(F.col("v")).alias("t"), J.is_object(F.col("v")).alias("o")).collect()
+    assert [r.t for r in got] == [False, False, True, True, False, False, False, True, False, True, True, True, False, True, True]
+    assert [i for i, r in enumerate(got) if r.o] == [0, 2]
