@@ -708,3 +708,15 @@ def test_stream_batches_are_dealt_out_by_rows(spark, monkeypatch):
     assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 90
     places = dealt.select("idx", F.spark_partition_id().alias("p")).distinct()
     assert places.count() == dealt.select("idx").distinct().count() == 45
+
+
+def test_sub_queries_are_made_once_per_record(spark):
+    """The look-up of image sizes reads the screenshots only."""
+    hop = "struct<entity:string,screenshot:string,bboxes:array<array<int>>,sub_query:string,image_id:string>"
+    triple = "struct<entity:string,relation:string,value:string>"
+    rows = [(1, "q", "a", [("e", "s.png", [[0, 0, 9, 9]], None, None), ("f", "s.png", [[0, 0, 9, 9]], " given ", None)], [("e", "director", "x"), ("e", None, "y")])]
+    samples = spark.createDataFrame(rows, f"sample_id long, question string, answer string, evidence_chain array<{hop}>, evidences array<{triple}>")
+    images = spark.createDataFrame([("s.png", 100, 100)], "path string, width int, height int")
+    made = RO.build_training_records(samples, images, split="val").select("sample_id", "target_text")
+    assert [e["sub_query"] for e in json.loads(made.first().target_text)["evidence_chain"]] == ["What is the director of e?", "given"]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("What is the ") == 1
