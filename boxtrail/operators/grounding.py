@@ -334,10 +334,14 @@ def _answered(hops: DataFrame, context: DataFrame, pages: DataFrame, paragraphs:
 
     Pages and sentences listed more than once give one row each time.
     """
-    questions = (
+    questions = materialize(
         hops.where(F.col("early_status").isNull()).select(*QUESTION)
-        .join(pages.select("screenshot"), "screenshot", "left_semi").dropDuplicates()
+        .join(pages.select("screenshot"), "screenshot", "left_semi").dropDuplicates(),
+        "hop_asked",
     )
+    # Sentences outside the asked numbers move nowhere; no question or no number asks for none.
+    first, last = questions.agg(F.min("sid"), F.max("sid")).first()
+    context = context.where(F.col("sid").between(first, last))
     alone = _alone(*QUESTION)
     side = F.coalesce("side_table", F.lit("missing"))
     state = F.when(side == "missing", "no_bboxes_file").when(side == "bad", "bad_bboxes_file")

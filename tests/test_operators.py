@@ -700,6 +700,32 @@ def test_hops_ask_each_question_once_and_keep_every_state(spark, tmp_path):
     assert sorted(r.sample_id for r in counted.collect()) == [0, 1]
 
 
+def test_only_sentences_of_asked_numbers_move(spark, monkeypatch):
+    """Long pages with few cited sentences: the others stay where they are. No number asked and no question at all are fine."""
+    made = {}
+
+    def watched(df, name):
+        made[name] = df
+        return runtime.materialize(df, name)
+
+    monkeypatch.setattr(G, "materialize", watched)
+    shape = "sample_id long, evidence_chain array<struct<entity:string,screenshot:string,sentence_ids:array<int>>>, evidences array<struct<entity:string,relation:string,value:string>>"
+    hops = lambda asked: spark.createDataFrame([(i, [(n, f"{n}.png", ids)], [(n, "director", "the long red house")]) for i, (n, ids) in enumerate(asked)], shape)
+    text = "one and two saw the long red house on a far hill"
+    context = spark.createDataFrame([("a", i, f"{text} {i}") for i in range(50)], "entity string, sid int, sent string")
+    pages = spark.createDataFrame([("a.png", 1, None, "ok")], "screenshot string, page_id long, image_height int, side_table string")
+    paras = spark.createDataFrame([(1, 0, text, 0, 0, 500, 50)], PARA)
+    seen = lambda asked: [
+        (r.sample_id, r.status, r.target_sentence) for r in G.resolve_hops(hops(asked), context, pages, paras).orderBy("sample_id").collect()
+    ]
+    assert seen([("a", [7]), ("a", [3]), ("a", None), ("gone", [40])]) == [
+        (0, "val_match", f"{text} 7"), (1, "val_match", f"{text} 3"), (2, "no_target_sent", ""), (3, "no_bboxes_file", ""),
+    ]
+    plan = made["hop_questions"]._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"sid#\d+ >= 3\b", plan) and re.search(r"sid#\d+ <= 7\b", plan)
+    assert seen([("a", None)]) == [(0, "no_target_sent", "")] and seen([("gone", [1])]) == [(0, "no_bboxes_file", "")]
+
+
 def test_stream_batches_are_dealt_out_by_rows(spark, monkeypatch):
     """A batch of many files is not scored by a fixed number of tasks; rows of one index stay together."""
     monkeypatch.setattr(scorer, "ROWS_PER_TASK", 10)
