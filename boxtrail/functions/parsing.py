@@ -110,7 +110,9 @@ def _is_truthy(v: Column) -> Column:
     is_text = F.coalesce(_kind(v) == "STRING", F.lit(False))
     zero = F.coalesce(F.try_variant_get(v, "$", "double") == 0, F.lit(False))
     scalar = F.when(is_text, shown == "").otherwise((shown == "false") | zero)
-    nothing = F.when(is_object(v), F.size(_entries(v)) == 0).when(_is_array(v), F.size(_items(v)) == 0).otherwise(scalar)
+    # Each list is unpacked once.
+    empty = lambda found, other: bind(found, lambda x: F.when(x.isNotNull(), F.size(x) == 0).otherwise(other))
+    nothing = empty(_entries(v), empty(_items(v), scalar))
     return ~(v.isNull() | F.is_variant_null(v) | F.coalesce(nothing, F.lit(False)))
 
 
@@ -124,10 +126,14 @@ def scalar_text(v: Column) -> Column:
     return bind(v, _scalar_text)
 
 
+def _string_text(x: Column) -> Column:
+    written = x.cast("string")
+    return F.when(_is_marked(written), F.substring(written, 2, 4)).otherwise(written)
+
+
 def _number_text(x: Column) -> Column:
     """Whole values of non-integer literals end in ``.0``."""
-    written = x.cast("string")
-    plain = F.when(_is_marked(written), F.substring(written, 2, 4)).otherwise(written)
+    plain = _string_text(x)
     fraction = F.coalesce(_kind(x).rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.lit(False)) & ~plain.rlike("[.EeIN]")
     return F.when(fraction, F.concat(plain, F.lit(".0"))).otherwise(plain)
 
@@ -171,7 +177,9 @@ def _scalar_text(v: Column) -> Column:
 
 def _text_or_empty(v: Column) -> Column:
     """Text of a truthy scalar, empty otherwise."""
-    return bind(v, lambda x: F.when(_is_truthy(x), _scalar_text(x)).otherwise(F.lit("")))
+    any_kind = lambda x: F.when(_is_truthy(x), _scalar_text(x)).otherwise(F.lit(""))
+    # Nearly all are strings, which are their own text.
+    return bind(v, lambda x: F.when(_kind(x) == "STRING", _string_text(x)).otherwise(any_kind(x)))
 
 
 def box_list(v: Column) -> Column:
@@ -180,7 +188,14 @@ def box_list(v: Column) -> Column:
     A box with ``NaN`` or an infinite coordinate counts as a box that matches nothing.
     """
     none = F.array().cast(NO_BOXES)
-    return bind(_items(v), lambda items: F.when(items.isNotNull(), _boxes_of(items)).otherwise(none))
+    by_item = bind(_items(v), lambda items: F.when(items.isNotNull(), _boxes_of(items)).otherwise(none))
+    # A list of well-formed boxes is read as a whole; any other one item by item.
+    whole = F.try_variant_get(v, "$", NO_BOXES)
+    return bind(whole, lambda boxes: F.when(F.forall(boxes, lambda b: (F.size(b) == 4) & _finite(b)), boxes).otherwise(by_item))
+
+
+def _finite(box: Column) -> Column:
+    return F.forall(box, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
 def _boxes_of(items: Column) -> Column:
@@ -193,9 +208,8 @@ def _boxes_of(items: Column) -> Column:
     four = F.filter(F.transform(items, _items), lambda b: b.isNotNull() & (F.size(b) == 4))
     read = F.transform(four, lambda b: F.transform(b, lambda x: F.try_variant_get(x, "$", "double")))
     good = F.filter(read, lambda b: F.forall(b, lambda x: x.isNotNull()))
-    finite = lambda b: F.forall(b, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     nowhere = F.array(*[F.lit(x) for x in NOWHERE])
-    return F.transform(F.when(flat, one).otherwise(good), lambda b: F.when(finite(b), b).otherwise(nowhere))
+    return F.transform(F.when(flat, one).otherwise(good), lambda b: F.when(_finite(b), b).otherwise(nowhere))
 
 
 def _hop_number(v: Column) -> Column:

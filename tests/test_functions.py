@@ -278,3 +278,25 @@ def test_empty_and_nested_values_are_told_apart(spark):
     got = df.select(J.is_truthy(F.col("v")).alias("t"), J.is_object(F.col("v")).alias("o")).collect()
     assert [r.t for r in got] == [False, False, True, True, False, False, False, True, False, True, True, True, False, True, True]
     assert [i for i, r in enumerate(got) if r.o] == [0, 2]
+
+
+def test_boxes_read_as_a_whole_equal_boxes_read_one_by_one(spark, monkeypatch):
+    """Well-formed lists take one reading; any other value gives the boxes and ids of the reading by item."""
+    four, nowhere = [1.0, 2.0, 3.0, 4.0], [-1.0, -1.0, -1.0, -1.0]
+    boxes = {
+        "[]": [], "[[1,2,3,4]]": [four], "[1,2,3,4]": [four], '[["1","2","3","4"]]': [four], '["1","2","3","4"]': [], "[[1,2,3],[1,2,3,4]]": [four],
+        '[[1,2,"x",4],[1,2,3,4]]': [four], "[[1,2,null,4]]": [], "[null,[1,2,3,4]]": [four], "[[NaN,2,3,4],[1,2,3,4]]": [nowhere, four],
+        "[[1,2,3,4],5]": [four], "[[[1],2,3,4]]": [], '"text"': [], '{"a":1}': [], "null": [], "[[1e400,2,3,4]]": None,
+    }
+    ids = {"5": "5", "1.0": "1.0", '""': "", '" a"': " a", "true": "True", "false": "", "[1,2]": "1, 2", "{}": "", "0": "", "null": "", "NaN": "nan", "-Infinity": "-inf"}
+    texts = [f'{{"evidence_chain":[{{"bboxes":{b}}}]}}' for b in boxes] + [f'{{"evidence_chain":[{{"image_id":{i}}}]}}' for i in ids]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    read = df.select("i", J.predicted_chain(J.parse_lenient(F.col("t"))).alias("c")).orderBy("i").collect()
+    got = [r.c[0] if r.c else None for r in read]
+    for g, (text, want) in zip(got, boxes.items()):
+        assert want is None or g.bboxes == want, text
+    assert [g.image_id for g in got[len(boxes):]] == list(ids.values())
+    by_item = []
+    monkeypatch.setattr(J, "_boxes_of", lambda items: by_item.append(1) or F.array(F.array(*[F.lit(9.0)] * 4)))
+    whole = df.select("i", J.predicted_chain(J.parse_lenient(F.col("t"))).alias("c")).orderBy("i").collect()
+    assert whole[1].c[0].bboxes == [four] and whole[2].c[0].bboxes == [[9.0] * 4] and by_item
