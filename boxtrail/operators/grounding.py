@@ -18,8 +18,9 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boxtrail.functions import text as T
-from boxtrail.operators.containment import containing, long_keys
+from boxtrail.operators.containment import long_keys
 from boxtrail.operators.page_scores import all_of_page, best_of_page
+from boxtrail.operators.page_values import closest_holding
 from boxtrail.operators.phrases import candidates, stands_at
 from boxtrail.runtime import materialize
 
@@ -431,27 +432,15 @@ def is_single_hop(samples: DataFrame) -> DataFrame:
 
 # ---- legacy value checks ----------------------------------------------------
 
-def find_by_value(targets: DataFrame, paragraphs: DataFrame) -> DataFrame:
+def find_by_value(targets: DataFrame, paragraphs: DataFrame, direct_limit: int = DIRECT_LIMIT) -> DataFrame:
     """Paragraph holding the value, closest to the sentence, then widest, then topmost.
 
     ``targets`` is ``(page_id, target_id, value, text)``; ``text`` may be empty.
+    Pages of more than ``direct_limit`` paragraphs are cut into blocks.
     """
-    sized = paragraphs.where((width() >= MIN_LEGACY_WIDTH) & (height() >= MIN_PICK_HEIGHT)).withColumnRenamed(
-        "text", "para"
-    )
-    # Words are counted once per text; a pair costs one search and one intersection.
-    tagged = lambda c: T.tagged_tokens(T.word_tokens(F.col(c)))
-    asked = targets.select("page_id", "target_id", F.lower("value").alias("needle"), tagged("text").alias("_a"))
-    texts = sized.select("page_id", F.col("para_ord").alias("text_id"), F.lower("para").alias("text"), "x1", "y1", "x2", "y2", tagged("para").alias("_b"))
-    held = containing(asked, texts, needle_carry=("target_id", "_a"), text_carry=("x1", "y1", "x2", "y2", "_b"))
-    counted = held.withColumnRenamed("text_id", "para_ord").withColumn("common", F.size(F.array_intersect("_a", "_b")))
-    scored = counted.withColumn("f1", T.f1_from_counts(F.col("common"), F.size("_b"), F.size("_a")))
-    return scored.groupBy("page_id", "target_id").agg(
-        F.max_by(
-            F.struct("para_ord", "x1", "y1", "x2", "y2", "f1"),
-            F.struct("f1", width(), -F.col("y1"), -F.col("para_ord")),
-        ).alias("b")
-    ).select("page_id", "target_id", "b.*")
+    sized = paragraphs.where((width() >= MIN_LEGACY_WIDTH) & (height() >= MIN_PICK_HEIGHT))
+    long = long_keys(sized.where(F.col("text").isNotNull()).select("page_id"), "page_id", direct_limit)
+    return closest_holding(targets, sized, long)
 
 
 def box_contains_value(targets: DataFrame, paragraphs: DataFrame) -> DataFrame:
